@@ -15,27 +15,32 @@ from gossamer.llm.queries import vocabulary
 from gossamer.llm.shared import materialize
 from gossamer.session import prepare, read_table
 
+#: Other columns that a documents table may have are dropped, whatever their names.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.3) go."""
+    docs = docs.select(*COLUMNS)
     model = quality.learn(docs, read_table(prepare(spark), sf_dir, "labels"))
     return quality.score(docs, model, docs.columns).where("score >= 0.3").select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id, and of equal ids the smallest text."""
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(docs.select(*COLUMNS))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
+    docs = docs.select(*COLUMNS)
     found = decontaminate.decontaminate(docs, read_table(prepare(spark), sf_dir, "benchmark"), keep=docs.columns)
     return found.where(~decontaminate.contaminated(F.col("n_words"), decontaminate.n_hit("spans"))).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's span is replaced by a mark; n_chars follows."""
-    return secrets.redact(docs)
+    return secrets.redact(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ longer runs and has neighbours that are alike.  Three statistics are compared
 with what language of that length and encoding gives: chi-squared uniformity
 over the alphabet (non-central under the null, its excess growing with the
 length), the number of runs of character class, and the serial correlation of
-neighbouring symbols.  Their z scores are combined (Stouffer) to one p value.
+neighbouring symbols.  The p value is the larger of that of evenness and that
+of the three z scores combined (Stouffer).
 The tokens of a document are judged together by a weighted Benjamini-Hochberg
 step: weights grow with the length, as short tokens tell less, and the
 expected share of false discoveries stays below `rate`.
@@ -90,7 +91,8 @@ def randomness(token: str) -> tuple[float, float, float, float]:
     spread = float((x * x).sum())
     serial = float((x[1:] * x[:-1]).sum()) / spread if spread else 1.0
     z_serial = (0.45 - serial) * math.sqrt(n)
-    z = (z_even + z_runs + z_serial) / math.sqrt(3)
+    # Both evenness and the three together must speak against language (an intersection-union test).
+    z = min(z_even, (z_even + z_runs + z_serial) / math.sqrt(3))
     return z_even, z_runs, z_serial, 0.5 * math.erfc(z / math.sqrt(2))
 
 
