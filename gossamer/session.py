@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read from there.
+
+    Loops cut their lineage with it: what follows survives lost executors and computes nothing twice.
+    """
+    uri = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
