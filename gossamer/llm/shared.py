@@ -8,9 +8,9 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from gossamer.session import prepare, shared_dir
+from gossamer.session import materialize, prepare, shared_dir
 
 __all__ = ["create", "fetch", "filesystem", "materialize", "prepare", "remove", "scratch", "source", "texts_of"]
 
@@ -60,14 +60,6 @@ def remove(uri: str) -> None:
     files.delete_dir(path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read from there: what follows survives lost executors and computes nothing twice."""
-    spark = df.sparkSession
-    uri = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
-
-
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

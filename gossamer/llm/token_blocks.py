@@ -180,7 +180,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 0, percentile: flo
         from pyspark import TaskContext
 
         shard, encode, none = TaskContext.get().partitionId(), tokenizer(vocabulary).encode, True
-        name = f"{uri}/shard-{shard:06d}.pfor"
+        name = f"{uri}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.pfor"
         with create(name) as out:
             writer = ShardWriter(out, percentile)
             for batch in batches:

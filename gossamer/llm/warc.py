@@ -121,7 +121,7 @@ def write_archives(rows: DataFrame, level: int = 3) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, pack, none = f"{uri}/archive-{TaskContext.get().partitionId():06d}.warc.gz", _gzip(level), True
+        name, pack, none = f"{uri}/archive-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz", _gzip(level), True
         with create(name) as out:
             for batch in batches:
                 columns = [batch.column(k).to_pylist() for k in range(6)]
