@@ -7,8 +7,9 @@ shard; a row carries digest, shard, offset and length.  Metadata columns
 (width, height, depth, colour) are filled by range reads of the 33 bytes of
 PNG signature and header; pixel features by reading the member back.
 
-Copies meet by digest: each input task passes on a payload once, so a group
-of copies is at most one row for each task.
+Copies meet by digest: each input task stores a payload once, and the index
+keeps one place for each digest, so a group of copies is at most one row for
+each task and no payload is ever shuffled.
 
 Edges: a null or empty text is 64 zero bytes; null doc_ids and repeated rows
 are kept; texts that differ only in trailing NULs share a payload and keep
@@ -98,51 +99,43 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame, level: int = 6) -> DataFrame:
-    """Writes the distinct payloads of docs into tar shards; one row for each: digest, shard (its URI), offset, length."""
+    """Writes the payloads of docs into tar shards; one row for each distinct one: digest, shard (its URI), offset, length.
+
+    Each input task writes a shard of its own in which a payload is stored once, so no payload is shuffled.  The index keeps one
+    place for each digest; a copy that other tasks stored as well is not referred to.
+    """
     spark = prepare(docs.sparkSession)
     uri = scratch(spark, "media")
 
-    def media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            names, data, held = [], [], 0
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                payload = payload_of(text or b"")
-                digest = hashlib.sha256(payload).digest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                names.append(digest.hex())
-                data.append(encode_png(payload, level))
-                held += len(data[-1])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], names=["digest", "media"])
-                    names, data, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["digest", "media"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, last, place, rows = f"{uri}/shard-{TaskContext.get().partitionId():06d}.tar", None, 0, []
+        # The attempt is part of the name: the index of the attempt that counts refers to the file that it wrote.
+        shard = f"{uri}/shard-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.tar"
+        seen: set[bytes] = set()
+        place, rows = 0, []
         with create(shard) as out:
             for batch in batches:
-                for digest, data in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
-                    if digest == last:  # rows are sorted by digest
+                for text in batch.column("text").cast(pa.binary()).to_pylist():
+                    payload = payload_of(text or b"")
+                    digest = hashlib.sha256(payload).digest()
+                    if digest in seen:
                         continue
-                    last, info = digest, tarfile.TarInfo(f"{digest}.png")
+                    seen.add(digest)
+                    data, info = encode_png(payload, level), tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(data)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
-                    out.write(head)
-                    out.write(data)
-                    out.write(bytes(-len(data) % tarfile.BLOCKSIZE))
-                    rows.append((digest, shard, place + len(head), len(data)))
+                    out.write(head + data + bytes(-len(data) % tarfile.BLOCKSIZE))
+                    rows.append((digest.hex(), shard, place + len(head), len(data)))
                     place += len(head) + len(data) + -len(data) % tarfile.BLOCKSIZE
             out.write(bytes(2 * tarfile.BLOCKSIZE))
         columns = list(zip(*rows)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["digest", "shard", "offset", "length"])
 
-    dealt = docs.select(F.col("text").cast("string")).mapInArrow(media, "digest string, media binary").repartition("digest").sortWithinPartitions("digest")
-    return materialize(dealt.mapInArrow(write, "digest string, shard string, offset long, length long"), "media-index")
+    stored = materialize(docs.select(F.col("text").cast("string")).mapInArrow(write, "digest string, shard string, offset long, length long"), "media-index")
+    one = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    # Read shard by shard, in order.
+    return one.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
 
 
 def header_columns(index: DataFrame) -> DataFrame:
