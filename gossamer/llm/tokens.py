@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -20,21 +21,8 @@ _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t\n\r "
 #: Characters whose class is the same in every version of the splitting pattern.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-#: A worker forgets its pre-tokens beyond so many, which bounds its memory.
-MAX_CACHED_WORDS = 700_000
-
-
-class _Index(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        self[word] = at = len(self)
-        return at
+#: Beyond so many pre-tokens a worker forgets those that it met least often, which bounds its memory and keeps lookups fast.
+MAX_CACHED_WORDS = 500_000
 
 
 class CachedTokenizer:
@@ -56,9 +44,47 @@ class CachedTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.index, self.n = _Index(), 0
+        self.index: dict[str, int] = {}
+        self.fresh: list[str] = []
+        self.n = 0
         self.flat, self.starts, self.lengths = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
+        self.used, self.hits = 0, np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keeps the pre-tokens that were met more than once, and of those at most the half of the bound that was met most often."""
+        least = 2 if (self.hits > 1).sum() <= MAX_CACHED_WORDS // 2 else int(np.partition(self.hits, -MAX_CACHED_WORDS // 2)[-MAX_CACHED_WORDS // 2]) + 1
+        words, hits = list(self.index), self.hits
+        kept = np.flatnonzero(hits >= least)
+        starts, lengths = self.starts[kept], self.lengths[kept]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self._forget()
+        self.index.update(zip([words[k] for k in kept.tolist()], range(len(kept))))
+        self._append(flat, lengths)
+        self.hits = hits[kept] // 2
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Number of each pre-token; unknown ones are numbered and put down to be learned."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero(at < 0).tolist():
+            word = words[k]
+            place = self.index.get(word, -1)
+            if place < 0:
+                place = self.index[word] = len(self.index)
+                self.fresh.append(word)
+            at[k] = place
+        return at
+
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        while self.n + len(lengths) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        at = slice(self.n, self.n + len(lengths))
+        self.lengths[at] = lengths
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(lengths), self.used + len(flat)
 
     def _each(self, words: list[str]) -> list[list[int]]:
         """ids of each pre-token.  Words of letters stand apart in a text of them, so thousands take one call."""
@@ -80,25 +106,17 @@ class CachedTokenizer:
 
     def _learn(self) -> None:
         """Encodes the pre-tokens that were asked for and not known."""
-        fresh, self.index.fresh = self.index.fresh, []
+        fresh, self.fresh = self.fresh, []
         for k in range(0, len(fresh), 4096):
             ids = self._each(fresh[k : k + 4096])
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-            while self.n + len(ids) > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            at = slice(self.n, self.n + len(ids))
-            self.lengths[at] = lengths
-            self.starts[at] = self.used + np.cumsum(lengths) - lengths
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.n, self.used = self.n + len(ids), self.used + len(flat)
+            self._append(flat, lengths)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as int32, number of ids of each text); `end` is appended to each text."""
         if self.n > MAX_CACHED_WORDS:
-            self._forget()
+            self._thin()
         parts: list[np.ndarray | None] = [None] * len(texts)
         where, counts, known = [], [], []
         for k, text in enumerate(texts):
@@ -111,7 +129,7 @@ class CachedTokenizer:
                 plain = False
             if plain:
                 words = self.split(text.lower() if self.lower else text)
-                known.append(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)))
+                known.append(self._places(words))
                 counts.append(len(words))
                 where.append(k)
             else:
@@ -119,6 +137,9 @@ class CachedTokenizer:
         self._learn()
         if where:
             at = np.concatenate(known)
+            met = np.bincount(at, minlength=self.n)
+            met[: len(self.hits)] += self.hits
+            self.hits = met
             lengths = self.lengths[at]
             ends = np.cumsum(lengths)
             ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -38,7 +38,20 @@ def test_cached_tokenizer_is_the_library(spark, sf_dir, name):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
-@settings(max_examples=150, deadline=None)
+def test_rare_words_are_forgotten_and_learned_again(monkeypatch):
+    from gossamer.llm import tokens
+
+    monkeypatch.setattr(tokens, "MAX_CACHED_WORDS", 40)
+    cached, own = CachedTokenizer(queries.vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        texts = [" ".join(f"word{k} the of" for k in rng.zipf(1.3, 12) % 200) for _ in range(3)]
+        ids, sizes = cached.encode(texts, 0)
+        assert ids.tolist() == [i for t in texts for i in [*own(t), 0]] and len(cached.index) == cached.n
+    assert cached.n < 200
+
+
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x17F), max_size=40), max_size=4))
 def test_cached_tokenizer_on_any_text(texts):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
