@@ -269,6 +269,11 @@ def row_argmax(a: DataFrame) -> DataFrame:
     return a.groupBy("i").agg(F.max_by("j", F.struct(F.abs("v"), -F.col("j"))).alias("j")).select("i", "j", F.lit(1.0).alias("v"))
 
 
+def agglomerate(a: DataFrame, n_rows: int, rows_per_part: int) -> DataFrame:
+    """a in at most one partition for each `rows_per_part` rows, without a shuffle."""
+    return a.coalesce(max(1, -(-n_rows // max(1, rows_per_part))))
+
+
 # --- sets
 
 

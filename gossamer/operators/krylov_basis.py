@@ -51,6 +51,21 @@ def powers(a: DataFrame, b: DataFrame, order: int) -> DataFrame:
     return table
 
 
+def orthogonalise(w: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, float]:
+    """(column x less its parts along x0, ..., x(n - 1), those parts, its norm): classical Gram-Schmidt, twice.
+
+    Each pass takes all products in one reduction; the second one's parts are tiny, so the norm follows from its sums.
+    """
+    parts, square = np.zeros(n), 0.0
+    left = w
+    for _ in range(2):
+        got = left.agg(F.sum(F.col("x") * F.col("x")).alias("s"), *(F.sum(F.col("x") * F.col(f"x{j}")).alias(f"d{j}") for j in range(n))).first()
+        step = np.array([float(got[f"d{j}"] or 0.0) for j in range(n)])
+        parts, square = parts + step, max(0.0, float(got.s or 0.0) - float(step @ step))
+        left = w.withColumn("x", F.col("x") - sum((F.lit(float(parts[j])) * F.col(f"x{j}") for j in range(n)), F.lit(0.0)))
+    return left, parts, square**0.5
+
+
 def arnoldi(a: DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float, DataFrame]:
     """(Hessenberg matrix of steps + 1 rows, norm of b, basis) by classical Gram-Schmidt with all products in one reduction.
 
@@ -63,16 +78,10 @@ def arnoldi(a: DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float,
     basis = materialize(b.select("i", (F.col("x") / beta).alias("x0")), "basis")
     for k in range(steps):
         w = basis.join(spmv(a, basis.select("i", F.col(f"x{k}").alias("x"))), "i", "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-        w = materialize(w, "arnoldi")
-        for _ in range(2):  # the second pass keeps the basis orthogonal
-            got = w.agg(*(F.sum(F.col("x") * F.col(f"x{j}")).alias(f"d{j}") for j in range(k + 1))).first()
-            h[: k + 1, k] += np.array([float(x) for x in got])
-            w = w.withColumn("x", F.col("x") - sum((F.lit(float(got[j])) * F.col(f"x{j}") for j in range(k + 1)), F.lit(0.0)))
-        w = materialize(w, "arnoldi")
-        h[k + 1, k] = norm = float(w.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0])
+        w, h[: k + 1, k], norm = orthogonalise(materialize(w, "arnoldi"), k + 1)
+        h[k + 1, k] = norm
         if norm <= TINY * max(1.0, np.abs(h[: k + 1, k]).max()):
             return h[: k + 2, : k + 1], beta, basis
-        basis = w.withColumn("x", F.col("x") / norm).withColumnRenamed("x", f"x{k + 1}")
         if k + 1 < steps:
-            basis = materialize(basis, "basis")
+            basis = materialize(w.withColumn("x", F.col("x") / norm).withColumnRenamed("x", f"x{k + 1}"), "basis")
     return h, beta, basis

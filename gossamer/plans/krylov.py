@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.dense import least_squares
 from gossamer.operators import algebra as al
+from gossamer.operators.krylov_basis import orthogonalise
 from gossamer.session import materialize
 
 Apply = Callable[[DataFrame], DataFrame]
@@ -64,12 +65,8 @@ def gmres(a: DataFrame, b: DataFrame, apply: Apply, rtol: float = 1e-10, max_it:
             z = materialize(apply(basis.select("i", F.col(f"x{k}").alias("x"))), "pre")
             pre.append(z)
             w = materialize(basis.join(al.fill(al.spmv(a, z), b), "i"), "arnoldi")
-            for _ in range(2):
-                got = w.agg(*(F.sum(F.col("x") * F.col(f"x{j}")).alias(f"d{j}") for j in range(k + 1))).first()
-                h[: k + 1, k] += np.array([float(g) for g in got])
-                w = w.withColumn("x", F.col("x") - sum((F.lit(float(got[j])) * F.col(f"x{j}") for j in range(k + 1)), F.lit(0.0)))
-            w = materialize(w, "arnoldi")
-            h[k + 1, k] = norm = al.norm2(w)
+            w, h[: k + 1, k], norm = orthogonalise(w, k + 1)
+            h[k + 1, k] = norm
             rhs = np.zeros(k + 2)
             rhs[0] = beta
             y = least_squares(h[: k + 2, : k + 1], rhs)

@@ -106,7 +106,10 @@ class Hierarchy:
                 self._transfer(level, fine, coarse, left, right, before)
             with self.timers.timed("coarse"):
                 pattern = before is not None and o.reuse_sparsity and o.reuse_amount >= 3 and k + 1 < len(old.levels)
-                a = materialize(tr.coarse_matrix(level.a, level.r, level.p, o.symmetric, o.a_drop, o.a_lump, old.levels[k + 1].a if pattern else None), "level")
+                a = tr.coarse_matrix(level.a, level.r, level.p, o.symmetric, o.a_drop, o.a_lump, old.levels[k + 1].a if pattern else None)
+                if o.processor_agglom and n_coarse < o.process_eq_limit * a.sparkSession.sparkContext.defaultParallelism:
+                    a = al.agglomerate(a, n_coarse, o.process_eq_limit)  # small levels in fewer partitions
+                a = materialize(a, "level")
             rows = coarse
             left, right = left.join(rows, "i", "left_semi"), right.join(rows, "i", "left_semi")
         if self.coarse is None:
