@@ -1,14 +1,16 @@
 """URL filters over a sorted digest array.
 
-Rules (host suffix and path prefix, with a verdict) are kept as a sorted array
-of 64-bit XXH64 keys of `host + path`, with the full strings beside it.  A
-worker maps the array into memory; a batch of urls gives all its candidate
-strings (each of a host's suffixes with each prefix length that any rule's
-path has), which are probed by one vectorised binary search, and every hit is
-confirmed against the stored string, so collisions do no harm.  The longest
-rule wins.  A url that no rule fits gets the `default` verdict.
-
-File: b"URLDGST1", number of rules, number of path lengths (int64 each), path
+Rules (host suffix and path prefix, with a verdict) are kept as sorted arrays
+of 64-bit XXH64 keys (seed 42) of `host + path`, with the full strings beside
+them; each file is a range of keys, built by one task, so a list of any length
+passes through no single process.  A worker maps the files into memory; a
+batch of urls gives all its candidate strings (each of a host's suffixes with
+each prefix length that any rule's path has), which are probed by vectorised
+binary search, and every hit is confirmed against the stored string, so
+collisions do no harm.  The longest rule wins.  A url that no rule fits gets
+the `default` verdict.
+
+File: b"URLDGST2", number of rules, number of path lengths (int64 each), path
 lengths, keys (uint64, sorted), string bounds (int64, one more), verdicts
 (uint8, 1 blocks), strings.
 
@@ -27,12 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.llm.shared import create, fetch, filesystem, prepare, scratch
 
-MAGIC = b"URLDGST1"
+MAGIC = b"URLDGST2"
+SEED = 42
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -47,15 +51,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def write_digests(rules: Iterator[tuple[str, str, str]], uri: str) -> None:
-    """Writes the array of (host, path, verdict) rules."""
+    """Writes one file of (host, path, verdict) rules."""
     verdicts: dict[bytes, int] = {}
     paths: set[int] = set()
     for host, path, verdict in rules:
-        if host:
-            key = (host + path).encode()
-            verdicts[key] = max(verdicts.get(key, 0), int(verdict == "block"))
-            paths.add(len(path))
-    rows = sorted((xxhash.xxh64_intdigest(k), k) for k in verdicts)
+        key = (host + path).encode()
+        verdicts[key] = max(verdicts.get(key, 0), int(verdict == "block"))
+        paths.add(len(path))
+    rows = sorted((xxhash.xxh64_intdigest(k, SEED), k) for k in verdicts)
     lengths = np.array(sorted(paths), "<i8")
     bounds = np.concatenate(([0], np.cumsum([len(k) for _, k in rows], dtype=np.int64))).astype("<i8")
     with create(uri) as out:
@@ -65,7 +68,7 @@ def write_digests(rules: Iterator[tuple[str, str, str]], uri: str) -> None:
 
 
 class DigestArray:
-    """The mapped array."""
+    """One mapped file."""
 
     def __init__(self, uri: str):
         files, path = filesystem(uri)
@@ -86,65 +89,82 @@ class DigestArray:
         self.lengths, self.keys, self.bounds, self.verdicts = parts
         self.strings = raw[at:]
 
-    def probe(self, candidates: list[bytes]) -> np.ndarray:
-        """Place of each candidate's rule, or -1."""
-        wanted = np.fromiter(map(xxhash.xxh64_intdigest, candidates), np.uint64, len(candidates))
+    def probe(self, wanted: np.ndarray, candidates: list[bytes], found: list[tuple[bytes, int] | None]) -> None:
+        """Puts (string, verdict) of the rule that each candidate is; wanted are the candidates' keys."""
+        if not len(self.keys):
+            return
         at = np.searchsorted(self.keys, wanted)
-        found = np.full(len(candidates), -1, np.int64)
-        live = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted)) if len(self.keys) else []
-        for k in live:
+        for k in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == wanted).tolist():
             place = int(at[k])
             while place < len(self.keys) and self.keys[place] == wanted[k]:  # equal keys: the string decides
-                if self.string(place) == candidates[k]:
-                    found[k] = place
+                if (string := self.strings[self.bounds[place] : self.bounds[place + 1]].tobytes()) == candidates[k]:
+                    found[k] = string, int(self.verdicts[place])
                     break
                 place += 1
-        return found
 
-    def string(self, place: int) -> bytes:
-        return self.strings[self.bounds[place] : self.bounds[place + 1]].tobytes()
+
+class DigestArrays:
+    """All files of a folder; a batch is probed in those whose range of keys it meets."""
+
+    def __init__(self, uri: str):
+        files, path = filesystem(uri)
+        names = sorted(f.base_name for f in files.get_file_info(FileSelector(path)) if f.base_name.endswith(".digests"))
+        self.arrays = [DigestArray(f"{uri}/{n}") for n in names]
+        self.lengths = sorted({n for a in self.arrays for n in a.lengths.tolist()})
+
+    def probe(self, candidates: list[bytes]) -> list[tuple[bytes, int] | None]:
+        found: list[tuple[bytes, int] | None] = [None] * len(candidates)
+        wanted = np.fromiter((xxhash.xxh64_intdigest(c, SEED) for c in candidates), np.uint64, len(candidates))
+        for array in self.arrays:
+            array.probe(wanted, candidates, found)
+        return found
 
 
-_OPEN: dict[str, DigestArray] = {}
+_OPEN: dict[str, DigestArrays] = {}
 
 
-def _array(uri: str) -> DigestArray:
+def _arrays(uri: str) -> DigestArrays:
     if uri not in _OPEN:
         _OPEN.clear()
-        _OPEN[uri] = DigestArray(uri)
+        _OPEN[uri] = DigestArrays(uri)
     return _OPEN[uri]
 
 
-def judge(array: DigestArray, urls: list[str | None]) -> list[tuple[str, str, str | None, str | None]]:
+def judge(arrays: DigestArrays, urls: list[str | None]) -> list[tuple[str, str, str | None, str | None]]:
     """(host, path, rule, the rule's verdict) of each url."""
     split = [split_url(u) for u in urls]
     candidates: list[bytes] = []
     owner: list[int] = []
     for k, (host, path) in enumerate(split):
-        if not host:
-            continue
-        labels = host.split(".")
-        prefixes = [path[:n] for n in array.lengths.tolist() if n <= len(path)]
+        labels = host.split(".") if host else []
+        prefixes = [path[:n] for n in arrays.lengths if n <= len(path)]
         for j in range(len(labels)):
-            tail = ".".join(labels[j:])
-            if tail:
+            if tail := ".".join(labels[j:]):
                 candidates += [(tail + p).encode(errors="surrogatepass") for p in prefixes]
                 owner += [k] * len(prefixes)
-    best: dict[int, tuple[int, int]] = {}
-    found = array.probe(candidates)
-    for c in np.flatnonzero(found >= 0).tolist():
-        best[owner[c]] = max(best.get(owner[c], (0, 0)), (len(candidates[c]), int(found[c])))
-    out = []
-    for k, (host, path) in enumerate(split):
-        place = best[k][1] if k in best else -1
-        out.append((host, path, array.string(place).decode() if place >= 0 else None, ("allow", "block")[array.verdicts[place]] if place >= 0 else None))
-    return out
+    best: dict[int, tuple[bytes, int]] = {}
+    for k, hit in zip(owner, arrays.probe(candidates)):
+        if hit and (k not in best or len(hit[0]) > len(best[k][0])):
+            best[k] = hit
+    return [(host, path, *((best[k][0].decode(), ("allow", "block")[best[k][1]]) if k in best else (None, None))) for k, (host, path) in enumerate(split)]
 
 
 def build(spark: SparkSession, rules: DataFrame) -> str:
-    """Writes the array of a table (host, path, verdict) to the shared folder, streaming over its rows; returns its URI."""
-    uri = f"{scratch(prepare(spark), 'url-digests')}/rules"
-    write_digests(((r.host, r.path or "", r.verdict) for r in rules.select("host", "path", "verdict").toLocalIterator() if r.host), uri)
+    """Writes the arrays of a table (host, path, verdict) to the shared folder; returns the folder's URI."""
+    uri = scratch(prepare(spark), "url-digests")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = [(r["host"], r["path"], r["verdict"]) for b in batches for r in b.to_pylist()]
+        if rows:
+            write_digests(iter(rows), f"{uri}/{TaskContext.get().partitionId():06d}.digests")
+        yield pa.RecordBatch.from_pydict({"n": [len(rows)]})
+
+    known = rules.where("host <> ''").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    # Equal rules have equal keys and so meet in one file.
+    dealt = known.repartitionByRange(F.xxhash64(F.concat("host", "path")))
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return uri
 
 
@@ -155,7 +175,7 @@ def filter_urls(pages: DataFrame, array: str, default: str = "allow", keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = judge(_array(array), batch.column(batch.num_columns - 1).to_pylist())
+            rows = judge(_arrays(array), batch.column(batch.num_columns - 1).to_pylist())
             host, path, rule, verdict = zip(*rows) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(rule, pa.string()), pa.array([v or default for v in verdict], pa.string())], names=[*keep, "host", "path", "rule", "verdict"])
 

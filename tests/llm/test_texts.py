@@ -344,11 +344,20 @@ def test_url_filter(spark, sf_dir):
 @pytest.mark.parametrize("same", [False, True])
 def test_equal_digests_are_told_apart_by_strings(tmp_path, monkeypatch, same):
     if same:
-        monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
-    uri = str(tmp_path / "rules")
-    url_filter.write_digests(iter([("a.com", "/", "block"), ("b.com", "/x", "allow"), ("c.com", "", "block"), ("a.com", "/", "allow")]), uri)
-    array = url_filter.DigestArray(uri)
+        monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x, seed: 7)
+    url_filter.write_digests(iter([("a.com", "/", "block"), ("b.com", "/x", "allow"), ("a.com", "/", "allow")]), str(tmp_path / "0.digests"))
+    url_filter.write_digests(iter([("c.com", "", "block")]), str(tmp_path / "1.digests"))
+    array = url_filter.DigestArrays(str(tmp_path))
     got = [(r, v) for _, _, r, v in url_filter.judge(array, ["http://a.com/z", "http://b.com/x1", "http://b.com/y", "http://w.c.com", "http://d.com"])]
     assert got == [("a.com/", "block"), ("b.com/x", "allow"), (None, None), ("c.com", "block"), (None, None)]
-    url_filter.write_digests(iter([]), uri)
-    assert url_filter.judge(url_filter.DigestArray(uri), ["http://a.com/z"])[0][2:] == (None, None)
+    (tmp_path / "none").mkdir()
+    assert url_filter.judge(url_filter.DigestArrays(str(tmp_path / "none")), ["http://a.com/z"])[0][2:] == (None, None)
+
+
+def test_many_rules(spark):
+    """A list dealt out over many files finds what a dictionary finds."""
+    hosts = [f"h{k}.example{k % 7}.org" for k in range(500)]
+    rules = spark.createDataFrame([(h, "/a/" if k % 3 else "/", "block" if k % 2 else "allow") for k, h in enumerate(hosts)], "host string, path string, verdict string").repartition(4)
+    pages = spark.createDataFrame([(k, f"https://x.{h}/a/b") for k, h in enumerate(hosts)] + [(1000, "https://example1.org/a/")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.build(spark, rules), default="none").collect()}
+    assert got == {k: "block" if k % 2 else "allow" for k in range(500)} | {1000: "none"}
