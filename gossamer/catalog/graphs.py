@@ -51,20 +51,20 @@ def _rounds(edges: str, first: str, k: int) -> str:
     return ", ".join(parts)
 
 
-_START = "SELECT r.i, {sign}(coalesce(n, 0) * 4294967296 + ('0x' || substr(md5(r.i::VARCHAR), 1, 8))::BIGINT) AS m, coalesce(n, 0) = 0 AS assigned, CASE WHEN coalesce(n, 0) = 0 THEN {alone} ELSE 0 END AS cf FROM part_rows r LEFT JOIN (SELECT i, count(*) AS n FROM SS GROUP BY i) d ON d.i = r.i"
+_START = "SELECT r.i, {sign}(coalesce(n, 0) * 4294967296 + ('0x' || substr(md5(r.i::VARCHAR), 1, 8))::BIGINT) AS m, coalesce(n, 0) = 0 AS assigned, CASE WHEN coalesce(n, 0) = 0 THEN {alone} ELSE 0 END AS cf FROM part_rows r LEFT JOIN (SELECT i, count(*) AS n FROM {edges} GROUP BY i) d ON d.i = r.i"
 
 
-@query("G2_pmisr", with_base("SELECT i, CASE WHEN cf = 0 THEN 1 ELSE cf END::INTEGER AS cf FROM n3", _rounds("SELECT i, j FROM SS", _START.format(sign="", alone=-1), 3)))
+@query("G2_pmisr", with_base("SELECT i, CASE WHEN cf = 0 THEN 1 ELSE cf END::INTEGER AS cf FROM n3", _rounds("SELECT i, j FROM SS", _START.format(sign="", alone=-1, edges="SS"), 3)))
 def g2(spark, sf_dir):
     return luby.pmisr(pattern(spark, sf_dir), t.part_rows(spark, sf_dir), max_steps=3)
 
 
-@query("G2_pmis", with_base("SELECT i, (-CASE WHEN cf = 0 THEN 1 ELSE cf END)::INTEGER AS cf FROM n3", _rounds("SELECT i, j FROM SS", _START.format(sign="-", alone=1), 3)))
+@query("G2_pmis", with_base("SELECT i, (-CASE WHEN cf = 0 THEN 1 ELSE cf END)::INTEGER AS cf FROM n3", _rounds("SELECT i, j FROM SS", _START.format(sign="-", alone=1, edges="SS"), 3)))
 def g2_pmis(spark, sf_dir):
     return luby.pmisr(pattern(spark, sf_dir), t.part_rows(spark, sf_dir), max_steps=3, pmis=True)
 
 
-@query("G2_pmisr_to_the_end", with_base("SELECT i, CASE WHEN cf = 0 THEN 1 ELSE cf END::INTEGER AS cf FROM n12", _rounds("SELECT i, j FROM SS", _START.format(sign="", alone=-1), 12)))
+@query("G2_pmisr_to_the_end", with_base("SELECT i, CASE WHEN cf = 0 THEN 1 ELSE cf END::INTEGER AS cf FROM n12", _rounds("SELECT i, j FROM SS", _START.format(sign="", alone=-1, edges="SS"), 12)))
 def g2_end(spark, sf_dir):
     return luby.pmisr(pattern(spark, sf_dir), t.part_rows(spark, sf_dir))
 
@@ -101,11 +101,33 @@ def _split(kind, threshold=0.5, **options):
     return run
 
 
-for _name, _kind, _threshold in (
-    ("G6a_pmisr_ddc", SplittingType.PMISR_DDC, 0.5), ("G6b_diag_dom", SplittingType.DIAG_DOM, 0.5), ("G6c_pmis", SplittingType.PMIS, 0.5),
-    ("G6d_pmis_dist2", SplittingType.PMIS_DIST2, 0.5), ("G6e_agg", SplittingType.AGG, 0.9), ("G6f_pmis_agg", SplittingType.PMIS_AGG, 0.9),
+_SD = "SD AS MATERIALIZED (SELECT i, j FROM (SELECT *, max(CASE WHEN i <> j THEN abs(v) END) OVER (PARTITION BY i) AS m FROM D) WHERE i <> j AND abs(v) >= 0.5 * m), SDS AS MATERIALIZED (SELECT i, j FROM SD UNION SELECT j, i FROM SD), SDD AS MATERIALIZED (SELECT i, j FROM (SELECT a.j AS i, b.j FROM SD a JOIN SD b ON b.i = a.i UNION SELECT i, j FROM SD) WHERE i <> j)"
+#: So many rounds assign every node of these matrices.
+_ENOUGH = 14
+
+
+def _to_the_end(edges: str, sign: str, alone: int) -> str:
+    return _SD + ", " + _rounds(f"SELECT i, j FROM {edges}", _START.format(sign=sign, alone=alone, edges=edges), _ENOUGH)
+
+
+_PMIS = f"SELECT i, (-CASE WHEN cf = 0 THEN 1 ELSE cf END)::INTEGER AS cf FROM n{_ENOUGH}"
+_DDC = f"""
+cf0 AS MATERIALIZED (SELECT i, CASE WHEN cf = 0 THEN 1 ELSE cf END AS cf FROM n{_ENOUGH}),
+ratio0 AS MATERIALIZED (SELECT f.i, CASE WHEN own > 0 THEN coalesce(off, 0.0) / own ELSE 0.0 END AS ratio FROM (SELECT i FROM cf0 WHERE cf = -1) f LEFT JOIN
+      (SELECT i, sum(CASE WHEN i <> j THEN abs(v) END) AS off, max(CASE WHEN i = j THEN abs(v) END) AS own FROM D
+       WHERE i IN (SELECT i FROM cf0 WHERE cf = -1) AND j IN (SELECT i FROM cf0 WHERE cf = -1) GROUP BY i) t USING (i)),
+bound0 AS (SELECT max(bin) / 1000.0::DOUBLE AS bound FROM (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above FROM (SELECT least(floor(ratio * 1000), 999) AS bin, count(*) AS n FROM ratio0 GROUP BY 1)) WHERE above >= (SELECT floor(count(*) * 0.1) FROM ratio0))
+"""
+
+for _name, _kind, _threshold, _sql in (
+    ("G6a_pmisr_ddc", SplittingType.PMISR_DDC, 0.5, with_base("SELECT c.i, CASE WHEN r.ratio >= bound AND r.ratio <> 0 THEN 1 ELSE c.cf END::INTEGER AS cf FROM bound0, cf0 c LEFT JOIN ratio0 r ON r.i = c.i", f"{_to_the_end('SDS', '', -1)}, {_DDC}")),
+    ("G6b_diag_dom", SplittingType.DIAG_DOM, 0.5, None),
+    ("G6c_pmis", SplittingType.PMIS, 0.5, with_base(_PMIS, _to_the_end("SDS", "-", 1))),
+    ("G6d_pmis_dist2", SplittingType.PMIS_DIST2, 0.5, with_base(_PMIS, _to_the_end("SDD", "-", 1))),
+    ("G6e_agg", SplittingType.AGG, 0.9, None),
+    ("G6f_pmis_agg", SplittingType.PMIS_AGG, 0.9, None),
 ):
-    query(_name)(_split(_kind, _threshold))
+    query(_name, _sql)(_split(_kind, _threshold))
 
 
 @query("G6g_cr")
