@@ -15,6 +15,8 @@ from gossamer.operators.algebra import spmv
 from gossamer.session import materialize
 
 TINY = 1e-14
+#: A matrix of at most so many entries is worked on by the driver: there a step takes microseconds, and a Spark job tenths of a second.
+DRIVER_ENTRIES = 100_000
 
 
 def start_vector(rows: DataFrame, salt: str = "start") -> DataFrame:
@@ -66,11 +68,43 @@ def orthogonalise(w: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, float]:
     return left, parts, square**0.5
 
 
+def _small_arnoldi(a: pd.DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float, DataFrame]:
+    """The same on the driver."""
+    rhs = b.select("i", "x").toPandas().sort_values("i")
+    ids, x = rhs["i"].to_numpy(), rhs["x"].to_numpy(float)
+    rows, columns, values = (np.searchsorted(ids, a["i"]), np.searchsorted(ids, a["j"]), a["v"].to_numpy(float))
+    spark, n = b.sparkSession, len(ids)
+    beta, h, basis = float(np.linalg.norm(x)), np.zeros((steps + 1, steps)), [x]
+
+    def table() -> DataFrame:
+        names = [f"x{k}" for k in range(len(basis))]
+        return spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, np.stack(basis, axis=1))], ", ".join(["i long", *(f"{c} double" for c in names)]))
+
+    if not beta:
+        return h[:1, :0], beta, table()
+    basis[0] = x / beta
+    for k in range(steps):
+        w, v = np.bincount(rows, values * basis[k][columns], n), np.stack(basis, axis=1)
+        for _ in range(2):
+            part = v.T @ w
+            h[: k + 1, k] += part
+            w = w - v @ part
+        h[k + 1, k] = norm = float(np.linalg.norm(w))
+        if norm <= TINY * max(1.0, np.abs(h[: k + 1, k]).max()):
+            return h[: k + 2, : k + 1], beta, table()
+        if k + 1 < steps:
+            basis.append(w / norm)
+    return h, beta, table()
+
+
 def arnoldi(a: DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float, DataFrame]:
     """(Hessenberg matrix of steps + 1 rows, norm of b, basis) by classical Gram-Schmidt with all products in one reduction.
 
-    Fewer columns come back after a lucky breakdown.
+    Fewer columns come back after a lucky breakdown.  A small matrix (the coarse levels of a hierarchy) is worked on by the driver.
     """
+    few = a.select("i", "j", "v").limit(DRIVER_ENTRIES + 1).toPandas()
+    if len(few) <= DRIVER_ENTRIES and b.limit(DRIVER_ENTRIES + 1).count() <= DRIVER_ENTRIES:
+        return _small_arnoldi(few, b, steps)
     beta = float(b.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0)
     h = np.zeros((steps + 1, steps))
     if not beta:
