@@ -15,7 +15,7 @@ from gossamer.functions.dense import least_squares, modified_leja
 from gossamer.operators import algebra as al
 from gossamer.operators.krylov_basis import arnoldi, powers, start_vector, tsqr
 from gossamer.plans.model import InverseOptions, InverseType
-from gossamer.session import materialize
+from gossamer.session import materialize, prepare
 
 NEWTON = (InverseType.NEWTON, InverseType.NEWTON_NO_EXTRA)
 #: A root is added when the product of its factors exceeds 10^4, and another for each further 10^14.
@@ -197,6 +197,7 @@ def row_solve(a: DataFrame, pattern: DataFrame, rhs: DataFrame, square: bool) ->
 
     I is J itself (square: an exact solve) or all columns of the rows J.  A group is what one row needs, never more.
     """
+    prepare(a.sparkSession)
     need = al.rows_needed(a, pattern).withColumn("kind", F.lit(0))
     own = pattern.select("i", F.col("j").alias("r"), F.col("j"), F.lit(0.0).alias("v"), F.lit(1).alias("kind"))
     right = rhs.select("i", F.col("j").alias("r"), "j", "v", F.lit(2).alias("kind"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gossamer.functions.dense import triangle
 from gossamer.functions.randoms import gaussian
 from gossamer.operators.algebra import spmv
-from gossamer.session import materialize
+from gossamer.session import materialize, prepare
 
 TINY = 1e-14
 #: A matrix of at most so many entries is worked on by the driver: there a step takes microseconds, and a Spark job tenths of a second.
@@ -29,6 +29,7 @@ def tsqr(columns: DataFrame, names: list[str]) -> np.ndarray:
 
     Each partition is reduced to a small triangle as its batches come; the triangles are stacked in the order of the partitions.
     """
+    prepare(columns.sparkSession)
     n = len(names)
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from gossamer.operators import algebra as al
 from gossamer.operators.luby import pmisr, pmisr_on_sum
 from gossamer.operators.strength import strength
 from gossamer.plans.model import C_POINT, F_POINT, InverseOptions, InverseType, SplittingType
-from gossamer.session import materialize
+from gossamer.session import materialize, prepare
 
 #: Fixed values of compatible relaxation: sweeps with a diagonal and with a polynomial inverse, polynomial order, candidates' least part, passes.
 CR_SWEEPS, CR_SWEEPS_POLY, CR_POLY_ORDER, CR_CANDIDATE, CR_PASSES = 10, 1, 6, 0.1, 100
@@ -73,6 +73,7 @@ def aggregate(pattern: DataFrame, rows: DataFrame, boundary: DataFrame | None =
     Row order decides, but only within a connected component of the pattern, so components are worked on apart, each by one
     task.  A component above the memory of a task can't be split without changing the result.  boundary: (i, cf) fixed beforehand.
     """
+    prepare(rows.sparkSession)
     nodes = rows.select("i")
     fixed = nodes.join(boundary.select("i", F.col("cf").alias("was")), "i", "left") if boundary is not None else nodes.withColumn("was", F.lit(0))
     labels = component_labels(pattern, nodes)

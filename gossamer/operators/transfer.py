@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gossamer.functions.dense import pseudo_inverse
 from gossamer.operators import algebra as al
 from gossamer.operators.inverse import row_solve
-from gossamer.session import materialize
+from gossamer.session import materialize, prepare
 
 #: Fixed value: Richardson iterations that smooth a near-nullspace vector.
 SMOOTHING = 15
@@ -68,6 +68,7 @@ def constrain(w: DataFrame, coarse_vectors: DataFrame, fine_vectors: DataFrame)
 
     Vectors: (i, xs array); with one vector the formula is closed and stays in SQL.
     """
+    prepare(w.sparkSession)
     one = coarse_vectors.select(F.size("xs").alias("n")).first()
     right = coarse_vectors.select(F.col("i").alias("j"), F.col("xs").alias("b"))
     joined = w.join(right, "j").join(fine_vectors.select("i", F.col("xs").alias("f")), "i")

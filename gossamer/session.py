@@ -44,4 +44,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     uri = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(uri)
+    _WRITTEN.append(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that `materialize` wrote in this process, when no result that reads them is needed any more; returns their number."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
