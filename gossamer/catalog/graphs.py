@@ -9,7 +9,7 @@ from gossamer.operators import luby
 from gossamer.operators import splitting as sp
 from gossamer.operators.strength import strength
 from gossamer.plans.model import InverseOptions, InverseType, SplittingType
-from gossamer.session import materialize
+from gossamer.session import materialize, prepare
 from gossamer.sources import generators as g
 from gossamer.sources import tables as t
 
@@ -132,8 +132,8 @@ for _name, _kind, _threshold, _sql in (
 
 @query("G6g_cr")
 def g6g(spark, sf_dir):
-    a = g.upwind_diffusion_2d(spark, 12, 0.1)
-    return sp.compute_cf_splitting(a, al.index_set(spark, 144), strong_threshold=0.7, splitting=SplittingType.CR, cr_inverse=InverseOptions(InverseType.JACOBI))
+    a = materialize(t.dominant(prepare(spark), sf_dir), "dominant")
+    return sp.compute_cf_splitting(a, t.part_rows(spark, sf_dir), strong_threshold=0.7, splitting=SplittingType.CR, cr_inverse=InverseOptions(InverseType.JACOBI))
 
 
 @query("G7_aggregation")

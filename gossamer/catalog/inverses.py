@@ -39,7 +39,7 @@ def _grid(spark):
 
 def _coefficients(kind, order):
     def run(spark, sf_dir):
-        a, rows = _grid(spark)
+        a, rows = scaled(spark, sf_dir)
         return inv.ApproxInverse.build(a, rows, InverseOptions(kind, order, matrix_free=True)).coefficient_table()
 
     return run
@@ -68,14 +68,12 @@ def i5(spark, sf_dir):
 
 @query("I6_sai")
 def i6(spark, sf_dir):
-    a, rows = _grid(spark)
-    return rounded(inv.sai(a, rows, 1), 9)
+    return rounded(inv.sai(*dominant(spark, sf_dir), 1), 9)
 
 
 @query("I7_isai")
 def i7(spark, sf_dir):
-    a, rows = _grid(spark)
-    return rounded(inv.sai(a, rows, 1, square=True), 9)
+    return rounded(inv.sai(*dominant(spark, sf_dir), 1, square=True), 9)
 
 
 @query("I8_jacobi", with_base("SELECT i, i AS j, round(d, 9) AS v FROM Jinv"))
@@ -184,7 +182,7 @@ def i19(spark, sf_dir):
 
 @query("I20_reused_coefficients")
 def i20(spark, sf_dir):
-    a, rows = _grid(spark)
+    a, rows = scaled(spark, sf_dir)
     first = inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.ARNOLDI, 2, 1))
     again = inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.ARNOLDI, 2, 1), first.coefficients)
     return again.coefficient_table()
@@ -193,7 +191,7 @@ def i20(spark, sf_dir):
 @query("I2_arnoldi_residual")
 def arnoldi_residual(spark, sf_dir):
     """Residual norm of each polynomial basis on a random right-hand side; all are the same polynomial."""
-    a, rows = _grid(spark)
+    a, rows = scaled(spark, sf_dir)
     b = start_vector(rows)
     found = []
     for kind in (InverseType.POWER, InverseType.ARNOLDI, InverseType.NEWTON_NO_EXTRA):

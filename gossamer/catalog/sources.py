@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog import query
 from gossamer.plans.model import Options
-from gossamer.session import shared_dir
+from gossamer.session import prepare, shared_dir
 from gossamer.sources import generators as g
+from gossamer.sources import tables as t
 
 
 def _round(df, digits=9):
@@ -125,5 +126,4 @@ def store(spark, sf_dir):
 def statistics(spark, sf_dir):
     from gossamer.plans.multigrid import Hierarchy
 
-    a = g.upwind_2d(spark, 12)
-    return Hierarchy.build(a, spark.range(144).withColumnRenamed("id", "i"), Options(poly_order=2, max_levels=3)).stats_df()
+    return Hierarchy.build(t.dominant(prepare(spark), sf_dir), t.part_rows(spark, sf_dir), Options(poly_order=2, max_levels=3)).stats_df()

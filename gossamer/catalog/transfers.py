@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
 from gossamer.catalog.algebra import rounded, sets
-from gossamer.catalog.inverses import dominant
+from gossamer.catalog.inverses import dominant, scaled
 from gossamer.operators import algebra as al
 from gossamer.operators import inverse as inv
 from gossamer.operators import splitting as sp
@@ -42,9 +42,8 @@ def r1(spark, sf_dir):
     return rounded(tr.ideal_z(acf, m), 9)
 
 
-def _grid_blocks(spark):
-    a = materialize(g.upwind_diffusion_2d(prepare(spark), 12, 0.01), "grid")
-    rows = al.index_set(spark, 144)
+def _split_blocks(spark, sf_dir):
+    a, rows = dominant(spark, sf_dir)
     cf = materialize(sp.compute_cf_splitting(a, rows), "markers")
     fine, coarse = sp.fine_set(cf), sp.coarse_set(cf)
     return al.submatrix(a, fine, fine), al.submatrix(a, coarse, fine)
@@ -52,12 +51,12 @@ def _grid_blocks(spark):
 
 @query("R2_local_restriction")
 def r2(spark, sf_dir):
-    return rounded(tr.local_z(*_grid_blocks(spark), distance=2), 9)
+    return rounded(tr.local_z(*_split_blocks(spark, sf_dir), distance=2), 9)
 
 
 @query("R3_local_restriction_least_squares")
 def r3(spark, sf_dir):
-    return rounded(tr.local_z(*_grid_blocks(spark), distance=2, square=False), 9)
+    return rounded(tr.local_z(*_split_blocks(spark, sf_dir), distance=2, square=False), 9)
 
 
 @query("R4_one_point", with_base("SELECT i, j, v FROM W", BLOCKS))
@@ -189,33 +188,29 @@ def m8(spark, sf_dir):
 SMALL = Options(poly_order=2, coarsest_poly_order=4, max_levels=3, inverse_type=InverseType.NEUMANN, strong_threshold=0.5)
 
 
-def _grid(spark, n=14):
+def _grid(spark, n):
     return g.upwind_diffusion_2d(prepare(spark), n, 0.01), al.index_set(spark, n * n)
 
 
-def _rhs(rows):
-    return rows.select("i", F.lit(1.0).alias("x"))
-
-
 def _build(name, measure, **options):
     def run(spark, sf_dir):
-        a, rows = _grid(spark)
+        a, rows = dominant(spark, sf_dir)
         h = Hierarchy.build(a, rows, SMALL.with_(**options))
-        return measure(h, a, rows)
+        return measure(h, a, t.part_sizes(spark, sf_dir))
 
     query(name)(run)
 
 
-_build("M1_hierarchy", lambda h, a, rows: h.stats_df())
-_build("M2_coarse_limit", lambda h, a, rows: h.stats_df(), coarse_eq_limit=60)
-_build("M3_auto_truncation", lambda h, a, rows: h.stats_df(), auto_truncate_start_level=0, auto_truncate_tol=0.9)
-_build("M5_single_level", lambda h, a, rows: h.stats_df(), max_levels=1)
-_build("M9_full_smoothing", lambda h, a, rows: rounded(h.apply(_rhs(rows))), full_smoothing_up_and_down=True, max_levels=2)
-_build("M10_cycle", lambda h, a, rows: rounded(h.apply(_rhs(rows))))
-_build("M12_apply_preconditioner", lambda h, a, rows: rounded(h.apply(_rhs(rows))), smooth_type="fc", max_levels=2)
-_build("M16_timers", lambda h, a, rows: h.timers.df(a.sparkSession).select("name"), max_levels=2)
-_build("A10_complexities", lambda h, a, rows: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"))
-_build("R2_hierarchy_local", lambda h, a, rows: h.stats_df(), z_type=ZType.LAIR, max_levels=2)
+_build("M1_hierarchy", lambda h, a, b: h.stats_df())
+_build("M2_coarse_limit", lambda h, a, b: h.stats_df(), coarse_eq_limit=60)
+_build("M3_auto_truncation", lambda h, a, b: h.stats_df(), auto_truncate_start_level=0, auto_truncate_tol=0.9)
+_build("M5_single_level", lambda h, a, b: h.stats_df(), max_levels=1)
+_build("M9_full_smoothing", lambda h, a, b: rounded(h.apply(b)), full_smoothing_up_and_down=True, max_levels=2)
+_build("M10_cycle", lambda h, a, b: rounded(h.apply(b)))
+_build("M12_apply_preconditioner", lambda h, a, b: rounded(h.apply(b)), smooth_type="fc", max_levels=2)
+_build("M16_timers", lambda h, a, b: h.timers.df(a.sparkSession).select("name"), max_levels=2)
+_build("A10_complexities", lambda h, a, b: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"))
+_build("R2_hierarchy_local", lambda h, a, b: h.stats_df(), z_type=ZType.LAIR, max_levels=2)
 
 
 @query("M4_diagonal_block", "SELECT 1 AS times")
@@ -228,18 +223,18 @@ def m4(spark, sf_dir):
 
 @query("M11_coarse_solve")
 def m11(spark, sf_dir):
-    a, rows = _grid(spark, 8)
-    m = inv.ApproxInverse.build(materialize(a, "a"), rows, InverseOptions(InverseType.ARNOLDI, 4, matrix_free=True))
-    return rounded(m.apply(_rhs(rows)))
+    m = inv.ApproxInverse.build(*scaled(spark, sf_dir), InverseOptions(InverseType.ARNOLDI, 4, matrix_free=True))
+    return rounded(m.apply(t.part_sizes(spark, sf_dir)))
 
 
 @query("M13_reuse", "SELECT * FROM (VALUES ('frozen', true), ('same pattern', true), ('new pattern', false)) r(kind, reused)")
 def m13(spark, sf_dir):
-    a, rows = _grid(spark, 8)
+    a, rows = dominant(spark, sf_dir)
+    gone = a.where("i <> j").orderBy("i", "j").first()
     o = SMALL.with_(reuse_sparsity=True, max_levels=2)
     h = Hierarchy.build(a, rows, o)
     again = h.rebuild(a.withColumn("v", 2 * F.col("v")), rows)
-    other = h.rebuild(a.where("i <> 3 or j <> 2"), rows)
+    other = h.rebuild(a.where((F.col("i") != gone.i) | (F.col("j") != gone.j)), rows)
     h.frozen = True
     found = [("frozen", h.rebuild(a, rows) is h), ("same pattern", again.levels[0].cf is h.levels[0].cf), ("new pattern", other.levels[0].cf is h.levels[0].cf)]
     return spark.createDataFrame(found, "kind string, reused boolean")
@@ -257,10 +252,9 @@ def m14(spark, sf_dir):
 
 def _solve(name, solver, **options):
     def run(spark, sf_dir):
-        a, rows = _grid(spark, 8)
-        a = materialize(a, "a")
+        a, rows = dominant(spark, sf_dir)
         h = Hierarchy.build(a, rows, SMALL.with_(**options))
-        return rounded(solver(a, _rhs(rows), h.apply, rtol=1e-3, max_it=6).history())
+        return rounded(solver(a, t.part_sizes(spark, sf_dir), h.apply).history())
 
     query(name)(run)
 
@@ -278,19 +272,17 @@ def k3(spark, sf_dir):
 
 @query("K4_incomplete_factors")
 def k4(spark, sf_dir):
-    a, rows = _grid(spark, 8)
+    a, rows = dominant(spark, sf_dir)
     lower, upper = krylov.incomplete_factors(a, rows, 3)
     return rounded(lower.select(F.lit("L").alias("factor"), "i", "j", "v").unionByName(upper.select(F.lit("U").alias("factor"), "i", "j", "v")))
 
 
 @query("K5_time_steps")
 def k5(spark, sf_dir):
-    a = g.advection_1d(prepare(spark), 32)
-    rows = al.index_set(spark, 32)
-    x = rows.select("i", (F.col("i") < 8).cast("double").alias("x"))
+    a, rows = dominant(spark, sf_dir)
 
     def solve(system, b):
         m = inv.ApproxInverse.build(system, rows, InverseOptions(InverseType.NEUMANN, 4, 4))
-        return krylov.richardson(system, b, m.apply, rtol=1e-8, max_it=8)
+        return krylov.gmres(system, b, m.apply, rtol=1e-8)
 
-    return rounded(krylov.backward_euler(a, rows, x, 0.2, 2, solve))
+    return rounded(krylov.backward_euler(a, rows, t.part_sizes(spark, sf_dir), 0.2, 2, solve))
