@@ -4,8 +4,9 @@ Every id comes from the `tokenizers` library.  Natural text repeats its
 pre-tokens, so texts whose characters are all printable Latin-1 (where the
 vocabulary's splitting pattern is an explicit character class) are split
 here, and only pre-tokens not seen before by this worker are given to the
-library.  Any other text goes to the library whole.  Both ways give the same
-ids; tests compare them.
+library.  Any other text, and one that contains the string of an added token
+(`<|endoftext|>`), goes to the library whole.  Both ways give the same ids;
+tests compare them.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lower = self.library.normalizer is not None
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE if self.lower else 0).search
         if self.lower:
             split = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
         else:
@@ -127,7 +129,7 @@ class CachedTokenizer:
                 plain = not text.encode("latin-1").translate(None, _PLAIN)
             except UnicodeEncodeError:
                 plain = False
-            if plain:
+            if plain and not self.added(text):
                 words = self.split(text.lower() if self.lower else text)
                 known.append(self._places(words))
                 counts.append(len(words))
