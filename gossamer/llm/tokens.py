@@ -1,32 +1,36 @@
 """Whole-text tokenization with the public vocabulary files.
 
-Every id comes from the `tokenizers` library.  Natural text repeats its
-pre-tokens, so texts whose characters are all printable Latin-1 (where the
-vocabulary's splitting pattern is an explicit character class) are split
-here, and only pre-tokens not seen before by this worker are given to the
-library.  Any other text, and one that contains the string of an added token
-(`<|endoftext|>`), goes to the library whole.  Both ways give the same ids;
-tests compare them.
+Every whole text goes to the `tokenizers` library as it is, with nothing set
+but add_special_tokens=False.  Texts are given to it in batches of bounded
+length; a longer text is a batch of its own.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-_NUMBER = "0-9²³¹¼-¾"
-_SPACE = "\t\n\r "
-#: Characters whose class is the same in every version of the splitting pattern.
-_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-#: Beyond so many pre-tokens a worker forgets those that it met least often, which bounds its memory and keeps lookups fast.
-MAX_CACHED_WORDS = 500_000
+#: Characters of one call of the library, which bounds what its results take.
+BATCH_CHARS = 1_000_000
 
 
-class CachedTokenizer:
+def batches_of(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of at most BATCH_CHARS characters, or of one longer text."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text) > BATCH_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+class WholeTexts:
     """ids of whole texts under one vocabulary file, as the library gives them."""
 
     def __init__(self, path: str):
@@ -34,131 +38,23 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.lower = self.library.normalizer is not None
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE if self.lower else 0).search
-        if self.lower:
-            split = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
-        else:
-            split = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-        self.split = re.compile(split).findall
-        self.apart = re.compile(rf"{'' if self.lower else ' '}[{_LETTER}]+").fullmatch
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.fresh: list[str] = []
-        self.n = 0
-        self.flat, self.starts, self.lengths = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used, self.hits = 0, np.zeros(0, np.int64)
-
-    def _thin(self) -> None:
-        """Keeps the pre-tokens that were met more than once, and of those at most the half of the bound that was met most often."""
-        least = 2 if (self.hits > 1).sum() <= MAX_CACHED_WORDS // 2 else int(np.partition(self.hits, -MAX_CACHED_WORDS // 2)[-MAX_CACHED_WORDS // 2]) + 1
-        words, hits = list(self.index), self.hits
-        kept = np.flatnonzero(hits >= least)
-        starts, lengths = self.starts[kept], self.lengths[kept]
-        ends = np.cumsum(lengths)
-        flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        self._forget()
-        self.index.update(zip([words[k] for k in kept.tolist()], range(len(kept))))
-        self._append(flat, lengths)
-        self.hits = hits[kept] // 2
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        """Number of each pre-token; unknown ones are numbered and put down to be learned."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        for k in np.flatnonzero(at < 0).tolist():
-            word = words[k]
-            place = self.index.get(word, -1)
-            if place < 0:
-                place = self.index[word] = len(self.index)
-                self.fresh.append(word)
-            at[k] = place
-        return at
-
-    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        while self.n + len(lengths) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        at = slice(self.n, self.n + len(lengths))
-        self.lengths[at] = lengths
-        self.starts[at] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.n, self.used = self.n + len(lengths), self.used + len(flat)
-
-    def _each(self, words: list[str]) -> list[list[int]]:
-        """ids of each pre-token.  Words of letters stand apart in a text of them, so thousands take one call."""
-        joined = [w for w in words if self.apart(w)]
-        found: dict[str, list[int]] = {}
-        if joined:
-            text = "".join(joined) if not self.lower else " ".join(joined)
-            got = self.library.encode(text, add_special_tokens=False)
-            ids, cuts = got.ids, np.flatnonzero(np.diff(np.asarray(got.word_ids), prepend=-1)).tolist()
-            if len(cuts) != len(joined):
-                raise ValueError("the vocabulary splits words of letters otherwise")
-            found = {w: ids[a:b] for w, a, b in zip(joined, cuts, [*cuts[1:], len(ids)])}
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._library(rest)))
-        return [found[w] for w in words]
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self) -> None:
-        """Encodes the pre-tokens that were asked for and not known."""
-        fresh, self.fresh = self.fresh, []
-        for k in range(0, len(fresh), 4096):
-            ids = self._each(fresh[k : k + 4096])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-            self._append(flat, lengths)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another as int32, number of ids of each text); `end` is appended to each text."""
-        if self.n > MAX_CACHED_WORDS:
-            self._thin()
-        parts: list[np.ndarray | None] = [None] * len(texts)
-        where, counts, known = [], [], []
-        for k, text in enumerate(texts):
-            if not text:
-                parts[k] = np.zeros(0, np.int32)
-                continue
-            try:
-                plain = not text.encode("latin-1").translate(None, _PLAIN)
-            except UnicodeEncodeError:
-                plain = False
-            if plain and not self.added(text):
-                words = self.split(text.lower() if self.lower else text)
-                known.append(self._places(words))
-                counts.append(len(words))
-                where.append(k)
-            else:
-                parts[k] = np.asarray(self._library([text])[0], np.int32)
-        self._learn()
-        if where:
-            at = np.concatenate(known)
-            met = np.bincount(at, minlength=self.n)
-            met[: len(self.hits)] += self.hits
-            self.hits = met
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-            for j, k in enumerate(where):
-                parts[k] = ids[bounds[j] : bounds[j + 1]]
-        tail = np.asarray([] if end is None else [end], np.int32)
-        whole = [x for p in parts for x in (p, tail)] if end is not None else parts
-        sizes = np.fromiter((len(p) + len(tail) for p in parts), np.int64, len(parts))
-        return (np.concatenate(whole) if whole else np.zeros(0, np.int32)).astype(np.int32, copy=False), sizes
-
-
-_OPEN: dict[str, CachedTokenizer] = {}
-
-
-def tokenizer(path: str) -> CachedTokenizer:
-    """This worker's tokenizer for a vocabulary file; its cache lasts as long as the worker."""
+        """(ids of all texts one after another as int32, number of ids of each text); `end` is appended to each text; null is empty."""
+        tail = [] if end is None else [end]
+        parts, sizes = [np.zeros(0, np.int32)], []
+        for some in batches_of([t or "" for t in texts]):
+            for found in self.library.encode_batch_fast(some, add_special_tokens=False):
+                parts.append(np.array(found.ids + tail, np.int32))
+                sizes.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(sizes, np.int64)
+
+
+_OPEN: dict[str, WholeTexts] = {}
+
+
+def tokenizer(path: str) -> WholeTexts:
+    """This worker's tokenizer for a vocabulary file."""
     if path not in _OPEN:
-        _OPEN[path] = CachedTokenizer(path)
+        _OPEN[path] = WholeTexts(path)
     return _OPEN[path]

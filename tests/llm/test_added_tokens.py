@@ -3,7 +3,7 @@
 import pytest
 
 from gossamer.llm import queries
-from gossamer.llm.tokens import CachedTokenizer
+from gossamer.llm.tokens import WholeTexts
 
 TEXTS = ["x <|endoftext|> y", "x y", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> end", "<|endoftext", "", None, "é漢 <|endoftext|>", "a<|endoftext|><|endoftext|>  b\n"]
 
@@ -14,11 +14,11 @@ def test_added_tokens_have_the_ids_of_the_library(name):
 
     own = Tokenizer.from_file(queries.vocabulary(name))
     expected = [own.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
-    ids, sizes = CachedTokenizer(queries.vocabulary(name)).encode(TEXTS)
+    ids, sizes = WholeTexts(queries.vocabulary(name)).encode(TEXTS)
     assert sizes.tolist() == [len(e) for e in expected]
     assert ids.tolist() == [i for e in expected for i in e]
 
 
 def test_ids_of_an_added_token():
-    assert CachedTokenizer(queries.vocabulary("byte_bpe_50k.json")).encode(["x <|endoftext|> y"])[0].tolist() == [87, 220, 50256, 331]
-    assert CachedTokenizer(queries.vocabulary("word_bpe_49k.json")).encode(["x <|endoftext|> y"])[0].tolist() == [343, 49407, 344]
+    assert WholeTexts(queries.vocabulary("byte_bpe_50k.json")).encode(["x <|endoftext|> y"])[0].tolist() == [87, 220, 50256, 331]
+    assert WholeTexts(queries.vocabulary("word_bpe_49k.json")).encode(["x <|endoftext|> y"])[0].tolist() == [343, 49407, 344]

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gossamer.llm import media, packing, queries, token_blocks, warc
-from gossamer.llm.tokens import CachedTokenizer
+from gossamer.llm import tokens
+from gossamer.llm.tokens import WholeTexts
 
 from .conftest import CASES
 
@@ -21,7 +22,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,37 +30,21 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cached_tokenizer_is_the_library(spark, sf_dir, name):
+@pytest.mark.parametrize("chars", [1, 300, 1_000_000])
+def test_texts_in_batches_have_the_ids_of_the_library(monkeypatch, spark, sf_dir, name, chars):
+    monkeypatch.setattr(tokens, "BATCH_CHARS", chars)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()] + [c[1] for c in CASES]
-    ids, sizes = CachedTokenizer(queries.vocabulary(name)).encode(texts)
-    expected = [library(name)(t) for t in texts]
+    ids, sizes = WholeTexts(queries.vocabulary(name)).encode(texts, 7)
+    expected = [[*library(name)(t), 7] for t in texts]
     assert sizes.tolist() == [len(e) for e in expected]
     assert ids.tolist() == [i for e in expected for i in e]
+    assert WholeTexts(queries.vocabulary(name)).encode([])[0].tolist() == []
 
 
-def test_rare_words_are_forgotten_and_learned_again(monkeypatch):
-    from gossamer.llm import tokens
-
-    monkeypatch.setattr(tokens, "MAX_CACHED_WORDS", 40)
-    cached, own = CachedTokenizer(queries.vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        texts = [" ".join(f"word{k} the of" for k in rng.zipf(1.3, 12) % 200) for _ in range(3)]
-        ids, sizes = cached.encode(texts, 0)
-        assert ids.tolist() == [i for t in texts for i in [*own(t), 0]] and len(cached.index) == cached.n
-    assert cached.n < 200
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x17F), max_size=40), max_size=4))
-def test_cached_tokenizer_on_any_text(texts):
+def test_a_very_long_word():
+    word = "abcdefghij" * 20_000
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        cached = _CACHED.setdefault(name, CachedTokenizer(queries.vocabulary(name)))
-        own = _LIBRARY.setdefault(name, library(name))
-        assert cached.encode(texts)[0].tolist() == [i for t in texts for i in own(t)]
-
-
-_CACHED, _LIBRARY = {}, {}
+        assert WholeTexts(queries.vocabulary(name)).encode([word])[0].tolist() == library(name)(word)
 
 
 @settings(max_examples=60, deadline=None)
