@@ -5,11 +5,14 @@ with T tokens is split among n = ceil(T / capacity) windows: every piece is a
 partial partition (its size and n - 1 zeros); the two partial partitions with
 the largest spread are merged again and again, the largest load of the one
 with the smallest of the other, until one is left, whose n loads are nearly
-equal.  If any exceeds the capacity, n rises.
+equal.  If any exceeds the capacity, n rises.  Only loads that are not zero are
+held, so a block takes memory in proportion to its pieces, not to pieces times
+windows.
 
-Blocks are formed inside each input partition, so nothing is shuffled and no
-task holds more than two blocks besides its Arrow batch.  A sequence's id is
-the partition's number and a count.
+Blocks are runs of pieces inside each input partition (a long document's pieces
+may lie in many blocks), bounded by tokens and by their number, so nothing is
+shuffled and no task holds more than two blocks besides the texts that it
+encodes.  A sequence's id is the partition's number and a count.
 
 Edges: a null or empty text is one piece, the end id alone; null doc_ids are
 kept; repeated rows are packed each; an empty table gives no rows; other
@@ -37,40 +40,38 @@ def differencing(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     m = len(sizes)
     if n == 1:
         return np.zeros(m, np.int64), np.array([sizes.sum()], np.int64)
-    # A partial partition: n loads less their smallest, ascending, and for each the node that holds its pieces.
-    # Nodes 0..m-1 are pieces; a merge makes nodes above; -1 holds nothing.
-    above = np.full(m + m * n, -1, np.int64)
-    nodes, heap = m, []
-    for k in range(m):
-        loads, held = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        loads[-1], held[-1] = sizes[k], k
-        heap.append((-int(sizes[k]), k, loads, held))
+    # A partial partition: its loads above its smallest, descending (the other parts hold the smallest: 0), and for each a
+    # piece that stands for the part's pieces.  All pieces of a part are joined to trees; a part that holds nothing has -1.
+    tree = np.arange(m)
+    heap = [(-int(sizes[k]), k, sizes[k : k + 1].astype(np.int64), np.array([k])) for k in range(m)]
     heapq.heapify(heap)
     count = m
     while len(heap) > 1:
         _, _, a, a_held = heapq.heappop(heap)
         _, _, b, b_held = heapq.heappop(heap)
-        loads, b_held = a + b[::-1], b_held[::-1]
-        held = np.where(a_held < 0, b_held, a_held)
-        both = np.flatnonzero((a_held >= 0) & (b_held >= 0))
-        if len(both):
-            made = np.arange(nodes, nodes + len(both))
-            above[a_held[both]] = above[b_held[both]] = made
-            held[both] = made
-            nodes += len(both)
-        order = np.argsort(loads, kind="stable")
-        loads = loads[order]
-        loads -= loads[0]
-        heapq.heappush(heap, (-int(loads[-1]), count, loads, held[order]))
+        if max(len(a), len(a_held)) + max(len(b), len(b_held)) <= n:  # the largest loads of each meet parts of the other that hold nothing
+            loads, held = np.concatenate((a, b)), np.concatenate((a_held, b_held))
+        else:
+            loads, held = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+            loads[: len(a)], held[: len(a_held)] = a, a_held
+            loads[n - len(b) :] += b[::-1]
+            other = np.full(n, -1, np.int64)
+            other[n - len(b_held) :] = b_held[::-1]
+            both = (held >= 0) & (other >= 0)
+            tree[other[both]] = held[both]
+            held = np.where(held < 0, other, held)
+        order = np.argsort(-loads, kind="stable")
+        loads, held = loads[order], held[order]
+        if len(loads) == n:
+            loads = loads - loads[-1]
+        heapq.heappush(heap, (-int(loads[0]), count, loads, held))
         count += 1
     held = heap[0][3]
-    part = np.full(nodes, -1, np.int64)
-    part[held[held >= 0]] = np.flatnonzero(held >= 0)
-    root = np.where(above[:nodes] < 0, np.arange(nodes), above[:nodes])
-    while not np.array_equal(further := root[root], root):  # pointer jumping
-        root = further
-    part = part[root]
-    part = part[:m]
+    while not np.array_equal(further := tree[tree], tree):  # pointer jumping
+        tree = further
+    of = np.full(m, -1, np.int64)
+    of[tree[held[held >= 0]]] = np.flatnonzero(held >= 0)
+    part = of[tree]
     return part, np.bincount(part, weights=sizes, minlength=n).astype(np.int64)
 
 
@@ -96,11 +97,11 @@ def cut(sizes: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return doc, start, whole * (k + 1) // n - start
 
 
-def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 4096, piece: int = 1024, block: int = 128) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 4096, piece: int = 1024, block: int = 128, block_pieces: int = 65_536) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, padded_length, ids (little-endian unsigned 32-bit).
 
-    capacity: tokens of a sequence; piece: the longest uncut stretch of a document; block: windows that are balanced together.
-    A sequence is padded to the capacity, but not if its length is a power of two.
+    capacity: tokens of a sequence; piece: the longest uncut stretch of a document; block: windows that are balanced together, of
+    at most block_pieces pieces.  A sequence is padded to the capacity, but not if its length is a power of two.
     """
     if piece > capacity:
         raise ValueError("a piece must fit a sequence")
@@ -109,62 +110,60 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 4096, p
         from pyspark import TaskContext
 
         partition, encode, made = TaskContext.get().partitionId(), tokenizer(vocabulary).encode, 0
-        doc_ids: list[int | None] = []
-        held: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        n_held = 0
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]  # doc_id, whether it is null, start, length, doc_tokens; and the ids
+        tokens = pieces = 0
 
         def emit(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal made, doc_ids, held, sizes, n_held
-            ids, each = np.concatenate(held), np.concatenate(sizes)
-            ends = np.cumsum(each)
-            at = 0
-            while at < len(each):
+            nonlocal made, tokens, pieces
+            doc_id, null, start, length, whole, ids = map(np.concatenate, held)
+            ends, at = np.cumsum(length), 0
+            while at < len(length):
                 begin = int(ends[at - 1]) if at else 0
-                if not last and n_held - begin < 2 * block * capacity:
-                    break
-                to = len(each) if n_held - begin < 2 * block * capacity else max(at + 1, int(np.searchsorted(ends, begin + block * capacity, "right")))
-                doc, start, length = cut(each[at:to], piece)
-                part, loads = windows(length, capacity)
-                order = np.lexsort((start, doc, part))
-                doc, start, length, part = doc[order], start[order], length[order], part[order]
-                ahead = np.cumsum(length) - length
+                to = min(at + block_pieces, int(np.searchsorted(ends, begin + block * capacity, "right")))
+                if tokens - begin < 2 * block * capacity and len(length) - at < 2 * block_pieces:
+                    if not last:
+                        break
+                    to = len(length)
+                part, loads = windows(length[at:to], capacity)
+                order = np.lexsort((np.arange(to - at), part))
+                part, some = part[order], at + order
+                size = length[some]
+                ahead = np.cumsum(size) - size
                 first = np.concatenate(([True], part[1:] != part[:-1]))
-                offset = ahead - np.maximum.accumulate(np.where(first, ahead, 0))
-                place = begin + (np.cumsum(each[at:to]) - each[at:to])[doc] + start
-                flat = ids[np.repeat(place - ahead, length) + np.arange(int(length.sum()))].astype("<i4", copy=False)
-                bounds = np.concatenate(([0], np.cumsum(length) * 4)).astype(np.int32)
-                number = np.cumsum(first) - 1
-                filled = loads[part]
+                flat = ids[np.repeat(ends[some] - size - ahead, size) + np.arange(int(size.sum()))].astype("<i4", copy=False)
+                bounds = np.concatenate(([0], np.cumsum(size) * 4)).astype(np.int32)
+                number, filled = np.cumsum(first) - 1, loads[part]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc_ids[at + d] for d in doc.tolist()], pa.int64()),
-                        pa.array(start),
-                        pa.array(length),
-                        pa.array(each[at:to][doc]),
+                        pa.array(doc_id[some], mask=null[some]),
+                        pa.array(start[some]),
+                        pa.array(size),
+                        pa.array(whole[some]),
                         pa.array((partition << 33) + made + number),
-                        pa.array(offset),
+                        pa.array(ahead - np.maximum.accumulate(np.where(first, ahead, 0))),
                         pa.array(np.where(filled & (filled - 1) == 0, filled, capacity)),
-                        pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]),
+                        pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]),
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length", "ids"],
                 )
                 made += int(number[-1]) + 1
                 at = to
             rest = int(ends[at - 1]) if at else 0
-            doc_ids, held, sizes, n_held = doc_ids[at:], [ids[rest:]], [each[at:]], n_held - rest
+            held[:] = [[c[at:]] for c in (doc_id, null, start, length, whole)] + [[ids[rest:].copy()]]
+            tokens, pieces = tokens - rest, pieces - at
 
         for batch in batches:
-            who, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            who, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            known, null = who.fill_null(0).to_numpy(zero_copy_only=False), who.is_null().to_numpy(zero_copy_only=False)
             for k in range(0, len(texts), 200):
                 ids, each = encode(texts[k : k + 200], end)
-                doc_ids += who[k : k + 200]
-                held.append(ids)
-                sizes.append(each)
-                n_held += len(ids)
-                if n_held >= 3 * block * capacity:
+                doc, start, length = cut(each, piece)
+                for column, new in zip(held, (known[k + doc], null[k + doc], start, length, each[doc], ids)):
+                    column.append(new)
+                tokens, pieces = tokens + len(ids), pieces + len(doc)
+                if tokens >= 3 * block * capacity or pieces >= 3 * block_pieces:
                     yield from emit(False)
-        if n_held:
+        if pieces:
             yield from emit(True)
 
     prepare(docs.sparkSession)
