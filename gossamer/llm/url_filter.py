@@ -1,22 +1,22 @@
 """URL filters over a sorted digest array.
 
 Rules (host suffix and path prefix, with a verdict) are kept as sorted arrays
-of 64-bit XXH64 keys (seed 42) of `host + path`, with the full strings beside
+of 64-bit XXH64 keys (seed 42) of `host NUL path`, with the full strings beside
 them; each file is a range of keys, built by one task, so a list of any length
 passes through no single process.  A worker maps the files into memory; a
-batch of urls gives all its candidate strings (each of a host's suffixes with
-each prefix length that any rule's path has), which are probed by vectorised
-binary search, and every hit is confirmed against the stored string, so
+batch of urls gives all its candidate strings (each of a host's suffixes of at
+most as many labels as any rule's host, with each prefix length that any rule's
+path has), which are probed by vectorised binary search, and every hit is confirmed against the stored string, so
 collisions do no harm.  The longest rule wins.  A url that no rule fits gets
 the `default` verdict.
 
-File: b"URLDGST2", number of rules, number of path lengths (int64 each), path
-lengths, keys (uint64, sorted), string bounds (int64, one more), verdicts
+File: b"URLDGST3", number of rules, number of path lengths, most labels of a
+host (int64 each), path lengths, keys (uint64, sorted), string bounds (int64, one more), verdicts
 (uint8, 1 blocks), strings.
 
 Edges: a url that is null or has no "://" has an empty host and path, and no
 rule fits; an empty host fits no rule; ports and user names are part of the
-host; equal rules with different verdicts block; rules with a null or empty
+host; a rule's path that begins without "/" fits nothing unless it is empty; equal rules with different verdicts block; rules with a null or empty
 host are left out; repeated rows and null page_ids are kept; an empty table
 gives no rows; other columns are ignored.
 """
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from gossamer.llm.shared import create, fetch, filesystem, prepare, scratch
 
-MAGIC = b"URLDGST2"
+MAGIC = b"URLDGST3"
+#: Between host and path in a stored string, so that neither can run into the other.
+BETWEEN = b"\0"
 SEED = 42
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -54,15 +56,18 @@ def write_digests(rules: Iterator[tuple[str, str, str]], uri: str) -> None:
     """Writes one file of (host, path, verdict) rules."""
     verdicts: dict[bytes, int] = {}
     paths: set[int] = set()
+    labels = 0
     for host, path, verdict in rules:
-        key = (host + path).encode()
+        host = host.translate(_LOWER)
+        key = host.encode() + BETWEEN + path.encode()
+        labels = max(labels, host.count(".") + 1)
         verdicts[key] = max(verdicts.get(key, 0), int(verdict == "block"))
         paths.add(len(path))
     rows = sorted((xxhash.xxh64_intdigest(k, SEED), k) for k in verdicts)
     lengths = np.array(sorted(paths), "<i8")
     bounds = np.concatenate(([0], np.cumsum([len(k) for _, k in rows], dtype=np.int64))).astype("<i8")
     with create(uri) as out:
-        out.write(MAGIC + np.array([len(rows), len(lengths)], "<i8").tobytes() + lengths.tobytes())
+        out.write(MAGIC + np.array([len(rows), len(lengths), labels], "<i8").tobytes() + lengths.tobytes())
         out.write(np.array([h for h, _ in rows], "<u8").tobytes() + bounds.tobytes())
         out.write(bytes(verdicts[k] for _, k in rows) + b"".join(k for _, k in rows))
 
@@ -80,8 +85,8 @@ class DigestArray:
         raw = np.memmap(path, np.uint8, "r")
         if raw[:8].tobytes() != MAGIC:
             raise ValueError("not an array of url digests")
-        n, m = raw[8:24].view("<i8").tolist()
-        parts, at = [], 24
+        n, m, self.labels = raw[8:32].view("<i8").tolist()
+        parts, at = [], 32
         for kind, count in (("<i8", m), ("<u8", n), ("<i8", n + 1), ("u1", n)):
             size = np.dtype(kind).itemsize * count
             parts.append(raw[at : at + size].view(kind))
@@ -111,6 +116,7 @@ class DigestArrays:
         names = sorted(f.base_name for f in files.get_file_info(FileSelector(path)) if f.base_name.endswith(".digests"))
         self.arrays = [DigestArray(f"{uri}/{n}") for n in names]
         self.lengths = sorted({n for a in self.arrays for n in a.lengths.tolist()})
+        self.labels = max((a.labels for a in self.arrays), default=0)
 
     def probe(self, candidates: list[bytes]) -> list[tuple[bytes, int] | None]:
         found: list[tuple[bytes, int] | None] = [None] * len(candidates)
@@ -136,17 +142,21 @@ def judge(arrays: DigestArrays, urls: list[str | None]) -> list[tuple[str, str,
     candidates: list[bytes] = []
     owner: list[int] = []
     for k, (host, path) in enumerate(split):
-        labels = host.split(".") if host else []
-        prefixes = [path[:n] for n in arrays.lengths if n <= len(path)]
-        for j in range(len(labels)):
-            if tail := ".".join(labels[j:]):
-                candidates += [(tail + p).encode(errors="surrogatepass") for p in prefixes]
+        prefixes = [BETWEEN + path[:n].encode(errors="surrogatepass") for n in arrays.lengths if n <= len(path)]
+        end = len(host)
+        for _ in range(arrays.labels):  # the tails of so many labels at most
+            dot = host.rfind(".", 0, end) if end > 0 else -1
+            if tail := host[dot + 1 :].encode(errors="surrogatepass"):
+                candidates += [tail + p for p in prefixes]
                 owner += [k] * len(prefixes)
+            if dot < 0:
+                break
+            end = dot
     best: dict[int, tuple[bytes, int]] = {}
     for k, hit in zip(owner, arrays.probe(candidates)):
         if hit and (k not in best or len(hit[0]) > len(best[k][0])):
             best[k] = hit
-    return [(host, path, *((best[k][0].decode(), ("allow", "block")[best[k][1]]) if k in best else (None, None))) for k, (host, path) in enumerate(split)]
+    return [(host, path, *((best[k][0].replace(BETWEEN, b"", 1).decode(), ("allow", "block")[best[k][1]]) if k in best else (None, None))) for k, (host, path) in enumerate(split)]
 
 
 def build(spark: SparkSession, rules: DataFrame) -> str:
@@ -163,7 +173,7 @@ def build(spark: SparkSession, rules: DataFrame) -> str:
 
     known = rules.where("host <> ''").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
     # Equal rules have equal keys and so meet in one file.
-    dealt = known.repartitionByRange(F.xxhash64(F.concat("host", "path")))
+    dealt = known.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).repartitionByRange(F.xxhash64("host", "path"))
     dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return uri
 

@@ -361,3 +361,12 @@ def test_many_rules(spark):
     pages = spark.createDataFrame([(k, f"https://x.{h}/a/b") for k, h in enumerate(hosts)] + [(1000, "https://example1.org/a/")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.build(spark, rules), default="none").collect()}
     assert got == {k: "block" if k % 2 else "allow" for k in range(500)} | {1000: "none"}
+
+
+def test_hosts_and_paths_do_not_run_into_each_other(spark):
+    """A rule's path never continues a host, tails stop at the longest rule host, and rules without a leading slash fit nothing."""
+    rules = spark.createDataFrame([("example.com", "x", "block"), ("com", "", "allow"), ("A.Example.org", "/P", "block"), ("org", "/", "allow")], "host string, path string, verdict string")
+    urls = ["http://example.comx", "http://example.com/x", "http://b.a.example.ORG/Pq", "http://b.a.example.org/p", "http://" + "a." * 8000 + "com/", "http://x.com.", "http://example.com"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.build(spark, rules), default="none").collect()}
+    assert got == {0: (None, "none"), 1: ("com", "allow"), 2: ("a.example.org/P", "block"), 3: ("org/", "allow"), 4: ("com", "allow"), 5: (None, "none"), 6: ("com", "allow")}
