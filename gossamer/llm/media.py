@@ -7,9 +7,10 @@ shard; a row carries digest, shard, offset and length.  Metadata columns
 (width, height, depth, colour) are filled by range reads of the 33 bytes of
 PNG signature and header; pixel features by reading the member back.
 
-Copies meet by digest: each input task stores a payload once, and the index
-keeps one place for each digest, so a group of copies is at most one row for
-each task and no payload is ever shuffled.
+Copies meet by digest: of the rows of a digest the first (by row number) is
+elected in a partial aggregation, and the task that meets the elected row
+stores its payload.  Only row numbers and digests are shuffled, never a
+payload, and none is stored twice; what a lost attempt wrote is deleted.
 
 Edges: a null or empty text is 64 zero bytes; null doc_ids and repeated rows
 are kept; texts that differ only in trailing NULs share a payload and keep
@@ -27,12 +28,13 @@ from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSelector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from gossamer.llm.shared import create, materialize, prepare, scratch, source
+from gossamer.llm.shared import Notes, create, filesystem, materialize, notes, prepare, replayable, row_number, scratch, source
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -89,53 +91,67 @@ def feature_of(payload: bytes, header: tuple[int, int, int, int]) -> str:
     return f"{width}x{height}x{depth}:{np.packbits(strips).tobytes().hex()}:{int(pixels.sum(dtype=np.int64)) // len(pixels)}"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest (SHA-256 of the payload) of each row; stays in the JVM."""
+def payload_column() -> Column:
+    """The payload of column text, in the JVM."""
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
     n = F.octet_length(raw)
     pad = F.when(n == 0, F.lit(WIDTH)).otherwise(F.pmod(-n, F.lit(WIDTH)))
-    zeros = F.expr("substring(unhex(repeat('00', 64)), 1, pad)")
-    return docs.select(F.col("doc_id").cast("long"), raw.alias("raw"), n.cast("long").alias("n_bytes"), pad.alias("pad")).select("doc_id", "n_bytes", F.sha2(F.concat("raw", zeros), 256).alias("digest"))
+    return F.concat(raw, F.substring(F.unhex(F.lit("00" * WIDTH)), F.lit(1), pad))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_bytes, digest (SHA-256 of the payload) of each row of a replayable table; stays in the JVM."""
+    n = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select(row_number().alias("row"), F.col("doc_id").cast("long"), n.cast("long").alias("n_bytes"), F.sha2(payload_column(), 256).alias("digest"))
 
 
-def store(docs: DataFrame, level: int = 6) -> DataFrame:
-    """Writes the payloads of docs into tar shards; one row for each distinct one: digest, shard (its URI), offset, length.
+def store(docs: DataFrame, keyed: DataFrame, level: int = 6) -> DataFrame:
+    """Writes the payloads of docs (replayable) into tar shards; one row for each distinct one: digest, shard (its URI), offset, length.
 
-    Each input task writes a shard of its own in which a payload is stored once, so no payload is shuffled.  The index keeps one
-    place for each digest; a copy that other tasks stored as well is not referred to.
+    keyed: the digests of docs.  Each input task writes a shard of its own with the payloads whose elected rows it meets.
     """
     spark = prepare(docs.sparkSession)
-    uri = scratch(spark, "media")
+    uri, noted = scratch(spark, "media"), notes(keyed.groupBy("digest").agg(F.min("row").alias("row")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         # The attempt is part of the name: the index of the attempt that counts refers to the file that it wrote.
-        shard = f"{uri}/shard-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.tar"
-        seen: set[bytes] = set()
-        place, rows = 0, []
+        task = TaskContext.get().partitionId()
+        shard, said, place = f"{uri}/shard-{task:06d}-{TaskContext.get().taskAttemptId()}.tar", Notes(noted, task), 0
         with create(shard) as out:
             for batch in batches:
-                for text in batch.column("text").cast(pa.binary()).to_pylist():
+                at, about = said.upto(batch.num_rows)
+                if not len(at):
+                    continue
+                texts, rows = batch.column("text").take(pa.array(at)).cast(pa.binary()).to_pylist(), []
+                for text, expected in zip(texts, about["digest"].to_pylist()):
                     payload = payload_of(text or b"")
-                    digest = hashlib.sha256(payload).digest()
-                    if digest in seen:
-                        continue
-                    seen.add(digest)
-                    data, info = encode_png(payload, level), tarfile.TarInfo(f"{digest.hex()}.png")
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if digest != expected:
+                        raise ValueError("the table changed between two jobs")
+                    data, info = encode_png(payload, level), tarfile.TarInfo(f"{digest}.png")
                     info.size = len(data)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     out.write(head + data + bytes(-len(data) % tarfile.BLOCKSIZE))
-                    rows.append((digest.hex(), shard, place + len(head), len(data)))
+                    rows.append((digest, shard, place + len(head), len(data)))
                     place += len(head) + len(data) + -len(data) % tarfile.BLOCKSIZE
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["digest", "shard", "offset", "length"])
             out.write(bytes(2 * tarfile.BLOCKSIZE))
-        columns = list(zip(*rows)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["digest", "shard", "offset", "length"])
 
     stored = materialize(docs.select(F.col("text").cast("string")).mapInArrow(write, "digest string, shard string, offset long, length long"), "media-index")
-    one = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    drop_orphans(uri, stored)
     # Read shard by shard, in order.
-    return one.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
+    return stored.repartition("shard").sortWithinPartitions("shard", "offset")
+
+
+def drop_orphans(uri: str, stored: DataFrame) -> None:
+    """Deletes shards that the index does not name: those of lost attempts, and those without a payload."""
+    named = {r.shard.rsplit("/", 1)[1] for r in stored.select("shard").distinct().toLocalIterator()}  # a name for each task
+    files, path = filesystem(uri)
+    for f in files.get_file_info(FileSelector(path)):
+        if f.base_name.endswith(".tar") and f.base_name not in named:
+            files.delete_file(f.path)
 
 
 def header_columns(index: DataFrame) -> DataFrame:
@@ -183,7 +199,9 @@ def media_columns(docs: DataFrame, level: int = 6) -> DataFrame:
 
     The join by digest leaves hot digests to adaptive execution, which splits the rows' side.
     """
-    return digests(docs).join(features(header_columns(store(docs, level))), "digest", "left")
+    docs = replayable(docs.select("doc_id", "text"))
+    keyed = materialize(digests(docs), "digests")
+    return keyed.drop("row").join(features(header_columns(store(docs, keyed, level))), "digest", "left")
 
 
 def member(shard: str, offset: int, length: int) -> bytes:

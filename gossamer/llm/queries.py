@@ -37,7 +37,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.write_archives(warc.typed(read_table(prepare(spark), sf_dir, "pages")))
+    archives = warc.write_archives(read_table(prepare(spark), sf_dir, "pages"))
     return warc.read_records(warc.normalise(archives)).drop("url", "block")
 
 

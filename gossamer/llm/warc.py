@@ -7,13 +7,15 @@ own gzip member and writes a sidecar index of offsets (JSON lines), so that
 `read_records` can fetch any record by a range read.
 
 Deduplication: records with equal payloads of at least `least` bytes are one
-response (the largest page_id) and revisits of it.  Digests meet in a partial
-aggregation; the join back to the rows leaves hot digests to adaptive
-execution, which splits the rows' side.
+response (the largest page_id) and revisits of it.  Only row numbers, ids and
+digests are joined; what they say is noted for the task that meets the row
+again, so no payload is shuffled.  Digests meet in a partial aggregation; the
+join leaves hot digests to adaptive execution, which splits the rows' side.
 
 Edges: null and empty html is an empty payload; a null page_id counts as the
 smallest; repeated rows with the largest page_id are all responses; a null
-url is an empty target; line ends in urls are escaped; an empty table gives no
+url is an empty target; line ends in urls are escaped; an archive that ends
+before its last gzip member or record does is an error; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -29,22 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.shared import create, materialize, prepare, scratch, source
+from gossamer.llm.shared import Notes, create, materialize, notes, prepare, replayable, row_number, scratch, source
 
 _STAMP = "2000-01-01T00:00:00Z"  # archives are a function of their rows
 _PIECE = 1 << 20
 
 
-def typed(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, record_type and refers_to of each row."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    copies = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("newest")).where("n > 1")
-    return rows.join(copies, "digest", "left").select(
-        "page_id", "url", "html", "digest",
-        F.when(F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), "revisit").otherwise("response").alias("record_type"),
-        F.when(F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"),
-    )
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, html of each row; null html is empty."""
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+
+
+def revisits(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """(row, digest, refers_to) of the rows (page_id, html, of a replayable table) that are revisits."""
+    keyed = rows.select(row_number().alias("row"), "page_id", F.octet_length("html").alias("n_bytes"), F.sha1(F.encode("html", "utf-8")).alias("digest")).where(F.col("n_bytes") >= least)
+    keyed = materialize(keyed, "digests")
+    copies = keyed.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1")
+    return keyed.join(copies, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("row", "digest", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -96,44 +99,53 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
 
 
 def _inflated(file: pa.NativeFile) -> Iterator[bytes]:
-    """A gzip file's content in bounded pieces, over one or many members."""
-    unpack = zlib.decompressobj(31)
+    """A gzip file's content in bounded pieces, over one or many members; the last must have ended, check sum and all."""
+    unpack, inside = zlib.decompressobj(31), False
     while data := file.read(_PIECE):
         while data:
+            inside = True
             out = unpack.decompress(data, _PIECE)
             if out:
                 yield out
             data = unpack.unconsumed_tail
             if unpack.eof:
-                data, unpack = unpack.unused_data, zlib.decompressobj(31)
-    if out := unpack.flush():
+                data, unpack, inside = unpack.unused_data, zlib.decompressobj(31), False
+    while inside and (out := unpack.decompress(b"", _PIECE)):
         yield out
+    if inside and not unpack.eof:
+        raise ValueError("the archive is cut off")
 
 
 def _gzip(level: int):
     return zlib.compressobj(level, zlib.DEFLATED, 31)
 
 
-def write_archives(rows: DataFrame, level: int = 3) -> DataFrame:
-    """Writes the rows of `typed` into whole-file gzip archives, one for each partition; a row for each: archive."""
-    uri = scratch(prepare(rows.sparkSession), "warc")
+def write_archives(pages: DataFrame, least: int = 1000, level: int = 3) -> DataFrame:
+    """Writes the rows of pages into whole-file gzip archives, one for each partition; a row for each: archive."""
+    rows = replayable(payloads(pages))
+    uri, noted = scratch(prepare(rows.sparkSession), "warc"), notes(revisits(rows, least))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, pack, none = f"{uri}/archive-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz", _gzip(level), True
+        task = TaskContext.get().partitionId()
+        name, pack, none, said = f"{uri}/archive-{task:06d}-{TaskContext.get().taskAttemptId()}.warc.gz", _gzip(level), True, Notes(noted, task)
         with create(name) as out:
             for batch in batches:
-                columns = [batch.column(k).to_pylist() for k in range(6)]
-                columns[2] = [x.encode() for x in columns[2]]
-                for row in zip(*columns):
-                    none = False
-                    out.write(pack.compress(record(*row)))
+                ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
+                at, about = said.upto(len(ids))
+                refers = dict(zip(at.tolist(), zip(about["digest"].to_pylist(), about["refers_to"].to_pylist()))) if len(at) else {}
+                for k, html in enumerate(batch.column("html").cast(pa.binary()).to_pylist()):
+                    digest, none = hashlib.sha1(html).hexdigest(), False
+                    kind, to = ("revisit", refers[k][1]) if k in refers else ("response", None)
+                    if k in refers and refers[k][0] != digest:
+                        raise ValueError("the table changed between two jobs")
+                    out.write(pack.compress(record(ids[k], urls[k], html, digest, kind, to)))
             out.write(pack.flush())
         if not none:
             yield pa.RecordBatch.from_pydict({"archive": [name]})
 
-    return materialize(rows.select("page_id", "url", "html", "digest", "record_type", "refers_to").mapInArrow(write, "archive string"), "archives")
+    return materialize(rows.mapInArrow(write, "archive string"), "archives")
 
 
 def normalise(archives: DataFrame, level: int = 3, drop: bool = True) -> DataFrame:

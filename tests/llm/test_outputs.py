@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import tarfile
 import zlib
 from collections import Counter
@@ -184,6 +185,11 @@ def test_media(spark, sf_dir, cases, nothing):
         assert hashlib.sha256(media.decode_png(media.member(r.shard, r.offset, r.length))).hexdigest() == r.digest
         assert f"{r.digest}.png" in media.members(r.shard) and (r.width, r.depth) == (64, 8)
     assert media.media_columns(nothing).count() == 0
+    # One stored copy for each payload over all shards, and no other shard is left.
+    shards = {r.shard for r in found}
+    folder = next(iter(shards)).rsplit("/", 1)[0].removeprefix("file:")
+    assert {f for f in os.listdir("/" + folder.lstrip("/"))} == {s.rsplit("/", 1)[1] for s in shards}
+    assert Counter(n for s in shards for n in media.members(s)) == Counter({f"{r.digest}.png" for r in found})
 
 
 def test_media_shards_are_tar_files():
@@ -218,11 +224,11 @@ def test_warc(spark, sf_dir):
     from pyspark.sql import functions as F
 
     made = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2).withColumns({"digest": F.lit(1), "n": F.lit(2), "newest": F.lit(3)})
-    archives = warc.normalise(warc.write_archives(warc.typed(made)))
+    archives = warc.normalise(warc.write_archives(made))
     rows = warc.read_records(archives).collect()
     assert Counter(map(fields, rows)) == warc_by_hand(PAGES)
     assert Counter((r.page_id, bytes(r.block)) for r in rows if r.record_type == "response") == Counter((p, (h or "").encode()) for p, _, h in PAGES if (p not in (1, 2, None, 8)))
-    assert warc.read_records(warc.normalise(warc.write_archives(warc.typed(made.limit(0))))).count() == 0
+    assert warc.read_records(warc.normalise(warc.write_archives(made.limit(0)))).count() == 0
 
 
 def test_normaliser_reads_whole_file_and_many_members():
@@ -232,3 +238,42 @@ def test_normaliser_reads_whole_file_and_many_members():
     for packed in (gzip.compress(b"".join(whole)), b"".join(map(gzip.compress, whole))):
         got = [w for _, _, w in warc.records(warc._inflated(io.BytesIO(packed)))]
         assert got == whole
+
+
+def test_cut_archives_are_errors():
+    """Without its trailer, cut at a flush point, cut anywhere, or with a second member cut: never a shorter list of records."""
+    import gzip
+
+    whole = [warc.record(k, f"http://{k}", bytes([65 + k]) * 3000, "0" * 40, "response", None) for k in range(3)]
+    pack, flushed = zlib.compressobj(6, zlib.DEFLATED, 31), b""
+    for w in whole[:2]:
+        flushed += pack.compress(w) + pack.flush(zlib.Z_FULL_FLUSH)
+    packed = gzip.compress(b"".join(whole))
+    for bad in (packed[:-8], packed[:-1], packed[:40], packed[:10], flushed, packed + packed[:-8], packed + packed[:5], packed[:-8] + bytes(8)):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(warc._inflated(io.BytesIO(bad))))
+
+
+def test_replayable_tables(spark, sf_dir, cases):
+    """Scans stay as they are, anything else is written; notes reach the rows that they are about."""
+    from gossamer.llm import shared
+    from pyspark.sql import functions as F
+
+    scan = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "text")
+    assert shared.replayable(scan) is scan and shared.replayable(cases) is not cases and shared.replayable(scan.withColumn("r", F.rand())) is not scan
+    for df in (scan, shared.replayable(cases.select("doc_id", "text"))):
+        uri = shared.notes(df.select(shared.row_number().alias("row"), F.xxhash64("text").alias("hash"), "doc_id").where("doc_id > 3"))
+
+        def check(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            said = shared.Notes(uri, TaskContext.get().partitionId())
+            for b in batches:
+                at, about = said.upto(b.num_rows)
+                want = [k for k, d in enumerate(b.column("doc_id").to_pylist()) if d is not None and d > 3]
+                ok = at.tolist() == want and (not want or about["doc_id"].to_pylist() == [b.column("doc_id")[k].as_py() for k in want])
+                yield pa.RecordBatch.from_pydict({"ok": [ok], "n": [len(want)]})
+
+        got = df.mapInArrow(check, "ok boolean, n long").collect()
+        assert all(r.ok for r in got) and sum(r.n for r in got) == df.where("doc_id > 3").count()
