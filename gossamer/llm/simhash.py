@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.shared import materialize, prepare, texts_of
+from gossamer.llm.shared import Notes, materialize, notes, prepare, replayable, row_number, texts_of
 
 BITS = 64
 
@@ -249,10 +249,25 @@ def near_duplicates(docs: DataFrame, radius: int = 3, chunk: int = 2048) -> Data
 
 
 def deduplicate(docs: DataFrame, radius: int = 3, chunk: int = 2048) -> DataFrame:
-    """One row of each component stays: that of the smallest doc_id (of equal ids, of the smallest hash of the text); nulls come last."""
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = materialize(fingerprints(hashed, ["doc_id", "__hash"]), "fingerprints")
-    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__hash").alias("hash"))
-    kept = _grouped(rows, least, radius, chunk).select(F.col("label.id").alias("__id"), F.col("label.hash").alias("__hash")).distinct()
-    stay = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__hash"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    """One row of each component stays: that of the smallest doc_id (of equal ids, of the smallest hash of the text, then the first row); nulls come last.
+
+    Fingerprints and row numbers alone are shuffled; the rows that stay are noted for the tasks that meet them again.
+    """
+    docs = replayable(docs)
+    mark = "_" * (max(map(len, docs.columns)) + 1)  # no column's name
+    keyed = docs.select(row_number().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    rows = materialize(fingerprints(keyed, ["row", "doc_id", "hash"]), "fingerprints")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "hash", "row")
+    stay = notes(_grouped(rows, least, radius, chunk).select("label.row", "label.hash").distinct())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        said = Notes(stay, TaskContext.get().partitionId())
+        for batch in batches:
+            at, about = said.upto(batch.num_rows)
+            if len(at) and not np.array_equal(batch.column(batch.num_columns - 1).to_numpy()[at], about["hash"].to_numpy()):
+                raise ValueError("the table changed between two jobs")
+            yield batch.take(pa.array(at)).drop_columns([mark])
+
+    return docs.select("*", F.xxhash64("text").alias(mark)).mapInArrow(keep, docs.schema)
