@@ -8,9 +8,11 @@ Links: two fingerprints that differ in at most r bits agree on at least two
 of r + 2 bands (r differing bits spoil at most r bands), so the distinct
 fingerprints meet in the buckets of all C(r + 2, 2) pairs of bands.  Within a
 bucket their bit planes lie side by side; the planes that differ from a
-probe are added up in carry-save counters for all members at once, and the
-comparison ends when every member's counter has passed r.  A bucket above
-`chunk` members is dealt out as pairs of chunks, so no task gathers it.  Each
+probe are added up in carry-save counters for 64 members at once, and such a
+block is left as soon as the counters of all its members have passed r.  Small
+buckets lie side by side in the same planes, each member against its own
+bucket's probe.  A bucket above `chunk` members is dealt out as pairs of
+chunks, so no task gathers it.  Each
 task emits the edges of a spanning forest of its links, never all pairs;
 label propagation with pointer jumping joins the forests.
 
@@ -23,7 +25,7 @@ columns do no harm, as those are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from gossamer.llm.shared import Notes, materialize, notes, prepare, replayable, row_number, texts_of
 
 BITS = 64
+#: Buckets of at most so many members lie side by side.
+SMALL = 64
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -90,26 +94,23 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(planes: np.ndarray, probes: np.ndarray, radius: int) -> np.ndarray:
-    """For each probe, a bit for each member: 1 if they differ in at most `radius` bits.
+def near_blocks(differ: Callable[[int, np.ndarray], np.ndarray], n: int, radius: int) -> np.ndarray:
+    """For each of n blocks of 64 pairs a word with a 1 for each pair that differs in at most `radius` planes.
 
-    Carry-save counters of as many bits as the radius needs, and a sticky overflow, hold all distances of all probes at once;
-    a probe is left when all members have passed the radius.
+    differ(bit, blocks) gives the words of pairs that differ in a plane.  Carry-save counters of as many bits as the radius needs,
+    and a sticky overflow, hold 64 distances in a few words; a block is left once all of its pairs have passed the radius.
     """
     depth = max(1, radius.bit_length())  # the counters hold up to 2^depth - 1 >= radius
-    out = np.zeros((len(probes), planes.shape[1]), np.uint64)
-    alive, every = np.arange(len(probes)), ~np.uint64(0)
-    counters = np.zeros((depth, len(probes), planes.shape[1]), np.uint64)
-    over = np.zeros((len(probes), planes.shape[1]), np.uint64)
+    out, alive, every = np.zeros(n, np.uint64), np.arange(n), ~np.uint64(0)
+    counters, over = np.zeros((depth, n), np.uint64), np.zeros(n, np.uint64)
     for bit in range(BITS):
-        probe = (np.uint64(0) - (probes[alive] >> np.uint64(bit) & np.uint64(1)))[:, None]
-        carry = planes[bit][None, :] ^ probe
+        carry = differ(bit, alive)
         for c in counters:
             c ^= carry
             carry = carry & ~c
         over |= carry
-        if bit >= 8 and bit % 4 == 0:
-            left = (_passed(counters, over, radius) != every).any(axis=1)
+        if bit >= 7 and bit % 4 == 3:
+            left = _passed(counters, over, radius) != every
             if not left.all():
                 alive, counters, over = alive[left], counters[:, left], over[left]
                 if not len(alive):
@@ -118,6 +119,24 @@ def within(planes: np.ndarray, probes: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def within(planes: np.ndarray, probes: np.ndarray, radius: int) -> np.ndarray:
+    """For each probe, a bit for each member: 1 if they differ in at most `radius` bits."""
+    width = planes.shape[1]
+
+    def differ(bit: int, blocks: np.ndarray) -> np.ndarray:
+        probe = np.uint64(0) - (probes >> np.uint64(bit) & np.uint64(1))
+        return planes[bit][blocks % width] ^ probe[blocks // width]
+
+    return near_blocks(differ, len(probes) * width, radius).reshape(len(probes), width)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Whether left[k] and right[k] differ in at most `radius` bits."""
+    a, b = planes_of(left), planes_of(right)
+    words = near_blocks(lambda bit, blocks: a[bit][blocks] ^ b[bit][blocks], a.shape[1], radius)
+    return np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little", count=len(left)).astype(bool)
+
+
 def _passed(counters: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
     """1 where the counter is above the radius."""
     if radius == 0:
@@ -134,6 +153,8 @@ def _passed(counters: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
 
 def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Edges (values) of a spanning forest of the links within `left`, or between `left` and `right`."""
+    if right is not None and not (len(left) and len(right)):
+        return []
     values = left if right is None else np.concatenate((left, right))
     members, base = (left, 0) if right is None else (right, len(left))
     tree, edges, planes = np.arange(len(values)), [], planes_of(members)
@@ -151,6 +172,30 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
     return edges
 
 
+def linked_groups(values: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links within each of many small groups; group g is values[starts[g]:starts[g + 1]].
+
+    In the k-th step every group's members after its k-th are compared with that one, all groups at once.
+    """
+    sizes = np.diff(np.append(starts, len(values)))
+    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    place, tree = np.arange(len(values)) - first, np.arange(len(values))
+    edges = [(values[:0], values[:0])]
+    for k in range(int(sizes.max(initial=1)) - 1):
+        member = np.flatnonzero((place > k) & (size > k + 1))
+        probe = first[member] + k
+        near = near_pairs(values[member], values[probe], radius)
+        near &= tree[member] != tree[probe]
+        member, probe = member[near], probe[near]
+        trees, one = np.unique(tree[member], return_index=True)
+        if len(one):
+            edges.append((values[probe[one]], values[member[one]]))
+            to = np.arange(len(values))
+            to[trees] = tree[probe[one]]
+            tree = to[tree]
+    return np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])
+
+
 def links(values: DataFrame, radius: int = 3, chunk: int = 2048) -> DataFrame:
     """Edges (a, b) that connect all distinct longs of column `fingerprint` at most `radius` bits apart, by way of each other.
 
@@ -183,20 +228,19 @@ def links(values: DataFrame, radius: int = 3, chunk: int = 2048) -> DataFrame:
             rows = rows if rest is None else np.concatenate((rest, rows))
             cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             bounds = [0, *cuts.tolist(), *([len(rows)] if last else [])]
-            edges: list[tuple[int, int]] = []
-            for a, b in zip(bounds, bounds[1:]):
-                if b - a == 2:  # most groups
-                    x, y = rows[a, 5], rows[a + 1, 5]
-                    if (rows[a, 4] != rows[a + 1, 4] or rows[a, 2] == rows[a, 3]) and int(x ^ y).__and__((1 << 64) - 1).bit_count() <= radius:
-                        edges.append((int(x), int(y)))
-                elif b - a > 2:
-                    group = rows[a:b]
-                    first = group[:, 4] == group[0, 2]
-                    left, right = group[first, 5], None if group[0, 2] == group[0, 3] else group[~first, 5]
-                    edges += [(x - (x >> 63 << 64), y - (y >> 63 << 64)) for x, y in linked(left.astype(np.uint64), None if right is None else right.astype(np.uint64), radius)]
+            size, head = np.diff(bounds), rows[bounds[:-1]]
+            small = (size > 1) & (size <= SMALL) & (head[:, 2] == head[:, 3])
+            chosen = np.repeat(small, size)
+            some = size[small]
+            left, right = linked_groups(rows[: bounds[-1]][chosen, 5].astype(np.uint64), np.cumsum(some) - some, radius)
+            edges = []
+            for g in np.flatnonzero((size > 1) & ~small).tolist():
+                group = rows[bounds[g] : bounds[g + 1]]
+                mine = group[:, 4] == group[0, 2]
+                edges += linked(group[mine, 5].astype(np.uint64), None if group[0, 2] == group[0, 3] else group[~mine, 5].astype(np.uint64), radius)
+            more = np.array(edges, np.uint64).reshape(-1, 2)
             rest = rows[bounds[-1] :]
-            columns = list(zip(*edges)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in ((left, more[:, 0]), (right, more[:, 1]))], names=["a", "b"])
 
     prepare(values.sparkSession)
     keys = ["band", "bucket", "first", "second"]

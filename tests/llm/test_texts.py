@@ -370,3 +370,39 @@ def test_hosts_and_paths_do_not_run_into_each_other(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.build(spark, rules), default="none").collect()}
     assert got == {0: (None, "none"), 1: ("com", "allow"), 2: ("a.example.org/P", "block"), 3: ("org/", "allow"), 4: ("com", "allow"), 5: (None, "none"), 6: ("com", "allow")}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 7])
+def test_small_buckets_side_by_side(radius):
+    """The forests of many groups, and of pairs of chunks, have the components of all links."""
+    rng = np.random.default_rng(radius)
+
+    def close(n):
+        base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+        return np.array([base[rng.integers(3)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 6)).astype(np.uint64), initial=np.uint64(0)) for _ in range(n)], np.uint64)
+
+    def roots(values, edges):
+        tree = {int(v): int(v) for v in values}
+
+        def root(v):
+            while tree[v] != v:
+                v = tree[v]
+            return v
+
+        for a, b in edges:
+            tree[root(int(a))] = root(int(b))
+        return {frozenset(v for v in tree if root(v) == r) for r in map(root, tree)}
+
+    def links(values, others=None):
+        return [(a, b) for a in values for b in (values if others is None else others) if int(a ^ b).bit_count() <= radius]
+
+    groups = [np.unique(close(n)) for n in (1, 2, 2, 3, 64, 40, 5, 1, 2)]
+    starts = np.cumsum([0, *map(len, groups)])[:-1]
+    left, right = simhash.linked_groups(np.concatenate(groups), starts, radius)
+    assert all(int(a ^ b).bit_count() <= radius for a, b in zip(left, right)) and len(left) < sum(map(len, groups))
+    whole = np.concatenate(groups)
+    assert roots(whole, zip(left, right)) == roots(whole, [e for g in groups for e in links(g)])
+    one, other = np.unique(close(90)), np.unique(close(70))
+    both = np.concatenate((one, other))
+    assert roots(both, simhash.linked(one, other, radius)) == roots(both, links(one, other))
+    assert simhash.linked(one, other[:0], radius) == [] and len(simhash.linked_groups(one[:0], starts[:0], radius)[0]) == 0
