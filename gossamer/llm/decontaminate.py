@@ -1,19 +1,20 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a stretch of documents of one input partition.  Its words become
-symbols of the benchmark's vocabulary.  A word outside the vocabulary can lie
-in no window, so it only separates, and stretches between separators that are
-shorter than the shortest window are left out; neither changes a result.  The
-suffixes of the rest are sorted by prefix doubling (each separator is a symbol
-of its own, so the order is total), the Burrows-Wheeler transform goes into a
-wavelet matrix, all windows are searched backward at once through its ranks,
-and occurrences are located by walking back to sampled suffixes; the first
-position of each stretch is a sample, so no walk crosses a separator.  The
-words inside occurrences are merged to removal spans.
-
-The windows are a stated query set.  The driver streams them into files of at
-most `per_file` windows in the shared folder, and each shard is asked for one
-file after another.
+A shard is a stretch of documents of one input partition, of a bounded number
+of words; a longer document is cut into stretches that overlap by a window
+less one word, each a shard of its own.  All of a shard's words are numbered by
+its own vocabulary.  The suffixes are sorted by prefix doubling, from rank to
+rank only where they are not yet apart (each separator between documents is a
+symbol of its own, so the order is total), the Burrows-Wheeler transform goes
+into a wavelet matrix, all windows are searched backward at once through its
+ranks, and occurrences are located by walking back to sampled suffixes; the
+first position of each stretch is a sample, so no walk crosses a separator.
+The words inside occurrences are merged to removal spans.
+
+The windows are a stated query set.  Spark cuts the items into windows and
+writes equal ones once, with their items, to files of about `per_file` windows
+in the shared folder; each shard is asked for one file after another.  A window
+with a word that a shard hasn't can't occur there.
 
 Edges: null, empty and word-less texts have no words; an item of no words has
 no window; equal items and equal windows each count for all their items;
@@ -24,15 +25,19 @@ columns are ignored.
 
 from __future__ import annotations
 
-import pickle
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.shared import create, fetch, prepare, scratch, texts_of
+from gossamer.llm.shared import filesystem, materialize, prepare, shared_dir, source, texts_of
 
 #: Word characters stay, A-Z are lower-cased, all other ASCII characters become spaces.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -96,21 +101,29 @@ class WaveletMatrix:
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Places of the suffixes in order.  Zeros are separators, each smaller than the next and than all symbols; the text ends with one."""
     n, zero = len(text), text == 0
-    n_zero = int(zero.sum())
-    rank = np.where(zero, np.cumsum(zero) - 1, text.astype(np.int64) - 1 + n_zero)
+    rank = np.where(zero, np.cumsum(zero) - 1, text.astype(np.int64) - 1 + int(zero.sum()))
+    order = np.argsort(rank, kind="stable")
+    slots = np.arange(n)  # places of the order that are not settled; equal ranks lie side by side
     h = 1
-    while True:
-        further = np.zeros(n, np.int64)
-        further[: n - h] = rank[h:] + 1 if h < n else 0
-        key = rank * (np.int64(max(n, int(rank.max()) + 1)) + 1) + further
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        if new[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+    sorted_rank = rank[order]
+    heads = np.flatnonzero(np.concatenate(([True], sorted_rank[1:] != sorted_rank[:-1])))
+    sizes = np.diff(np.append(heads, n))
+    rank[order] = np.repeat(heads, sizes)  # a suffix's rank is its group's first place
+    slots = slots[np.repeat(sizes > 1, sizes)]
+    while len(slots):
+        some = order[slots]
+        behind = rank[np.minimum(some + h, n - 1)]  # the last symbol is a separator and settled, so no unsettled suffix ends here
+        key = rank[some] * np.int64(n) + behind
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[slots] = some
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(slots)))
+        rank[some] = np.repeat(slots[heads], sizes)
+        slots = slots[np.repeat(sizes > 1, sizes)]
         h *= 2
+    return order
 
 
 class FMIndex:
@@ -159,140 +172,170 @@ class FMIndex:
         return places
 
 
-def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    """All windows of an item; a shorter item is one window, no words are none."""
+def windows_of(words: list[bytes], size: int) -> list[bytes]:
+    """All windows of an item, their words space-joined; a shorter item is one window, no words are none."""
     if len(words) <= size:
-        return [tuple(words)] if words else []
-    return [tuple(words[k : k + size]) for k in range(len(words) - size + 1)]
+        return [b" ".join(words)] if words else []
+    return [b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)]
 
 
 def write_windows(benchmark: DataFrame, size: int = 13, per_file: int = 200_000) -> str:
-    """Streams the benchmark's windows into files in the shared folder; returns the folder.
+    """Writes the benchmark's distinct windows (text, items) to Parquet files of about per_file windows in the shared folder; returns the folder."""
+    spark = prepare(benchmark.sparkSession)
 
-    vocabulary: word -> symbol; meta: (number of files, shortest window); windows-k: by length, (array of symbols, items of each).
-    """
-    uri = scratch(benchmark.sparkSession, "benchmark")
-    symbols: dict[bytes, int] = {}
-    held: dict[tuple[int, ...], set[str | None]] = {}
-    files, shortest = 0, size
-
-    def flush() -> None:
-        nonlocal files, held
-        by_length: dict[int, list] = {}
-        for window, items in held.items():
-            by_length.setdefault(len(window), []).append((window, sorted(x for x in items if x is not None)))
-        with create(f"{uri}/windows-{files}") as out:
-            out.write(pickle.dumps({n: (np.array([w for w, _ in rows], np.int64), [i for _, i in rows]) for n, rows in by_length.items()}))
-        files, held = files + 1, {}
-
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode(F.col("text").cast("string"), "utf-8").alias("text")).toLocalIterator():
-        for window in windows_of(words_of(bytes(row.text or b"")), size):
-            coded = tuple(symbols.setdefault(w, len(symbols) + 1) for w in window)
-            held.setdefault(coded, set()).add(row.item)
-            shortest = min(shortest, len(coded))
-        if len(held) >= per_file:
-            flush()
-    flush()
-    with create(f"{uri}/meta") as out:
-        out.write(pickle.dumps((symbols, files, shortest)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), texts_of(batch.column("text"))):
+                found = list(dict.fromkeys(windows_of(words_of(text), size)))
+                for k in range(0, len(found), 10_000):
+                    some = found[k : k + 10_000]
+                    yield pa.RecordBatch.from_pydict({"window": pa.array(some, pa.binary()), "item": pa.array([item] * len(some), pa.string())})
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    # A copy of each (window, item) is enough; those of a window then meet.
+    windows = materialize(items.mapInArrow(cut, "window binary, item string").distinct().groupBy("window").agg(F.array_sort(F.collect_list("item")).alias("items")), "windows")
+    uri = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"
+    windows.repartition(max(1, -(-windows.count() // per_file)), F.xxhash64("window")).write.parquet(uri)
     return uri
 
 
-_META: dict[str, tuple] = {}
-
-
-def _meta(uri: str) -> tuple:
-    if uri not in _META:
-        _META.clear()
-        _META[uri] = pickle.loads(fetch(f"{uri}/meta"))  # our own file
-        _META[uri] = (*_META[uri], pickle.loads(fetch(f"{uri}/windows-0")))
-    return _META[uri]
-
-
-def search_shard(symbols: np.ndarray, doc_of: np.ndarray, n_symbols: int, shortest: int, tables: Iterator[dict]) -> tuple[np.ndarray, list[set[str]]]:
-    """(which words are hit, item ids of each document) for documents' symbols, each followed by a 0."""
-    hit = np.zeros(len(symbols) + 1, np.int64)
-    items: dict[int, set[str]] = {}
-    inside = symbols > 0
-    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = stop - start >= shortest
-    start, length = start[long], (stop - start)[long] + 1  # with the separator behind
-    if len(start):
-        place = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        index = FMIndex(symbols[place], n_symbols)
+class WindowTable:
+    """One file of windows: its words, and for each length the windows as places in them, with their items."""
+
+    def __init__(self, name: str):
+        with source(name) as file:
+            table = pq.ParquetFile(file).read()
+        split = [w.split() for w in table.column("window").to_pylist()]
+        owners = table.column("items").to_pylist()
+        number: dict[bytes, int] = {}
+        by_length: dict[int, tuple[list, list]] = {}
+        for words, items in zip(split, owners):
+            windows, about = by_length.setdefault(len(words), ([], []))
+            windows.append([number.setdefault(w, len(number)) for w in words])
+            about.append(items)
+        self.words = list(number)
+        self.lengths = [(np.array(windows, np.int64), about) for _, (windows, about) in sorted(by_length.items())]
+
+    def coded(self, vocabulary: dict[bytes, int]) -> Iterator[tuple[np.ndarray, list[list[str]]]]:
+        """(windows as symbols of a shard, their items) of each length; those with words that the shard hasn't are left out."""
+        symbol = np.fromiter((vocabulary.get(w, 0) for w in self.words), np.int64, len(self.words))
+        for windows, about in self.lengths:
+            symbols = symbol[windows]
+            there = np.flatnonzero(symbols.all(axis=1))
+            if len(there):
+                yield symbols[there], [about[k] for k in there.tolist()]
+
+
+_TABLES: dict[str, tuple[list[str], WindowTable | None]] = {}
+
+
+def tables_of(uri: str) -> Iterator[WindowTable]:
+    """The files of windows, one after another; the first stays with the worker."""
+    if uri not in _TABLES:
+        files, path = filesystem(uri)
+        names = sorted(f"{uri}/{f.base_name}" for f in files.get_file_info(FileSelector(path)) if f.base_name.endswith(".parquet"))
+        _TABLES.clear()
+        _TABLES[uri] = names, WindowTable(names[0]) if names else None
+    names, first = _TABLES[uri]
+    for k, name in enumerate(names):
+        yield first if k == 0 else WindowTable(name)
+
+
+def numbering() -> defaultdict[bytes, int]:
+    """A vocabulary that numbers words from 1 on as they come."""
+    return defaultdict(count(1).__next__)
+
+
+def search_shard(stretches: list[np.ndarray], vocabulary: dict[bytes, int], tables: Iterator[WindowTable]) -> tuple[list[np.ndarray], list[set[str]]]:
+    """(which words are hit, item ids) of each stretch of symbols."""
+    sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
+    for at, part in zip(begin.tolist(), stretches):
+        text[at : at + len(part)] = part
+    of = np.repeat(np.arange(len(sizes)), sizes + 1)
+    hit = np.zeros(len(text) + 1, np.int64)
+    items: list[set[str]] = [set() for _ in stretches]
+    if sizes.sum():
+        index = FMIndex(text, len(vocabulary) + 1)
         for table in tables:
-            for n, (windows, owners) in table.items():
+            for windows, owners in table.coded(vocabulary):
                 low, high = index.search(windows)
-                count = high - low
-                which = np.flatnonzero(count)
+                n = high - low
+                which = np.flatnonzero(n)
                 for k in range(0, len(which), 4096):  # occurrences of so many windows at a time
                     some = which[k : k + 4096]
-                    rows = np.repeat(low[some] - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(int(count[some].sum()))
-                    at = place[index.locate(rows)]
+                    rows = np.repeat(low[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(int(n[some].sum()))
+                    at = index.locate(rows)
                     np.add.at(hit, at, 1)
-                    np.add.at(hit, at + n, -1)
-                    pairs = np.unique(np.stack((doc_of[at], np.repeat(some, count[some])), axis=1), axis=0)
-                    for d, w in pairs.tolist():
-                        items.setdefault(d, set()).update(owners[w])
-    return np.cumsum(hit[:-1]) > 0, items
+                    np.add.at(hit, at + windows.shape[1], -1)
+                    pairs = np.unique(of[at] * np.int64(len(owners)) + np.repeat(some, n[some]))
+                    for d, w in zip((pairs // len(owners)).tolist(), (pairs % len(owners)).tolist()):
+                        items[d].update(x for x in owners[w] if x is not None)
+    inside = np.cumsum(hit[:-1]) > 0
+    return [inside[a : a + n] for a, n in zip(begin.tolist(), sizes.tolist())], items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, keep: list[str] | None = None, shard_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, keep: list[str] | None = None, shard_words: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: the columns `keep` (doc_id), n_words, spans (merged removal spans in words, end exclusive), items.
 
-    shard_words bounds the words of one index (a single longer document has an index of its own).
+    shard_words bounds the words of one index.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     keep = keep or ["doc_id"]
+    if shard_words < 2 * size:
+        raise ValueError("a shard holds two windows at least")
     uri = write_windows(benchmark, size)
     wanted = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, files, shortest, first = _meta(uri)
-        tables = lambda: (first if k == 0 else pickle.loads(fetch(f"{uri}/windows-{k}")) for k in range(files))
-        symbol = vocabulary.get
+        vocabulary = numbering()
         held: list[pa.RecordBatch] = []
         parts: list[np.ndarray] = []
         n_held = 0
 
-        def emit() -> pa.RecordBatch:
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) - 1
-            symbols = np.concatenate(parts)
-            begin = np.cumsum(sizes + 1) - (sizes + 1)
-            hit, items = search_shard(symbols, np.repeat(np.arange(len(parts)), sizes + 1), len(vocabulary) + 1, shortest, tables())
-            edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
-            spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
-            of = (np.searchsorted(begin, [a for a, _ in spans], "right") - 1).tolist() if spans else []
-            by_doc: dict[int, list] = {}
-            for d, (a, b) in zip(of, spans):
-                by_doc.setdefault(d, []).append({"start": a - int(begin[d]), "end": b - int(begin[d])})
-            table = pa.Table.from_batches(held).select(keep).combine_chunks()
-            n = len(parts)
-            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+        def code(words: list[bytes]) -> np.ndarray:
+            return np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
+
+        def rows(kept: list[pa.RecordBatch], hits: list[np.ndarray], items: list[set[str]]) -> pa.RecordBatch:
+            spans = []
+            for hit in hits:
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+                spans.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+            columns = [pa.concat_arrays([b.column(k) for b in kept]) for k in range(len(keep))]
             return pa.RecordBatch.from_arrays(
                 [
                     *columns,
-                    pa.array(sizes),
-                    pa.array([by_doc.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                    pa.array([len(h) for h in hits], pa.int64()),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 ],
                 names=[*keep, "n_words", "spans", "items"],
             )
 
+        def emit() -> pa.RecordBatch:
+            nonlocal held, parts, n_held, vocabulary
+            out = rows(held, *search_shard(parts, vocabulary, tables_of(uri)))
+            held, parts, n_held, vocabulary = [], [], 0, numbering()
+            return out
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                held.append(part.drop_columns(["__text"]))
-                for text in texts_of(part.column(part.num_columns - 1)):
-                    words = words_of(text)
-                    coded = np.zeros(len(words) + 1, np.int32)
-                    coded[:-1] = np.fromiter((symbol(w, 0) for w in words), np.int32, len(words))
-                    parts.append(coded)
-                    n_held += len(words)
-                if n_held >= shard_words:
+            for k, text in enumerate(texts_of(batch.column(batch.num_columns - 1))):
+                words, own = words_of(text), batch.slice(k, 1).select(list(range(batch.num_columns - 1)))
+                if parts and n_held + len(words) > shard_words:
                     yield emit()
-                    held, parts, n_held = [], [], 0
+                if len(words) <= shard_words:
+                    held.append(own)
+                    parts.append(code(words))
+                    n_held += len(words)
+                    continue
+                hit, items = np.zeros(len(words), bool), set()
+                for a in range(0, len(words) - size + 1, shard_words - size + 1):
+                    found, some = search_shard([code(words[a : a + shard_words])], vocabulary, tables_of(uri))
+                    hit[a : a + shard_words] |= found[0]
+                    items |= some[0]
+                    vocabulary = numbering()
+                yield rows([own], [hit], [items])
         if parts:
             yield emit()
 

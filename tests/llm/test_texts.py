@@ -162,7 +162,11 @@ def test_decontamination(spark, sf_dir, cases, nothing):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     expected = Counter(contamination_by_hand([(c[0], c[1]) for c in CASES], items))
     assert as_query(decontaminate.decontaminate(cases, benchmark)) == expected
-    assert as_query(decontaminate.decontaminate(cases, benchmark, shard_words=5)) == expected
+    for words in (30_000, 260_000):  # the longest text is cut into stretches that overlap, or stands alone
+        assert as_query(decontaminate.decontaminate(cases, benchmark, shard_words=words)) == expected
+    short = [c for c in CASES if len(c[1] or "") < 10_000]
+    got = as_query(decontaminate.decontaminate(spark.createDataFrame([(a, b) for a, b, *_ in short], "doc_id long, text string"), spark.createDataFrame(items[:2] + items[5:7], benchmark.schema), size=4, shard_words=8))
+    assert got == Counter(contamination_by_hand([(c[0], c[1]) for c in short], items[:2] + items[5:7], 4))
     assert decontaminate.decontaminate(nothing, benchmark).count() == 0
     assert all(not r.spans for r in decontaminate.decontaminate(cases, benchmark.limit(0)).collect())
 
@@ -181,8 +185,19 @@ def test_fm_index_finds_all_occurrences(text, windows, sample):
 def test_windows_are_read_from_many_files(spark, tmp_path):
     benchmark = spark.createDataFrame([(k, f"item{k} w{k} x y") for k in range(50)], "item_id long, text string")
     uri = decontaminate.write_windows(benchmark, per_file=7)
-    vocabulary, files, shortest, _ = decontaminate._meta(uri)
-    assert files >= 7 and shortest == 4 and len(vocabulary) == 102
+    tables = list(decontaminate.tables_of(uri))
+    assert len(tables) == 8 and len({w for t in tables for w in t.words}) == 102
+    found = {tuple(t.words[k] for k in w): items for t in tables for windows, owners in t.lengths for w, items in zip(windows.tolist(), owners)}
+    assert found == {(b"item%d" % k, b"w%d" % k, b"x", b"y"): [str(k)] for k in range(50)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=30), min_size=1, max_size=8))
+def test_suffix_order(stretches):
+    """Equal documents, empty ones and long repeats; separators are in the order of their places."""
+    text = np.array([x for s in stretches for x in [*s, 0]])
+    keys = [k if x == 0 else len(text) + x for k, x in enumerate(text.tolist())]
+    assert decontaminate.suffix_order(text).tolist() == sorted(range(len(text)), key=lambda k: keys[k:])
 
 
 # --- Secrets
