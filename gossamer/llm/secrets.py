@@ -5,20 +5,18 @@ name, a separator and a value of 12 characters or more; `access`, access key
 ids; `hex`, long runs of lower-case hexadecimal digits.
 
 Battery: each maximal token of 20 or more base64-like characters is given the
-encoding (hexadecimal, base32, alphanumeric or base64) of the smallest alphabet that holds it.
-Its null hypothesis is written language (or an ordinary identifier), under
-which a token is less even over the alphabet, keeps to one character class in
-longer runs and has neighbours that are alike.  Three statistics are compared
-with what language of that length and encoding gives: chi-squared uniformity
-over the alphabet (non-central under the null, its excess growing with the
-length), the number of runs of character class, and the serial correlation of
-neighbouring symbols.  The p value is the larger of that of evenness and that
-of the three z scores combined (Stouffer).
-In the short alphabets (hexadecimal, base32) 20 to 40 symbols cannot tell even
-from uneven at 1 %.  There the first statistic is the surprise of the token's
-letters under language's shares, runs and serial correlation have the null of
-words with numbers between them, the z scores are weighted by what they tell,
-and a token that isn't even (chi-squared, 1 %) or runs on in order has p = 1.
+encoding of the smallest alphabet that holds it (ENCODINGS), but for one
+separator in twelve characters; none is left out beforehand.  Its null hypothesis is an ordinary token: words run together, with
+capitals, numbers, separators or slashes between them.  Three statistics are
+compared with what such tokens of that length and encoding give: the surprise
+of the letters under language's shares, the number of runs of character class
+(in letters of one case: of vowels and others), and the serial correlation of
+neighbouring symbols.  Their z scores are added up with the encoding's weights
+(Stouffer), and a token that isn't even over its alphabet (chi-squared, 1 %) or
+runs on in order has p = 1.  So have digits alone, which ordinary numbers may
+be.  The nulls were calibrated on words of the test documents and of English
+joined in fifteen ways; tests/llm/test_battery.py holds recall and false
+discoveries of each encoding.
 The different tokens of a document (a repeated one counts once) are judged
 together by a weighted Benjamini-Hochberg step: weights grow with the length,
 as short tokens tell less, and are 1 on average; the expected share of false
@@ -34,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,27 +49,55 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is a maximal run
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Encodings from the smallest alphabet up.  For each: the alphabet, its sort, and how language written in it departs from evenness:
-#: the sum of squared shares of its characters.
-_ALPHABETS = (
-    ("hex", "0123456789abcdef", 0.100),
-    ("hex", "0123456789ABCDEF", 0.100),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066),
-    ("alphanumeric", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.062),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.060),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.060),
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+class Encoding(NamedTuple):
+    """An alphabet, and the null of ordinary tokens in it.
+
+    alike: their mean serial correlation.  change: their share of neighbours of different class; classes are digits, upper-case,
+    lower-case and other characters, or (of one case alone) vowels and others, where random tokens change less often, not more.
+    weights of the z scores of letters, runs and serial correlation; spread: the standard deviation of their sum under the null.
+    """
+
+    name: str
+    alphabet: str
+    change: float
+    alike: float
+    weights: tuple[float, float, float]
+    spread: float
+    vowels: bool = False
+
+
+#: Encodings from the smallest alphabet up.
+ENCODINGS = (
+    Encoding("digits", _DIGITS, 0.0, 0.0, (0.0, 0.0, 0.0), 1.0),
+    Encoding("hex", _DIGITS + "abcdef", 0.25, 0.30, (0.5, 1.0, 0.8), 1.0),
+    Encoding("hex", _DIGITS + "ABCDEF", 0.25, 0.30, (0.5, 1.0, 0.8), 1.0),
+    Encoding("lower", _LOWER, 0.62, 0.0, (1.0, 1.0, 0.0), 1.0, True),
+    Encoding("upper", _UPPER, 0.62, 0.0, (1.0, 1.0, 0.0), 1.0, True),
+    Encoding("base32", _UPPER + "234567", 0.17, 0.25, (1.5, 0.6, 0.5), 1.0),
+    Encoding("lower36", _DIGITS + _LOWER, 0.20, 0.40, (1.0, 1.0, 0.5), 1.0),
+    Encoding("upper36", _DIGITS + _UPPER, 0.20, 0.40, (1.0, 1.0, 0.5), 1.0),
+    Encoding("alphanumeric", _UPPER + _LOWER + _DIGITS, 0.30, 0.25, (1.0, 1.0, 0.5), 1.1),
+    Encoding("base64", _UPPER + _LOWER + _DIGITS + "+/", 0.30, 0.25, (1.0, 1.0, 0.5), 1.0),
+    Encoding("base64url", _UPPER + _LOWER + _DIGITS + "-_", 0.30, 0.25, (1.0, 1.0, 0.5), 1.0),
+    Encoding("mixed", _UPPER + _LOWER + _DIGITS + "+/-_", 0.35, 0.25, (1.0, 1.0, 0.5), 1.0),
 )
-#: Nulls of the short alphabets: share of neighbours of different class, serial correlation, weights of the z scores of letters, runs and correlation.
-_SHORT = {"hex": (1 / 4, 0.30, (0.5, 1.0, 0.8)), "base32": (1 / 6, 0.25, (1.5, 0.6, 0.5))}
 #: Per cent of the letters A to Z in written language; rare ones count as 0.8, as names and abbreviations have them.
 _LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.8, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.8, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.8, 2.0, 0.8)
-_SETS = [frozenset(a) for _, a, _ in _ALPHABETS]
+_SETS = [frozenset(e.alphabet) for e in ENCODINGS]
 _CLASS = np.full(128, 3, np.int8)
 _CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x61:0x7B] = 0, 1, 2
+_VOWEL = np.zeros(128, np.int8)
+_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]] = 1
+
+
+_WITHOUT = str.maketrans("", "", "+/-_")
 
 
 def encoding_of(token: str) -> int | None:
-    """Place in the list of encodings of the smallest alphabet that holds the token; None if none does."""
+    """Place in ENCODINGS of the smallest alphabet that holds the token; None if none does."""
     used = set(token.rstrip("="))
     return next((k for k, s in enumerate(_SETS) if used <= s), None)
 
@@ -79,63 +106,45 @@ def _surprises(alphabet: str) -> tuple[np.ndarray, float, float]:
     """(surprise of each code under language's shares of the alphabet's letters, 0 for other codes; mean and variance over language)."""
     letters = [c for c in alphabet if c.isalpha()]
     share = np.array([_LETTERS[ord(c.upper()) - 65] for c in letters])
-    share /= share.sum()
+    share /= max(share.sum(), 1e-9)
     out, each = np.zeros(128), -np.log(share)
     out[[ord(c) for c in letters]] = each
     mean = float(share @ each)
     return out, mean, float(share @ (each - mean) ** 2)
 
 
-_SURPRISES = [_surprises(a) for _, a, _ in _ALPHABETS]
-
-
-def _short(kind: int, codes: np.ndarray, chi: float, changes: int, serial: float) -> tuple[float, float, float, float]:
-    """randomness of a token in a short alphabet."""
-    name, alphabet, _ = _ALPHABETS[kind]
-    base, alike, weights = _SHORT[name]
-    n, free = len(codes), len(alphabet) - 1
-    surprise, mean, variance = _SURPRISES[kind]
-    m = int((_CLASS[codes] != 0).sum())
-    z_letters = (float(surprise[codes].sum()) - m * mean) / math.sqrt(m * variance) if m else 0.0
-    z_runs = (changes - (n - 1) * base) / math.sqrt((n - 1) * base * (1 - base))
-    z_serial = (alike - serial) * math.sqrt(n)
-    # The 99th percentile of chi-squared (Wilson and Hilferty), and the thousandth of the correlation: alphabets in order go on as they began.
-    even = chi <= free * (1 - 2 / (9 * free) + 2.326 * math.sqrt(2 / (9 * free))) ** 3 and z_serial > alike * math.sqrt(n) - 3.09
-    z = sum(w * x for w, x in zip(weights, (z_letters, z_runs, z_serial))) / math.sqrt(sum(w * w for w in weights))
-    return z_letters, z_runs, z_serial, 0.5 * math.erfc(z / math.sqrt(2)) if even else 1.0
+_SURPRISES = [_surprises(e.alphabet) for e in ENCODINGS]
 
 
 def randomness(token: str) -> tuple[float, float, float, float]:
-    """(z of uniformity (short alphabets: of the letters), z of runs, z of serial correlation, p value under language) of a token; high z and low p mean randomness."""
-    kind = encoding_of(token)
+    """(z of the letters' shares, z of runs, z of serial correlation, p value under the null of ordinary tokens); high z and low p mean randomness."""
     body = token.rstrip("=")
-    if kind is None or len(body) < 2:
+    plain = body.translate(_WITHOUT)
+    if len(body) - len(plain) <= len(body) // 12:  # a few separators don't widen the alphabet
+        body = plain
+    kind = encoding_of(body)
+    if kind is None or len(body) < 2 or not any(ENCODINGS[kind].weights):
         return 0.0, 0.0, 0.0, 1.0
-    name, alphabet, squares = _ALPHABETS[kind]
-    k, n = len(alphabet), len(body)
+    known, n = ENCODINGS[kind], len(body)
+    k = len(known.alphabet)
     codes = np.frombuffer(body.encode("ascii"), np.uint8)
-    place = np.zeros(128, np.int64)
-    place[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(k)
-    counts = np.bincount(place[codes], minlength=k)
+    counts = np.bincount(codes, minlength=128)
     chi = float((counts.astype(float) ** 2).sum()) * k / n - n
-    classes = _CLASS[codes]
+    surprise, mean, variance = _SURPRISES[kind]
+    letters = int(counts[surprise > 0].sum())
+    z_letters = (float(surprise[codes].sum()) - letters * mean) / math.sqrt(letters * variance) if letters else 0.0
+    classes = (_VOWEL if known.vowels else _CLASS)[codes]
     changes = int((classes[1:] != classes[:-1]).sum())
+    z_runs = (changes - (n - 1) * known.change) / math.sqrt((n - 1) * known.change * (1 - known.change)) * (-1 if known.vowels else 1)
     x = codes.astype(float) - codes.mean()
     spread = float((x * x).sum())
     serial = float((x[1:] * x[:-1]).sum()) / spread if spread else 1.0
-    if name in _SHORT:
-        return _short(kind, codes, chi, changes, serial)
-    # Uniformity: the non-central chi-squared statistic of language has mean k - 1 + d and variance 2 (k - 1 + 2 d).
-    excess = (n - 1) * (k * squares - 1)
-    z_even = (k - 1 + excess - chi) / math.sqrt(2 * (k - 1) + 4 * excess)
-    # Runs: random symbols change class with probability 1 - sum of squared shares; language in one change of eight.
-    base = 1 / 8
-    z_runs = (changes - (n - 1) * base) / math.sqrt((n - 1) * base * (1 - base))
-    # Serial correlation: language's neighbours have classes (and so codes) alike; its coefficient is near 0.45.
-    z_serial = (0.45 - serial) * math.sqrt(n)
-    # Both evenness and the three together must speak against language (an intersection-union test).
-    z = min(z_even, (z_even + z_runs + z_serial) / math.sqrt(3))
-    return z_even, z_runs, z_serial, 0.5 * math.erfc(z / math.sqrt(2))
+    z_serial = (known.alike - serial) * math.sqrt(n)
+    # A token must be even (the 99th percentile of chi-squared, by Wilson and Hilferty) and not go on as it began (alphabets in order).
+    free = k - 1
+    even = chi <= free * (1 - 2 / (9 * free) + 2.326 * math.sqrt(2 / (9 * free))) ** 3 and serial * math.sqrt(n) < 3.09
+    z = sum(w * x for w, x in zip(known.weights, (z_letters, z_runs, z_serial))) / math.sqrt(sum(w * w for w in known.weights)) / known.spread
+    return z_letters, z_runs, z_serial, 0.5 * math.erfc(z / math.sqrt(2)) if even else 1.0
 
 
 def discoveries(tokens: list[str], rate: float, reference: int = 32) -> list[bool]:
@@ -160,16 +169,12 @@ def spans_of(text: str, rate: float = 0.01) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         spans.update((m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18)
     spans.update((m.start(), 2, m.end()) for m in _HEX.finditer(text))
-    # A token that is one ordinary word (capitalised or not) or digits alone isn't a candidate.
-    tokens = [m for m in _TOKEN.finditer(text) if not _WORD(m[0]) and not m[0].isdigit()]
+    tokens = list(_TOKEN.finditer(text))
     if tokens:
         spans.update((m.start(), 3, m.end()) for m, found in zip(tokens, discoveries([m[0] for m in tokens], rate)) if found)
     return sorted(spans)
 
 
-_WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+").fullmatch
-
-
 def scan(docs: DataFrame, keep: list[str] | None = None, rate: float = 0.01) -> DataFrame:
     """The columns `keep` (doc_id) and spans, an array of (kind, start, end) by start and kind, of each row."""
     prepare(docs.sparkSession)
