@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
 from gossamer.catalog.algebra import rounded, sets
+from gossamer.catalog.chains import Chain
 from gossamer.operators import algebra as al
 from gossamer.operators import luby
 from gossamer.operators import splitting as sp
@@ -14,6 +15,10 @@ from gossamer.sources import generators as g
 from gossamer.sources import tables as t
 
 
+#: So many rounds assign every node of these matrices.
+_ENOUGH = 14
+
+
 def pattern(spark, sf_dir, **options):
     return strength(t.flow(spark, sf_dir), 0.5, **options)
 
@@ -88,7 +93,21 @@ def g4(spark, sf_dir):
     return sp.ddc(t.dominant(spark, sf_dir), t.part_markers(spark, sf_dir), 0.1)
 
 
-@query("G5_diag_dom")
+def _chain_sql(build, body="SELECT i, cf::INTEGER AS cf FROM {}"):
+    c = Chain()
+    return c.sql(body.format(build(c)))
+
+
+def _all_fine(c):
+    return c.add("SELECT i, -1 AS cf FROM part_rows")
+
+
+def _dominated(c):
+    """The splitting by dominance: so many passes and rounds are more than these matrices need."""
+    return c.diag_dom("D", c.pmisr(c.strong("D", 0.5), "part_rows", _ENOUGH), 0.5, 10, 10)
+
+
+@query("G5_diag_dom", _chain_sql(lambda c: c.diag_dom("D", c.add("SELECT i, cf FROM cf"), 0.4, 10, 10)))
 def g5(spark, sf_dir):
     return sp.diag_dom(materialize(t.dominant(spark, sf_dir), "dominant"), t.part_markers(spark, sf_dir), 0.4)
 
@@ -102,8 +121,6 @@ def _split(kind, threshold=0.5, **options):
 
 
 _SD = "SD AS MATERIALIZED (SELECT i, j FROM (SELECT *, max(CASE WHEN i <> j THEN abs(v) END) OVER (PARTITION BY i) AS m FROM D) WHERE i <> j AND abs(v) >= 0.5 * m), SDS AS MATERIALIZED (SELECT i, j FROM SD UNION SELECT j, i FROM SD), SDD AS MATERIALIZED (SELECT i, j FROM (SELECT a.j AS i, b.j FROM SD a JOIN SD b ON b.i = a.i UNION SELECT i, j FROM SD) WHERE i <> j)"
-#: So many rounds assign every node of these matrices.
-_ENOUGH = 14
 
 
 def _to_the_end(edges: str, sign: str, alone: int) -> str:
@@ -121,7 +138,7 @@ bound0 AS (SELECT max(bin) / 1000.0::DOUBLE AS bound FROM (SELECT bin, sum(n) OV
 
 for _name, _kind, _threshold, _sql in (
     ("G6a_pmisr_ddc", SplittingType.PMISR_DDC, 0.5, with_base("SELECT c.i, CASE WHEN r.ratio >= bound AND r.ratio <> 0 THEN 1 ELSE c.cf END::INTEGER AS cf FROM bound0, cf0 c LEFT JOIN ratio0 r ON r.i = c.i", f"{_to_the_end('SDS', '', -1)}, {_DDC}")),
-    ("G6b_diag_dom", SplittingType.DIAG_DOM, 0.5, None),
+    ("G6b_diag_dom", SplittingType.DIAG_DOM, 0.5, _chain_sql(_dominated)),
     ("G6c_pmis", SplittingType.PMIS, 0.5, with_base(_PMIS, _to_the_end("SDS", "-", 1))),
     ("G6d_pmis_dist2", SplittingType.PMIS_DIST2, 0.5, with_base(_PMIS, _to_the_end("SDD", "-", 1))),
     ("G6e_agg", SplittingType.AGG, 0.9, None),
@@ -130,7 +147,7 @@ for _name, _kind, _threshold, _sql in (
     query(_name, _sql)(_split(_kind, _threshold))
 
 
-@query("G6g_cr")
+@query("G6g_cr", _chain_sql(lambda c: c.cr("D", _all_fine(c), 0.7, 8, 10)))
 def g6g(spark, sf_dir):
     a = materialize(t.dominant(prepare(spark), sf_dir), "dominant")
     return sp.compute_cf_splitting(a, t.part_rows(spark, sf_dir), strong_threshold=0.7, splitting=SplittingType.CR, cr_inverse=InverseOptions(InverseType.JACOBI))
@@ -141,14 +158,14 @@ def g7(spark, sf_dir):
     return sp.aggregate(strength(t.dominant(spark, sf_dir), 0.9), t.part_rows(spark, sf_dir))
 
 
-@query("G8_cr_pass")
+@query("G8_cr_pass", _chain_sql(lambda c: c.cr("D", _all_fine(c), 0.2, 1, 12, weight="w")))
 def g8(spark, sf_dir):
     a = materialize(t.dominant(spark, sf_dir), "dominant")
     cf, _, _ = sp.cr_pass(a, t.part_rows(spark, sf_dir).select("i", F.lit(-1).alias("cf")), 0.2, InverseOptions(InverseType.WJACOBI))
     return cf
 
 
-@query("G9_diag_dom_submatrix")
+@query("G9_diag_dom_submatrix", _chain_sql(_dominated, "SELECT i, j, v FROM D WHERE i IN (SELECT i FROM {0} WHERE cf = -1) AND j IN (SELECT i FROM {0} WHERE cf = -1)"))
 def g9(spark, sf_dir):
     return sp.diag_dom_submatrix(materialize(t.dominant(spark, sf_dir), "dominant"), t.part_rows(spark, sf_dir), 0.5)[0]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
 from gossamer.catalog.algebra import rounded
+from gossamer.catalog.chains import Chain
 from gossamer.functions.dense import pseudo_inverse
 from gossamer.operators import algebra as al
 from gossamer.operators import inverse as inv
@@ -37,18 +38,49 @@ def _grid(spark):
     return materialize(g.upwind_diffusion_2d(spark, 10, 0.01), "grid"), al.index_set(spark, 100)
 
 
+def _fitted(order):
+    """The Krylov polynomial of the row-scaled matrix from the products of its vectors: (chain, matrix, rows, results of `fitted`)."""
+    c = Chain()
+    a, rows = c.add("SELECT D.i, D.j, v * d AS v FROM D JOIN Jinv ON Jinv.i = D.i"), c.add("SELECT i FROM part_rows")
+    return c, a, rows, *c.fitted(a, c.start_vector(rows), rows, order)
+
+
+def _coefficient_sql(order):
+    c, _, _, row, *_ = _fitted(order)
+    return c.sql(c.table(row, order + 1, 6))
+
+
+def _root_sql(order):
+    c, _, _, row, *_ = _fitted(order)
+    return c.sql(c.roots(row, order + 1, 6))
+
+
+def _residual_sql(order, kinds):
+    c, *_, miss = _fitted(order)
+    return c.sql(" UNION ALL ".join(f"SELECT '{kind}' AS kind, (SELECT round(sqrt(sum(x * x)), 6) FROM {miss}) AS residual" for kind in kinds))
+
+
+def _polynomial_sql(order):
+    c, a, rows, _, row, _ = _fitted(order)
+    terms, n = [], c.add("SELECT i, x FROM x")
+    for k in range(order + 1):
+        terms.append((f"(SELECT c_{k} FROM {row})", n))
+        n = c.combine(("1.0", n), ("-1.0", c.spmv(a, n, rows)))
+    return c.sql(f"SELECT i, round(x, 6) AS x FROM {c.combine(*terms)}")
+
+
 def _coefficients(kind, order):
     def run(spark, sf_dir):
         a, rows = scaled(spark, sf_dir)
-        return inv.ApproxInverse.build(a, rows, InverseOptions(kind, order, matrix_free=True)).coefficient_table()
+        return rounded(inv.ApproxInverse.build(a, rows, InverseOptions(kind, order, matrix_free=True)).coefficient_table(), 6)
 
     return run
 
 
-query("I1_power_coefficients")(_coefficients(InverseType.POWER, 3))
-query("I2_arnoldi_coefficients")(_coefficients(InverseType.ARNOLDI, 3))
-query("I3_newton_roots")(_coefficients(InverseType.NEWTON, 3))
-query("I4_newton_no_extra")(_coefficients(InverseType.NEWTON_NO_EXTRA, 3))
+query("I1_power_coefficients", _coefficient_sql(3))(_coefficients(InverseType.POWER, 3))
+query("I2_arnoldi_coefficients", _coefficient_sql(3))(_coefficients(InverseType.ARNOLDI, 3))
+query("I3_newton_roots", _root_sql(3))(_coefficients(InverseType.NEWTON, 3))
+query("I4_newton_no_extra", _root_sql(3))(_coefficients(InverseType.NEWTON_NO_EXTRA, 3))
 
 
 @query(
@@ -66,12 +98,20 @@ def i5(spark, sf_dir):
     return rounded(inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.NEUMANN, 2, 1)).matrix, 9)
 
 
-@query("I6_sai")
+def _sai_sql(square):
+    c = Chain()
+    a, pattern = c.add("SELECT i, j, v FROM D"), c.add("SELECT i, j FROM D")
+    one = c.add("SELECT i, i AS j, 1.0::DOUBLE AS v FROM part_rows")
+    z = c.local_exact(a, pattern, one, 40) if square else c.local_least(a, pattern, one, 60)
+    return c.sql(f"SELECT i, j, round(v, 9) AS v FROM {z}")
+
+
+@query("I6_sai", _sai_sql(False))
 def i6(spark, sf_dir):
     return rounded(inv.sai(*dominant(spark, sf_dir), 1), 9)
 
 
-@query("I7_isai")
+@query("I7_isai", _sai_sql(True))
 def i7(spark, sf_dir):
     return rounded(inv.sai(*dominant(spark, sf_dir), 1, square=True), 9)
 
@@ -180,15 +220,15 @@ def i19(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(p[i, j]), 9)) for i in range(2) for j in range(2)], "i int, j int, v double")
 
 
-@query("I20_reused_coefficients")
+@query("I20_reused_coefficients", _coefficient_sql(2))
 def i20(spark, sf_dir):
     a, rows = scaled(spark, sf_dir)
     first = inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.ARNOLDI, 2, 1))
     again = inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.ARNOLDI, 2, 1), first.coefficients)
-    return again.coefficient_table()
+    return rounded(again.coefficient_table(), 6)
 
 
-@query("I2_arnoldi_residual")
+@query("I2_arnoldi_residual", _residual_sql(3, ("POWER", "ARNOLDI", "NEWTON_NO_EXTRA")))
 def arnoldi_residual(spark, sf_dir):
     """Residual norm of each polynomial basis on a random right-hand side; all are the same polynomial."""
     a, rows = scaled(spark, sf_dir)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
 from gossamer.catalog.algebra import rounded, sets
-from gossamer.catalog.inverses import dominant, scaled
+from gossamer.catalog.chains import Chain, Cycle, local_pattern
+from gossamer.catalog.inverses import _polynomial_sql, dominant, scaled
 from gossamer.operators import algebra as al
 from gossamer.operators import inverse as inv
 from gossamer.operators import splitting as sp
@@ -49,12 +50,22 @@ def _split_blocks(spark, sf_dir):
     return al.submatrix(a, fine, fine), al.submatrix(a, coarse, fine)
 
 
-@query("R2_local_restriction")
+def _local_sql(square, steps):
+    c = Chain()
+    cf = c.ddc("D", c.pmisr(c.strong("D", 0.5), "part_rows", 14), 0.1)
+    fine, coarse = (c.add(f"SELECT i FROM {cf} WHERE cf = {k}") for k in (-1, 1))
+    aff, acf = c.block("D", fine, fine), c.block("D", coarse, fine)
+    pattern, rhs = local_pattern(c, aff, acf), c.add(f"SELECT i, j, -v AS v FROM {acf}")
+    z = (c.local_exact if square else c.local_least)(aff, pattern, rhs, steps)
+    return c.sql(f"SELECT i, j, round(v, 9) AS v FROM {z}")
+
+
+@query("R2_local_restriction", _local_sql(True, 40))
 def r2(spark, sf_dir):
     return rounded(tr.local_z(*_split_blocks(spark, sf_dir), distance=2), 9)
 
 
-@query("R3_local_restriction_least_squares")
+@query("R3_local_restriction_least_squares", _local_sql(False, 60))
 def r3(spark, sf_dir):
     return rounded(tr.local_z(*_split_blocks(spark, sf_dir), distance=2, square=False), 9)
 
@@ -185,32 +196,66 @@ def m8(spark, sf_dir):
     return spark.createDataFrame([(k, *x) for k, x in enumerate(Options(smooth_type="ffcf").groups())], "place int, kind string, times int")
 
 
-SMALL = Options(poly_order=2, coarsest_poly_order=4, max_levels=3, inverse_type=InverseType.NEUMANN, strong_threshold=0.5)
+#: The coarsest inverse is applied by products, as the coarse matrices of these tables fill in.
+SMALL = Options(poly_order=2, coarsest_inverse_type=InverseType.NEUMANN, coarsest_poly_order=4, coarsest_matrix_free_polys=True, max_levels=3, inverse_type=InverseType.NEUMANN, strong_threshold=0.5)
 
 
 def _grid(spark, n):
     return g.upwind_diffusion_2d(prepare(spark), n, 0.01), al.index_set(spark, n * n)
 
 
-def _build(name, measure, **options):
+def _stats_sql(levels, **options):
+    c = Chain()
+    return c.sql(Cycle(c, levels, **options).stats())
+
+
+def _cycle_sql(levels, **options):
+    c = Chain()
+    x = Cycle(c, levels, **options).apply(c.add("SELECT i, x FROM x"))
+    return c.sql(f"SELECT i, round(x, 6) AS x FROM {x}")
+
+
+def _truncated_sql():
+    """The level is the only one, as the coarsest inverse is good enough on it."""
+    c = Chain()
+    h, b = Cycle(c, 1), c.start_vector("part_rows", "truncate")
+    miss = c.combine(("1.0", b), ("-1.0", c.spmv("D", h.apply(b), "part_rows")))
+    return c.sql(f"SELECT * FROM ({h.stats()}) WHERE (SELECT sum(x * x) FROM {miss}) < 0.81 * (SELECT sum(x * x) FROM {b})")
+
+
+def _complexity_sql(levels):
+    c = Chain()
+    h = Cycle(c, levels)
+    n = lambda name: f"(SELECT count(*) FROM {name})"
+    top = h.levels[0]
+    cycle = [f"4 * {n(h.last)}"] + [f"2 * ({n(lv.pattern)} + {n(lv.aff)}) + {n(lv.afc)} + {n(lv.r)} + {n(lv.p)}" for lv in h.levels]
+    stored = [n(h.last)] + [n(x) for lv in h.levels for x in (lv.aff, lv.afc, lv.acf, lv.acc, lv.r, lv.p, lv.pattern)]
+    every = {
+        "grid": ([n(lv.rows) for lv in h.levels] + [n(h.last_rows)], top.rows), "operator": ([n(lv.a) for lv in h.levels] + [n(h.last)], top.a),
+        "cycle": (cycle, top.a), "storage": (stored, top.a), "reuse_storage": (["0"], top.a),
+    }
+    return c.sql(" UNION ALL ".join(f"SELECT '{k}' AS name, round(({' + '.join(v)}) / {n(over)}::DOUBLE, 6) AS value" for k, (v, over) in every.items()))
+
+
+def _build(name, measure, sql=None, **options):
     def run(spark, sf_dir):
         a, rows = dominant(spark, sf_dir)
         h = Hierarchy.build(a, rows, SMALL.with_(**options))
         return measure(h, a, t.part_sizes(spark, sf_dir))
 
-    query(name)(run)
+    query(name, sql)(run)
 
 
-_build("M1_hierarchy", lambda h, a, b: h.stats_df())
-_build("M2_coarse_limit", lambda h, a, b: h.stats_df(), coarse_eq_limit=60)
-_build("M3_auto_truncation", lambda h, a, b: h.stats_df(), auto_truncate_start_level=0, auto_truncate_tol=0.9)
-_build("M5_single_level", lambda h, a, b: h.stats_df(), max_levels=1)
-_build("M9_full_smoothing", lambda h, a, b: rounded(h.apply(b)), full_smoothing_up_and_down=True, max_levels=2)
-_build("M10_cycle", lambda h, a, b: rounded(h.apply(b)))
-_build("M12_apply_preconditioner", lambda h, a, b: rounded(h.apply(b)), smooth_type="fc", max_levels=2)
+_build("M1_hierarchy", lambda h, a, b: h.stats_df(), _stats_sql(3))
+_build("M2_coarse_limit", lambda h, a, b: h.stats_df(), _stats_sql(3, coarse_limit=150), coarse_eq_limit=150)
+_build("M3_auto_truncation", lambda h, a, b: h.stats_df(), _truncated_sql(), auto_truncate_start_level=0, auto_truncate_tol=0.9)
+_build("M5_single_level", lambda h, a, b: h.stats_df(), _stats_sql(1), max_levels=1)
+_build("M9_full_smoothing", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, full=True), full_smoothing_up_and_down=True, max_levels=2)
+_build("M10_cycle", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(3))
+_build("M12_apply_preconditioner", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, schedule="fc"), smooth_type="fc", max_levels=2)
 _build("M16_timers", lambda h, a, b: h.timers.df(a.sparkSession).select("name"), max_levels=2)
-_build("A10_complexities", lambda h, a, b: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"))
-_build("R2_hierarchy_local", lambda h, a, b: h.stats_df(), z_type=ZType.LAIR, max_levels=2)
+_build("A10_complexities", lambda h, a, b: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"), _complexity_sql(3))
+_build("R2_hierarchy_local", lambda h, a, b: h.stats_df(), _stats_sql(2, local=40), z_type=ZType.LAIR, max_levels=2)
 
 
 @query("M4_diagonal_block", "SELECT 1 AS times")
@@ -221,7 +266,7 @@ def m4(spark, sf_dir):
     return spark.createDataFrame([(h.levels[0].groups[0][1],)], "times int")
 
 
-@query("M11_coarse_solve")
+@query("M11_coarse_solve", _polynomial_sql(4))
 def m11(spark, sf_dir):
     m = inv.ApproxInverse.build(*scaled(spark, sf_dir), InverseOptions(InverseType.ARNOLDI, 4, matrix_free=True))
     return rounded(m.apply(t.part_sizes(spark, sf_dir)))
@@ -250,17 +295,45 @@ def m14(spark, sf_dir):
 # --- K
 
 
-def _solve(name, solver, **options):
+def _history(norms):
+    return " UNION ALL ".join(f"SELECT {k}::INTEGER AS iteration, round({x}, 6) AS residual" for k, x in enumerate(norms))
+
+
+def _richardson_sql(levels, its):
+    c = Chain()
+    h, b = Cycle(c, levels), c.add("SELECT i, x FROM x")
+    r, norms = b, []
+    for k in range(its + 1):
+        norms.append(f"(SELECT sqrt(sum(x * x)) FROM {r})")
+        if k < its:
+            r = c.combine(("1.0", r), ("-1.0", c.spmv("D", h.apply(r), "part_rows")))
+    return c.sql(_history(norms))
+
+
+def _gmres_sql(levels, its):
+    """Residuals from the least-squares problems over the products of a M, without an orthogonal basis."""
+    c = Chain()
+    h, b = Cycle(c, levels), c.add("SELECT i, x FROM x")
+    vectors = []
+    for _ in range(its):
+        vectors.append(c.spmv("D", h.apply(vectors[-1] if vectors else b), "part_rows"))
+    steps = c.eliminate(c.gram(vectors, b), its)
+    return c.sql(_history([f"(SELECT sqrt(bb) FROM {s})" for s in steps] + [f"(SELECT sqrt(bb - r_{its - 1} * r_{its - 1} / g_{its - 1}_{its - 1}) FROM {steps[-1]})"]))
+
+
+def _solve(name, solver, sql, max_it, **options):
+    """A fixed number of iterations, whose residuals can be compared with SQL's; tests and README have solves to a tolerance."""
+
     def run(spark, sf_dir):
         a, rows = dominant(spark, sf_dir)
         h = Hierarchy.build(a, rows, SMALL.with_(**options))
-        return rounded(solver(a, t.part_sizes(spark, sf_dir), h.apply).history())
+        return rounded(solver(a, t.part_sizes(spark, sf_dir), h.apply, max_it=max_it).history())
 
-    query(name)(run)
+    query(name, sql)(run)
 
 
-_solve("K1_richardson", krylov.richardson, max_levels=2)
-_solve("K2_gmres", krylov.gmres, max_levels=2)
+_solve("K1_richardson", krylov.richardson, _richardson_sql(2, 3), 3, max_levels=2)
+_solve("K2_gmres", krylov.gmres, _gmres_sql(2, 3), 3, max_levels=2)
 
 
 @query("K3_residual_history", with_base("SELECT 0 AS iteration, round(sqrt(sum(x * x)), 6) AS residual FROM x UNION ALL SELECT 1, round(sqrt(sum((x - coalesce(s, 0.0)) ** 2)), 6) FROM x LEFT JOIN (SELECT D.i, sum(v * d * x) AS s FROM D JOIN Jinv ON Jinv.i = D.j JOIN x ON x.i = D.j GROUP BY D.i) t ON t.i = x.i"))
@@ -270,19 +343,47 @@ def k3(spark, sf_dir):
     return rounded(krylov.richardson(a, t.part_sizes(spark, sf_dir), m.apply, max_it=1).history())
 
 
-@query("K4_incomplete_factors")
+def _factors_sql(sweeps):
+    c = Chain()
+    low = c.add("SELECT D.i, D.j, v * d AS v FROM D JOIN Jinv ON Jinv.i = D.j WHERE D.i > D.j")
+    up = c.add("SELECT i, j, v FROM D WHERE i <= j")
+    for _ in range(sweeps):
+        rest = c.add(f"SELECT D.i, D.j, D.v - coalesce(s, 0.0) AS v FROM D LEFT JOIN (SELECT l.i, u.j, sum(l.v * u.v) AS s FROM {low} l JOIN {up} u ON u.i = l.j WHERE l.j < least(l.i, u.j) GROUP BY 1, 2) t ON t.i = D.i AND t.j = D.j")
+        low = c.add(f"SELECT r.i, r.j, r.v / p.v AS v FROM {rest} r JOIN {up} p ON p.i = r.j AND p.j = r.j WHERE r.i > r.j")
+        up = c.add(f"SELECT i, j, v FROM {rest} WHERE i <= j")
+    return c.sql(f"SELECT 'L' AS factor, i, j, round(v, 6) AS v FROM {low} UNION ALL SELECT 'L', i, i, 1.0 FROM part_rows UNION ALL SELECT 'U', i, j, round(v, 6) FROM {up}")
+
+
+def _euler_sql(dt, steps, sweeps):
+    """Each step by Jacobi sweeps, which converge as I + dt D is dominant."""
+    c = Chain()
+    d = c.add(f"SELECT i, 1.0 + {dt} * v AS d FROM D WHERE i = j")
+    off = c.add(f"SELECT i, j, {dt} * v AS v FROM D WHERE i <> j")
+    x = c.add("SELECT i, x FROM x")
+    for _ in range(steps):
+        b = x
+        for _ in range(sweeps):
+            x = c.add(f"SELECT b.i, (b.x - coalesce(s, 0.0)) / d.d AS x FROM {b} b JOIN {d} d ON d.i = b.i LEFT JOIN (SELECT a.i, sum(a.v * x.x) AS s FROM {off} a JOIN {x} x ON x.i = a.j GROUP BY a.i) t ON t.i = b.i")
+    return c.sql(f"SELECT i, round(x, 6) AS x FROM {x}")
+
+
+@query("K4_incomplete_factors", _factors_sql(3))
 def k4(spark, sf_dir):
     a, rows = dominant(spark, sf_dir)
     lower, upper = krylov.incomplete_factors(a, rows, 3)
     return rounded(lower.select(F.lit("L").alias("factor"), "i", "j", "v").unionByName(upper.select(F.lit("U").alias("factor"), "i", "j", "v")))
 
 
-@query("K5_time_steps")
+#: Short enough that a step is dominant by far, so that solves take a few iterations.
+_DT = 0.001
+
+
+@query("K5_time_steps", _euler_sql(_DT, 2, 50))
 def k5(spark, sf_dir):
     a, rows = dominant(spark, sf_dir)
 
     def solve(system, b):
-        m = inv.ApproxInverse.build(system, rows, InverseOptions(InverseType.NEUMANN, 4, 4))
-        return krylov.gmres(system, b, m.apply, rtol=1e-8)
+        m = inv.ApproxInverse.build(system, rows, InverseOptions(InverseType.NEUMANN, 4, matrix_free=True))
+        return krylov.gmres(system, b, m.apply, rtol=1e-11)
 
-    return rounded(krylov.backward_euler(a, rows, t.part_sizes(spark, sf_dir), 0.2, 2, solve))
+    return rounded(krylov.backward_euler(a, rows, t.part_sizes(spark, sf_dir), _DT, 2, solve))

@@ -179,12 +179,25 @@ def spgemm_pattern(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", "j").join(b.select(F.col("i").alias("j"), F.col("j").alias("c")), "j").select("i", F.col("c").alias("j")).distinct()
 
 
+#: Rows of a pattern with more columns than this are restricted after their products are added up.
+WIDE = 1024
+
+
 def spgemm_restricted(a: DataFrame, b: DataFrame, pattern: DataFrame) -> DataFrame:
-    """a b on a pattern, with explicit zeros.  Products outside it go before they are shuffled for the sum."""
+    """a b on a pattern, with explicit zeros.
+
+    An entry of a takes its row's pattern along (an array of at most WIDE columns), so a product outside it goes as soon as it
+    is made, before any sum or shuffle.  Rows with a wider pattern are multiplied whole and restricted afterwards.
+    """
+    columns = pattern.groupBy("i").agg(F.count("*").alias("n"))
+    narrow = pattern.select("i", "j").join(columns.where(F.col("n") <= WIDE), "i", "left_semi").groupBy("i").agg(F.collect_list("j").alias("within"))
     right = b.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("w"))
-    products = a.join(right, "j").select("i", F.col("c").alias("j"), (F.col("v") * F.col("w")).alias("v"))
-    kept = products.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return restrict(kept, pattern)
+    inside = a.join(narrow, "i").join(right, "j").where(F.array_contains("within", F.col("c")))
+    products = inside.groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    many = columns.where(F.col("n") > WIDE).select("i")
+    if not many.isEmpty():
+        products = products.unionByName(spgemm(a.join(many, "i", "left_semi"), b))
+    return restrict(products, pattern)
 
 
 def triple_product(p: DataFrame, a: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,40 +193,92 @@ def assemble_newton(a: DataFrame, rows: DataFrame, roots: np.ndarray, sparsity:
 # --- row-wise solves
 
 
+#: Entries of rows that are solved together; a single row may have more.
+SOLVE_ENTRIES = 200_000
+
+
+def solve_rows(i: np.ndarray, r: np.ndarray, j: np.ndarray, v: np.ndarray, kind: np.ndarray, square: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, z) of whole rows i.  kind 0: entry (r, j) of a that the row needs; 1: column j of its pattern; 2: entry j of its right-hand side.
+
+    Rows with equal numbers of unknowns and equations are solved as one stack.
+    """
+    names, at = np.unique(j, return_inverse=True)
+    rows, own = np.unique(i, return_inverse=True)
+
+    def local(keys: np.ndarray, all_keys: np.ndarray, starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key within its row's sorted keys, whether it is there)."""
+        found = np.minimum(np.searchsorted(all_keys, keys), len(all_keys) - 1)
+        return found - starts[of], all_keys[found] == keys
+
+    key = own * np.int64(len(names)) + at
+    pattern = np.unique(key[kind == 1])
+    equations = pattern if square else np.unique(key[kind != 1])
+    m_start, n_start = (np.searchsorted(k, np.arange(len(rows) + 1) * np.int64(len(names))) for k in (pattern, equations))
+    m, n = np.diff(m_start), np.diff(n_start)
+    block, given = kind == 0, kind == 2
+    r_at = np.searchsorted(names, r[block])
+    unknown, _ = local(own[block] * np.int64(len(names)) + r_at, pattern, m_start, own[block])  # rows of a are those of the pattern
+    equation, inside = local(key[block], equations, n_start, own[block])
+    b_at, b_inside = local(key[given], equations, n_start, own[given])
+    z = np.zeros(len(pattern))
+    for size in np.unique(np.stack((m, n), axis=1), axis=0).tolist():
+        if not size[0]:
+            continue
+        members = np.flatnonzero((m == size[0]) & (n == size[1]))
+        number = np.full(len(rows), -1)
+        number[members] = np.arange(len(members))
+        dense, rhs = np.zeros((len(members), size[1], size[0])), np.zeros((len(members), size[1]))
+        mine = (number[own[block]] >= 0) & inside
+        np.add.at(dense, (number[own[block][mine]], equation[mine], unknown[mine]), v[block][mine])
+        mine = (number[own[given]] >= 0) & b_inside
+        np.add.at(rhs, (number[own[given][mine]], b_at[mine]), v[given][mine])
+        solved = None
+        if square:
+            try:
+                solved = np.linalg.solve(dense, rhs[:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:
+                pass
+        if solved is None:
+            solved = np.stack([least_squares(d, x) for d, x in zip(dense, rhs)])
+        z[m_start[members][:, None] + np.arange(size[0])] = solved
+    return rows[pattern // len(names)], names[pattern % len(names)], z
+
+
 def row_solve(a: DataFrame, pattern: DataFrame, rhs: DataFrame, square: bool) -> DataFrame:
     """Row by row: z on the pattern's columns J with the least norm of z a(J, I) - rhs(I).
 
-    I is J itself (square: an exact solve) or all columns of the rows J.  A group is what one row needs, never more.
+    I is J itself (square: an exact solve) or all columns of the rows J.  Rows lie side by side in a partition, and Arrow batches
+    of whole rows are solved together; what one row needs is never split.
     """
     prepare(a.sparkSession)
     need = al.rows_needed(a, pattern).withColumn("kind", F.lit(0))
     own = pattern.select("i", F.col("j").alias("r"), F.col("j"), F.lit(0.0).alias("v"), F.lit(1).alias("kind"))
-    right = rhs.select("i", F.col("j").alias("r"), "j", "v", F.lit(2).alias("kind"))
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        kind = group["kind"].to_numpy()
-        rows = np.sort(group["j"].to_numpy()[kind == 1])
-        block, given = group[kind == 0], group[kind == 2]
-        columns = rows if square else np.unique(np.concatenate((block["j"].to_numpy(), given["j"].to_numpy())))
-        dense, b = np.zeros((len(rows), len(columns))), np.zeros(len(columns))
-        for frame, put in ((block, dense), (given, b)):
-            at = np.searchsorted(columns, frame["j"].to_numpy())
-            inside = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == frame["j"].to_numpy())
-            if put is dense:
-                np.add.at(dense, (np.searchsorted(rows, frame["r"].to_numpy()[inside]), at[inside]), frame["v"].to_numpy()[inside])
-            else:
-                np.add.at(b, at[inside], frame["v"].to_numpy()[inside])
-        if square:
-            try:
-                z = np.linalg.solve(dense.T, b)
-            except np.linalg.LinAlgError:
-                z = least_squares(dense.T, b)
-        else:
-            z = least_squares(dense.T, b)
-        return pd.DataFrame({"i": np.full(len(rows), group["i"].iloc[0]), "j": rows, "v": z})
-
-    all_rows = need.select("i", "r", "j", "v", "kind").unionByName(own).unionByName(right.join(pattern.select("i").distinct(), "i", "left_semi"))
-    return all_rows.groupBy("i").applyInPandas(solve, "i long, j long, v double")
+    right = rhs.select("i", F.col("j").alias("r"), "j", "v", F.lit(2).alias("kind")).join(pattern.select("i").distinct(), "i", "left_semi")
+    names = ("i", "r", "j", "v", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def emit(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            columns = [np.concatenate(c) for c in zip(*held)]
+            end = len(columns[0]) if last else int(np.searchsorted(columns[0], columns[0][-1]))  # the last row may go on
+            if end:
+                i, j, z = solve_rows(*(c[:end] for c in columns), square)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(z)], names=["i", "j", "v"])
+            held, n = [[c[end:] for c in columns]], len(columns[0]) - end
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in names])
+            n += batch.num_rows
+            if n >= SOLVE_ENTRIES:
+                yield from emit(False)
+        if n:
+            yield from emit(True)
+
+    entries = need.select(*names).unionByName(own).unionByName(right)
+    return entries.repartition("i").sortWithinPartitions("i").mapInArrow(run, "i long, j long, v double")
 
 
 def sai(a: DataFrame, rows: DataFrame, order: int = 1, square: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.dense import triangle
 from gossamer.functions.randoms import gaussian
-from gossamer.operators.algebra import spmv
+from gossamer.operators.algebra import norm2, spmv
 from gossamer.session import materialize, prepare
 
 TINY = 1e-14
-#: A matrix of at most so many entries is worked on by the driver: there a step takes microseconds, and a Spark job tenths of a second.
-DRIVER_ENTRIES = 100_000
+#: Below this share of its square the norm of what is left of a vector is measured, not taken from the sums.
+CANCELLED = 1e-10
 
 
 def start_vector(rows: DataFrame, salt: str = "start") -> DataFrame:
@@ -32,7 +33,7 @@ def tsqr(columns: DataFrame, names: list[str]) -> np.ndarray:
     prepare(columns.sparkSession)
     n = len(names)
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         r = np.zeros((0, n))
@@ -41,82 +42,81 @@ def tsqr(columns: DataFrame, names: list[str]) -> np.ndarray:
         if len(r):
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [r.ravel().tolist()]})
 
-    blocks = columns.select(*names).mapInPandas(reduce, "part int, r array<double>").orderBy("part").collect()
+    blocks = columns.select(*names).mapInPandas(triangles, "part int, r array<double>").orderBy("part").collect()
     return triangle(np.vstack([np.array(b.r).reshape(n, n) for b in blocks] or [np.zeros((n, n))]))
 
 
-def powers(a: DataFrame, b: DataFrame, order: int) -> DataFrame:
-    """(i, x0, ..., x_order): b, a b, ..., a^order b."""
-    table = materialize(b.select("i", F.col("x").alias("x0")), "powers")
-    for k in range(order):
-        step = spmv(a, table.select("i", F.col(f"x{k}").alias("x")))
-        table = materialize(table.join(step, "i", "left").withColumn("x", F.coalesce("x", F.lit(0.0))).withColumnRenamed("x", f"x{k + 1}"), "powers")
-    return table
-
-
-def orthogonalise(w: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, float]:
-    """(column x less its parts along x0, ..., x(n - 1), those parts, its norm): classical Gram-Schmidt, twice.
+def wide(vectors: list[DataFrame]) -> DataFrame:
+    """(i, x0, x1, ...) of vectors (i, x), in one shuffle; rows that a vector lacks are 0."""
+    parts = [v.select("i", F.lit(k).alias("k"), "x") for k, v in enumerate(vectors)]
+    return reduce(DataFrame.unionByName, parts).groupBy("i").agg(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("x"))), F.lit(0.0)).alias(f"x{k}") for k in range(len(vectors))))
 
-    Each pass takes all products in one reduction; the second one's parts are tiny, so the norm follows from its sums.
-    """
-    parts, square = np.zeros(n), 0.0
-    left = w
-    for _ in range(2):
-        got = left.agg(F.sum(F.col("x") * F.col("x")).alias("s"), *(F.sum(F.col("x") * F.col(f"x{j}")).alias(f"d{j}") for j in range(n))).first()
-        step = np.array([float(got[f"d{j}"] or 0.0) for j in range(n)])
-        parts, square = parts + step, max(0.0, float(got.s or 0.0) - float(step @ step))
-        left = w.withColumn("x", F.col("x") - sum((F.lit(float(parts[j])) * F.col(f"x{j}") for j in range(n)), F.lit(0.0)))
-    return left, parts, square**0.5
-
-
-def _small_arnoldi(a: pd.DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float, DataFrame]:
-    """The same on the driver."""
-    rhs = b.select("i", "x").toPandas().sort_values("i")
-    ids, x = rhs["i"].to_numpy(), rhs["x"].to_numpy(float)
-    rows, columns, values = (np.searchsorted(ids, a["i"]), np.searchsorted(ids, a["j"]), a["v"].to_numpy(float))
-    spark, n = b.sparkSession, len(ids)
-    beta, h, basis = float(np.linalg.norm(x)), np.zeros((steps + 1, steps)), [x]
-
-    def table() -> DataFrame:
-        names = [f"x{k}" for k in range(len(basis))]
-        return spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, np.stack(basis, axis=1))], ", ".join(["i long", *(f"{c} double" for c in names)]))
 
-    if not beta:
-        return h[:1, :0], beta, table()
-    basis[0] = x / beta
-    for k in range(steps):
-        w, v = np.bincount(rows, values * basis[k][columns], n), np.stack(basis, axis=1)
-        for _ in range(2):
-            part = v.T @ w
-            h[: k + 1, k] += part
-            w = w - v @ part
-        h[k + 1, k] = norm = float(np.linalg.norm(w))
-        if norm <= TINY * max(1.0, np.abs(h[: k + 1, k]).max()):
-            return h[: k + 2, : k + 1], beta, table()
-        if k + 1 < steps:
-            basis.append(w / norm)
-    return h, beta, table()
-
-
-def arnoldi(a: DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float, DataFrame]:
+def powers(a: DataFrame, b: DataFrame, order: int) -> DataFrame:
+    """(i, x0, ..., x_order): b, a b, ..., a^order b.  Each vector is written once."""
+    vectors = [materialize(b.select("i", "x"), "power")]
+    for _ in range(order):
+        vectors.append(materialize(spmv(a, vectors[-1]), "power"))
+    return materialize(wide(vectors), "powers")
+
+
+class Basis:
+    """Vectors (i, x) of a Krylov space, each written once, and their products with each other."""
+
+    def __init__(self, first: DataFrame):
+        self.vectors = [materialize(first.select("i", "x"), "basis")]
+        self.gram = np.zeros((1, 1))
+
+    def append(self, v: DataFrame) -> None:
+        self.vectors.append(materialize(v.select("i", "x"), "basis"))
+        n = len(self.vectors)
+        self.gram = np.pad(self.gram, (0, n - len(self.gram)))
+
+    def split(self, w: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
+        """(what is left of w without its parts along the basis, those parts, the norm of what is left).
+
+        One reduction gives the products of w, and of the newest vector, with all others.  The parts solve the normal equations
+        of the vectors as they are, so a basis that is not quite orthonormal does no harm.
+        """
+        n = len(self.vectors)
+        newest = self.vectors[-1].withColumnRenamed("x", "y")
+        beside = w.withColumnRenamed("x", "w").join(newest, "i", "full").select("i", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("y", F.lit(0.0)).alias("y"))
+        every = reduce(DataFrame.unionByName, [v.select("i", "x", F.lit(k).alias("k")) for k, v in enumerate([*self.vectors, w])])
+        got = {r.k: r for r in every.join(beside, "i").groupBy("k").agg(F.sum(F.col("x") * F.col("w")).alias("d"), F.sum(F.col("x") * F.col("y")).alias("g")).collect()}  # a row for each vector
+        value = lambda k, c: float(got[k][c]) if k in got else 0.0
+        self.gram[n - 1, :] = self.gram[:, n - 1] = [value(k, "g") for k in range(n)]
+        d, square = np.array([value(k, "d") for k in range(n)]), value(n, "d")
+        parts = np.linalg.solve(self.gram, d)
+        left = square - 2 * parts @ d + parts @ self.gram @ parts
+        rest = total([w, *self.vectors], [1.0, *(-parts)])
+        if left <= CANCELLED * square:
+            rest = materialize(rest, "left")
+            return rest, parts, norm2(rest)
+        return rest, parts, float(left) ** 0.5
+
+
+def total(vectors: list[DataFrame], weights: list[float]) -> DataFrame:
+    """The weighted sum of vectors, in one shuffle."""
+    parts = [v.select("i", (F.lit(float(c)) * F.col("x")).alias("x")) for c, v in zip(weights, vectors)]
+    return reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.sum("x").alias("x"))
+
+
+def arnoldi(a: DataFrame, b: DataFrame, steps: int) -> tuple[np.ndarray, float, Basis]:
     """(Hessenberg matrix of steps + 1 rows, norm of b, basis) by classical Gram-Schmidt with all products in one reduction.
 
-    Fewer columns come back after a lucky breakdown.  A small matrix (the coarse levels of a hierarchy) is worked on by the driver.
+    Fewer columns come back after a lucky breakdown.
     """
-    few = a.select("i", "j", "v").limit(DRIVER_ENTRIES + 1).toPandas()
-    if len(few) <= DRIVER_ENTRIES and b.limit(DRIVER_ENTRIES + 1).count() <= DRIVER_ENTRIES:
-        return _small_arnoldi(few, b, steps)
-    beta = float(b.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0)
+    beta = norm2(b)
     h = np.zeros((steps + 1, steps))
     if not beta:
-        return h[:1, :0], beta, b.select("i", F.col("x").alias("x0"))
-    basis = materialize(b.select("i", (F.col("x") / beta).alias("x0")), "basis")
+        return h[:1, :0], beta, Basis(b)
+    basis = Basis(b.select("i", (F.col("x") / beta).alias("x")))
     for k in range(steps):
-        w = basis.join(spmv(a, basis.select("i", F.col(f"x{k}").alias("x"))), "i", "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-        w, h[: k + 1, k], norm = orthogonalise(materialize(w, "arnoldi"), k + 1)
+        w = materialize(spmv(a, basis.vectors[-1]), "arnoldi")
+        rest, h[: k + 1, k], norm = basis.split(w)
         h[k + 1, k] = norm
         if norm <= TINY * max(1.0, np.abs(h[: k + 1, k]).max()):
             return h[: k + 2, : k + 1], beta, basis
         if k + 1 < steps:
-            basis = materialize(w.withColumn("x", F.col("x") / norm).withColumnRenamed("x", f"x{k + 1}"), "basis")
+            basis.append(rest.select("i", (F.col("x") / norm).alias("x")))
     return h, beta, basis

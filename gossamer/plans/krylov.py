@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.dense import least_squares
 from gossamer.operators import algebra as al
-from gossamer.operators.krylov_basis import orthogonalise
+from gossamer.operators.krylov_basis import Basis, total
 from gossamer.session import materialize
 
 Apply = Callable[[DataFrame], DataFrame]
@@ -58,14 +58,12 @@ def gmres(a: DataFrame, b: DataFrame, apply: Apply, rtol: float = 1e-10, max_it:
     while norms[-1] > rtol * first and len(norms) <= max_it:
         beta = norms[-1]
         h = np.zeros((restart + 1, restart))
-        basis = materialize(r.select("i", (F.col("x") / beta).alias("x0")), "basis")
+        basis = Basis(r.select("i", (F.col("x") / beta).alias("x")))
         pre: list[DataFrame] = []
         y = np.zeros(0)
         for k in range(restart):
-            z = materialize(apply(basis.select("i", F.col(f"x{k}").alias("x"))), "pre")
-            pre.append(z)
-            w = materialize(basis.join(al.fill(al.spmv(a, z), b), "i"), "arnoldi")
-            w, h[: k + 1, k], norm = orthogonalise(w, k + 1)
+            pre.append(materialize(apply(basis.vectors[-1]), "pre"))
+            rest, h[: k + 1, k], norm = basis.split(materialize(al.spmv(a, pre[-1]), "arnoldi"))
             h[k + 1, k] = norm
             rhs = np.zeros(k + 2)
             rhs[0] = beta
@@ -73,8 +71,9 @@ def gmres(a: DataFrame, b: DataFrame, apply: Apply, rtol: float = 1e-10, max_it:
             norms.append(float(np.linalg.norm(rhs - h[: k + 2, : k + 1] @ y)))
             if norms[-1] <= rtol * first or len(norms) > max_it or norm <= 1e-14 * beta:
                 break
-            basis = materialize(w.withColumn("x", F.col("x") / norm).withColumnRenamed("x", f"x{k + 1}"), "basis")
-        x = materialize(al.combine(x, *((float(c), z) for c, z in zip(y, pre))), "solution")
+            if k + 1 < restart:
+                basis.append(rest.select("i", (F.col("x") / norm).alias("x")))
+        x = materialize(al.fill(total([x, *pre], [1.0, *y]), b), "solution")
         r = materialize(residual(a, b, x), "residual")
         norms[-1] = al.norm2(r)
         if len(norms) > 2 and norms[-1] >= beta:
