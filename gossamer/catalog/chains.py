@@ -153,6 +153,31 @@ class Chain:
         bound = self.add(f"SELECT max(bin) / 1000.0::DOUBLE AS bound FROM (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above FROM (SELECT least(floor(ratio * 1000), 999) AS bin, count(*) AS n FROM {r} GROUP BY 1)) WHERE above >= (SELECT floor(count(*) * {fraction}) FROM {r})")
         return self.add(f"SELECT c.i, CASE WHEN r.ratio >= bound AND r.ratio <> 0 THEN 1 ELSE c.cf END AS cf FROM {bound}, {cf} c LEFT JOIN {r} r ON r.i = c.i")
 
+    def first_of_all(self, reach: str, k: int) -> str:
+        """The rows that a pass in the order of ids would choose; reach: (i, k)."""
+        chosen = []
+        for _ in range(k):
+            won = self.add(f"SELECT r.i FROM {reach} r JOIN (SELECT k, min(i) AS least FROM {reach} GROUP BY k) l ON l.k = r.k GROUP BY r.i HAVING min(least) = r.i")
+            chosen.append(f"SELECT i FROM {won}")
+            reach = self.add(f"SELECT i, k FROM {reach} WHERE i NOT IN (SELECT i FROM {reach} WHERE k IN (SELECT k FROM {reach} WHERE i IN (SELECT i FROM {won})))")
+        return self.add(" UNION ALL ".join(chosen))
+
+    def aggregate(self, edges: str, rows: str, k: int, fixed: str | None = None) -> str:
+        """(i, cf, aggregate) of the three steps over a symmetric pattern; fixed: (i, cf) of some rows."""
+        fixed = fixed or self.add("SELECT 0::BIGINT AS i, 0 AS cf WHERE false")
+        free = self.add(f"SELECT i FROM {rows} WHERE i IN (SELECT i FROM {edges}) AND i NOT IN (SELECT i FROM {fixed})")
+        may = self.add(f"SELECT i FROM {free} WHERE i NOT IN (SELECT i FROM {edges} WHERE j IN (SELECT i FROM {fixed}))")
+        roots = self.first_of_all(self.add(f"SELECT i, j AS k FROM {edges} WHERE i IN (SELECT i FROM {may}) UNION ALL SELECT i, i FROM {may}"), k)
+        covered = self.add(f"SELECT i, 1 AS cf, i AS aggregate FROM {roots} UNION ALL SELECT j, -1, i FROM {edges} WHERE i IN (SELECT i FROM {roots})")
+        follow = self.add(f"SELECT e.i, -1 AS cf, arg_min(c.aggregate, e.j) AS aggregate FROM {edges} e JOIN {covered} c ON c.i = e.j WHERE e.i IN (SELECT i FROM {free}) AND e.i NOT IN (SELECT i FROM {covered}) GROUP BY e.i")
+        left = self.add(f"SELECT i FROM {free} WHERE i NOT IN (SELECT i FROM {covered}) AND i NOT IN (SELECT i FROM {follow})")
+        between = self.add(f"SELECT i, j FROM {edges} WHERE i IN (SELECT i FROM {left}) AND j IN (SELECT i FROM {left})")
+        remnants = self.first_of_all(self.add(f"SELECT i, least(i, j) || '-' || greatest(i, j) AS k FROM {between} UNION ALL SELECT i, i::VARCHAR FROM {left}"), k)
+        return self.add(
+            f"SELECT i, -1 AS cf, NULL::BIGINT AS aggregate FROM {rows} WHERE i NOT IN (SELECT i FROM {edges}) UNION ALL SELECT * FROM {covered} UNION ALL SELECT * FROM {follow} UNION ALL SELECT i, cf, NULL FROM {fixed} WHERE i IN (SELECT i FROM {edges})"
+            f" UNION ALL SELECT i, 1, i FROM {remnants} UNION ALL SELECT j, -1, min(i) FROM {between} WHERE i IN (SELECT i FROM {remnants}) GROUP BY j"
+        )
+
     def both(self, a: str, rows: str) -> str:
         """Pattern of a + a' within rows, without the diagonal."""
         off = self.add(f"SELECT i, j FROM {a} WHERE i <> j AND i IN (SELECT i FROM {rows}) AND j IN (SELECT i FROM {rows})")

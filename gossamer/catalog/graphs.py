@@ -141,11 +141,25 @@ for _name, _kind, _threshold, _sql in (
     ("G6b_diag_dom", SplittingType.DIAG_DOM, 0.5, _chain_sql(_dominated)),
     ("G6c_pmis", SplittingType.PMIS, 0.5, with_base(_PMIS, _to_the_end("SDS", "-", 1))),
     ("G6d_pmis_dist2", SplittingType.PMIS_DIST2, 0.5, with_base(_PMIS, _to_the_end("SDD", "-", 1))),
-    ("G6e_agg", SplittingType.AGG, 0.9, None),
-    ("G6f_pmis_agg", SplittingType.PMIS_AGG, 0.9, None),
+    ("G6e_agg", SplittingType.AGG, 0.9, _chain_sql(lambda c: c.aggregate(c.strong("D", 0.9), "part_rows", 12))),
 ):
     query(_name, _sql)(_split(_kind, _threshold))
 
+#: Consecutive ids that lie in one block of a local aggregation.
+BLOCK_ROWS = 64
+
+
+def _pmis_agg(c):
+    """Markers of PMIS where a row has neighbours in other blocks, aggregation within blocks for the others."""
+    s = c.strong("D", 0.9)
+    outside = f"i // {BLOCK_ROWS} <> j // {BLOCK_ROWS}"
+    markers = c.add(f"SELECT i, cf FROM {c.pmisr(s, 'part_rows', _ENOUGH, negated=True)} WHERE i IN (SELECT i FROM {s} WHERE {outside})")
+    found = c.aggregate(c.add(f"SELECT i, j FROM {s} WHERE NOT ({outside})"), "part_rows", 12, markers)
+    return c.add(f"SELECT f.i, coalesce(m.cf, f.cf) AS cf FROM {found} f LEFT JOIN {markers} m ON m.i = f.i")
+
+
+query("G6f_pmis_agg", _chain_sql(_pmis_agg))(_split(SplittingType.PMIS_AGG, 0.9, block_rows=BLOCK_ROWS))
+
 
 @query("G6g_cr", _chain_sql(lambda c: c.cr("D", _all_fine(c), 0.7, 8, 10)))
 def g6g(spark, sf_dir):
@@ -153,7 +167,7 @@ def g6g(spark, sf_dir):
     return sp.compute_cf_splitting(a, t.part_rows(spark, sf_dir), strong_threshold=0.7, splitting=SplittingType.CR, cr_inverse=InverseOptions(InverseType.JACOBI))
 
 
-@query("G7_aggregation")
+@query("G7_aggregation", _chain_sql(lambda c: c.aggregate(c.strong("D", 0.9), "part_rows", 12), "SELECT i, cf::INTEGER AS cf, aggregate FROM {}"))
 def g7(spark, sf_dir):
     return sp.aggregate(strength(t.dominant(spark, sf_dir), 0.9), t.part_rows(spark, sf_dir))
 

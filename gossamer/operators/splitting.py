@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from gossamer.operators import algebra as al
 from gossamer.operators.luby import pmisr, pmisr_on_sum
 from gossamer.operators.strength import strength
 from gossamer.plans.model import C_POINT, F_POINT, InverseOptions, InverseType, SplittingType
-from gossamer.session import materialize, prepare
+from gossamer.session import materialize
 
 #: Fixed values of compatible relaxation: sweeps with a diagonal and with a polynomial inverse, polynomial order, candidates' least part, passes.
 CR_SWEEPS, CR_SWEEPS_POLY, CR_POLY_ORDER, CR_CANDIDATE, CR_PASSES = 10, 1, 6, 0.1, 100
@@ -67,61 +68,76 @@ def diag_dom(a: DataFrame, cf: DataFrame, threshold: float) -> DataFrame:
         cf = materialize(cf.join(chosen, "i", "left").select("i", F.when(F.col("swap"), F.lit(C_POINT)).otherwise(F.col("cf")).alias("cf")), "markers")
 
 
+def _first_of_all(reach: DataFrame) -> DataFrame:
+    """(i): the nodes that a pass in the order of ids would choose, if a chosen node shuts out all later ones that reach a place of its own.
+
+    reach: (i, k), the places k of each node i.  Each round chooses the nodes that come before all undecided nodes with a place
+    in common, and drops those that meet a chosen one; an edge goes with its node, so rounds shrink.  Their number is the
+    longest chain of ids that wait for each other: logarithmic for scattered ids, up to the number of nodes for a path in order.
+    """
+    chosen: list[DataFrame] = []
+    reach = materialize(reach, "reach")
+    while not reach.isEmpty():
+        least = reach.groupBy("k").agg(F.min("i").alias("least"))
+        won = materialize(reach.join(least, "k").groupBy("i").agg(F.min("least").alias("least")).where("i = least").select("i"), "chosen")
+        taken = reach.join(won, "i", "left_semi").select("k").distinct()
+        gone = reach.join(taken, "k", "left_semi").select("i").distinct()
+        chosen.append(won)
+        reach = materialize(reach.join(gone, "i", "left_anti"), "reach")
+    return reduce(DataFrame.unionByName, chosen) if chosen else reach.select("i")
+
+
 def aggregate(pattern: DataFrame, rows: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
-    """(i, cf, aggregate): the sequential three-step aggregation; an aggregate's id is its root, 0 rows without neighbours have none (null).
+    """(i, cf, aggregate): the sequential three-step aggregation; an aggregate's id is its root, rows without neighbours are F and have none (null).
 
-    Row order decides, but only within a connected component of the pattern, so components are worked on apart, each by one
-    task.  A component above the memory of a task can't be split without changing the result.  boundary: (i, cf) fixed beforehand.
+    pattern is symmetric.  The steps are those of a pass over the rows in order, run as rounds over all rows at once: a row is a
+    root if it and its neighbours meet no earlier root or a root's neighbour; then rows beside covered ones follow the first of these; what is left
+    makes roots of its own, which take their later neighbours.  boundary: (i, cf) fixed beforehand.
     """
-    prepare(rows.sparkSession)
-    nodes = rows.select("i")
-    fixed = nodes.join(boundary.select("i", F.col("cf").alias("was")), "i", "left") if boundary is not None else nodes.withColumn("was", F.lit(0))
-    labels = component_labels(pattern, nodes)
-    beside = pattern.groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("around"))
-    table = fixed.join(beside, "i", "left").join(labels, "i")
-
-    def cover(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("i")
-        ids = group["i"].tolist()
-        around = {i: list(x) if x is not None else [] for i, x in zip(ids, group["around"])}
-        cf = {i: int(w) if w == w and w is not None else 0 for i, w in zip(ids, group["was"])}
-        root: dict[int, int | None] = {i: None for i in ids}
-        late: dict[int, int] = {}
-        for i in ids:  # roots whose whole neighbourhood is free
-            if not around[i]:
-                cf[i] = F_POINT
-            elif not cf[i] and not any(cf[j] for j in around[i]):
-                cf[i], root[i] = C_POINT, i
-                for j in around[i]:
-                    cf[j], root[j] = F_POINT, i
-        for i in ids:  # the first neighbour that a root covered
-            if not cf[i]:
-                near = next((j for j in around[i] if root[j] is not None), None)
-                if near is not None:
-                    cf[i], late[i] = F_POINT, root[near]
-        root |= late
-        for i in ids:  # what is left
-            if not cf[i]:
-                cf[i], root[i] = C_POINT, i
-                for j in around[i]:
-                    if not cf[j]:
-                        cf[j], root[j] = F_POINT, i
-        return pd.DataFrame({"i": ids, "cf": [cf[i] for i in ids], "aggregate": pd.array([root[i] for i in ids], "Int64")})
-
-    return table.groupBy("label").applyInPandas(cover, "i long, cf int, aggregate long")
-
-
-def component_labels(pattern: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(i, label): the smallest id reachable, by label propagation with pointer jumping."""
-    both = materialize(al.union_pattern(pattern, al.transpose(pattern)), "edges")
-    labels = materialize(nodes.select("i", F.col("i").alias("label")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("i").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("heard"))
-        step = materialize(labels.join(heard, "i", "left").select("i", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label")), "labels")
-        if step.where("label <> old").isEmpty():
-            return step.select("i", "label")
-        jump = step.select(F.col("i").alias("label"), F.col("label").alias("further"))
-        labels = materialize(step.join(jump, "label").select("i", F.least("label", "further").alias("label")), "labels")
+    edges = materialize(pattern.select("i", "j"), "edges")
+    nodes = materialize(rows.select("i"), "rows")
+    alone = nodes.join(edges, "i", "left_anti").select("i", F.lit(F_POINT).alias("cf"), F.lit(None).cast("long").alias("aggregate"))
+    free = nodes.join(edges, "i", "left_semi")
+    fixed = free.limit(0).select("i", F.lit(0).alias("cf")) if boundary is None else materialize(boundary.join(free, "i", "left_semi").where("cf <> 0").select("i", F.col("cf").cast("int").alias("cf")), "fixed")
+    free = free.join(fixed, "i", "left_anti")
+    beside_fixed = edges.join(fixed.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct()
+    may = free.join(beside_fixed, "i", "left_anti")
+    closed = edges.select("i", F.col("j").alias("k")).unionByName(nodes.select("i", F.col("i").alias("k")))
+    roots = materialize(_first_of_all(closed.join(may, "i", "left_semi")), "roots")
+    covered = roots.select("i", F.lit(C_POINT).alias("cf"), F.col("i").alias("aggregate")).unionByName(edges.join(roots, "i", "left_semi").select(F.col("j").alias("i"), F.lit(F_POINT).alias("cf"), F.col("i").alias("aggregate")))
+    covered = materialize(covered, "covered")
+    rest = free.join(covered, "i", "left_anti")
+    near = edges.join(rest, "i", "left_semi").join(covered.select(F.col("i").alias("j"), "aggregate"), "j").groupBy("i").agg(F.min_by("aggregate", "j").alias("aggregate"))
+    follow = materialize(near.select("i", F.lit(F_POINT).alias("cf"), "aggregate"), "follow")
+    left = materialize(rest.join(follow, "i", "left_anti"), "left")
+    between = materialize(edges.join(left, "i", "left_semi").join(left.select(F.col("i").alias("j")), "j", "left_semi"), "between")
+    # A remnant root shuts out its neighbours alone: its places are its edges, each by its two ends.
+    ends = between.select("i", F.struct(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).alias("k")).unionByName(left.select("i", F.struct(F.col("i").alias("a"), F.col("i").alias("b")).alias("k")))
+    remnants = materialize(_first_of_all(ends), "remnants")
+    taken = between.join(remnants, "i", "left_semi").groupBy(F.col("j").alias("i")).agg(F.min("i").alias("aggregate"))
+    parts = [
+        alone, covered, follow, fixed.select("i", "cf", F.lit(None).cast("long").alias("aggregate")),
+        remnants.select("i", F.lit(C_POINT).alias("cf"), F.col("i").alias("aggregate")), taken.select("i", F.lit(F_POINT).alias("cf"), "aggregate"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def local_aggregate(pattern: DataFrame, rows: DataFrame, block_rows: int | None, max_luby_steps: int = -1, pmis_boundary: bool = False) -> DataFrame:
+    """(i, cf, aggregate): aggregation within blocks of `block_rows` consecutive ids (None: one block), blind to neighbours in others.
+
+    pmis_boundary: rows with neighbours in other blocks first get their markers from PMIS over the whole pattern, and keep them.
+    """
+    if block_rows is None:
+        return aggregate(pattern, rows)
+    block = lambda c: F.floor(F.col(c) / block_rows)
+    inner = pattern.where(block("i") == block("j"))
+    if not pmis_boundary:
+        return aggregate(inner, rows)
+    edge = pattern.where(block("i") != block("j")).select("i").distinct()
+    markers = materialize(pmisr(pattern, rows, max_luby_steps, pmis=True).join(edge, "i", "left_semi"), "boundary")
+    found = aggregate(inner, rows, markers)
+    # A row without neighbours in its block that lies on the boundary keeps its marker.
+    return found.join(markers.withColumnRenamed("cf", "was"), "i", "left").select("i", F.coalesce("was", "cf").alias("cf"), "aggregate")
 
 
 def cr_pass(a: DataFrame, cf: DataFrame, target: float, inverse: InverseOptions) -> tuple[DataFrame, float, int]:
@@ -162,9 +178,9 @@ def cr_pass(a: DataFrame, cf: DataFrame, target: float, inverse: InverseOptions)
 
 def compute_cf_splitting(
     a: DataFrame, rows: DataFrame, symmetric: bool = False, strong_threshold: float = 0.5, max_luby_steps: int = -1, splitting: SplittingType = SplittingType.PMISR_DDC,
-    ddc_its: int = 1, fraction: float = 0.1, cr_inverse: InverseOptions | None = None,
+    ddc_its: int = 1, fraction: float = 0.1, cr_inverse: InverseOptions | None = None, block_rows: int | None = None,
 ) -> DataFrame:
-    """(i, cf) of one of the seven splittings."""
+    """(i, cf) of one of the seven splittings; block_rows: the blocks that aggregations are local to."""
     if splitting == SplittingType.CR:
         cf = rows.select("i", F.lit(F_POINT).alias("cf"))
         for _ in range(CR_PASSES):
@@ -175,8 +191,8 @@ def compute_cf_splitting(
     square = splitting == SplittingType.PMIS_DIST2
     wants_sum = splitting != SplittingType.PMIS_DIST2 and not (symmetric and splitting in (SplittingType.PMISR_DDC, SplittingType.DIAG_DOM))
     s = strength(a, strong_threshold, symmetrize=wants_sum, square=square)
-    if splitting in (SplittingType.AGG, SplittingType.PMIS_AGG):  # without ranks there is no boundary, and both are the same
-        return aggregate(s, rows).select("i", "cf")
+    if splitting in (SplittingType.AGG, SplittingType.PMIS_AGG):
+        return local_aggregate(s, rows, block_rows, max_luby_steps, splitting == SplittingType.PMIS_AGG).select("i", "cf")
     pmis = splitting in (SplittingType.PMIS, SplittingType.PMIS_DIST2)
     cf = materialize(pmisr(s, rows, max_luby_steps, pmis=pmis), "markers")
     if strong_threshold != 0 and splitting == SplittingType.PMISR_DDC:

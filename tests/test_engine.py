@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from gossamer.functions.dense import modified_leja, pseudo_inverse, triangle
 from gossamer.operators import algebra as al
 from gossamer.operators import inverse as inv
-from gossamer.operators import krylov_basis
 from gossamer.operators import luby
 from gossamer.operators import splitting as sp
 from gossamer.operators import transfer as tr
@@ -164,12 +163,12 @@ def test_splitting_does_not_depend_on_partitions(spark, grid):
     assert first == again
 
 
-def aggregation_by_hand(around, n):
+def aggregation_by_hand(around, n, fixed={}):
     """Plain sequential aggregation: cover, enlarge, remnants."""
-    cf, root = [0] * n, [None] * n
+    cf, root = [fixed.get(i, 0) for i in range(n)], [None] * n
     for i in range(n):
         if not around[i]:
-            cf[i] = -1
+            cf[i] = cf[i] or -1
         elif cf[i] == 0 and all(cf[j] == 0 for j in around[i]):
             cf[i], root[i] = 1, i
             for j in around[i]:
@@ -202,6 +201,26 @@ def test_aggregation(spark, grid):
     assert got == {i: (cf[i], root[i]) for i in range(n)}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_aggregation_with_a_boundary(spark, seed):
+    """Random symmetric patterns, blocks of ids, and markers that are fixed beforehand."""
+    rng, n = np.random.default_rng(seed), 60
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (70, 2)) if a != b}
+    edges |= {(b, a) for a, b in edges}
+    pattern, rows = spark.createDataFrame(sorted(edges), "i long, j long"), al.index_set(spark, n)
+    around = [sorted(j for i, j in edges if i == k) for k in range(n)]
+    cf, root = aggregation_by_hand(around, n)
+    assert {r.i: (r.cf, r.aggregate) for r in sp.aggregate(pattern, rows).collect()} == {i: (cf[i], root[i]) for i in range(n)}
+    size = 20
+    inner = [[j for j in around[i] if j // size == i // size] for i in range(n)]
+    cf, root = aggregation_by_hand(inner, n)
+    assert {r.i: (r.cf, r.aggregate) for r in sp.local_aggregate(pattern, rows, size).collect()} == {i: (cf[i], root[i]) for i in range(n)}
+    pmis = {r.i: r.cf for r in luby.pmisr(pattern, rows, pmis=True).collect()}
+    fixed = {i: pmis[i] for i in range(n) if len(inner[i]) < len(around[i])}
+    cf, root = aggregation_by_hand(inner, n, fixed)
+    assert fixed and {r.i: (r.cf, r.aggregate) for r in sp.local_aggregate(pattern, rows, size, pmis_boundary=True).collect()} == {i: (cf[i], root[i]) for i in range(n)}
+
+
 def test_dominant_submatrix(grid):
     a, rows, full = grid
     sub, fine = sp.diag_dom_submatrix(a, rows, 0.5)
