@@ -194,19 +194,19 @@ def j6(spark, sf_dir):
     from gossamer.operators.strength import strength
 
     a = t.flow(spark, sf_dir)
-    return a.join(strength(a, 0.5, symmetrize=False), ["i", "j"], "left_semi")
+    return al.restrict_to(a, strength(a, 0.5, symmetrize=False))
 
 
 @query("J7_merge", with_base("SELECT i FROM A UNION SELECT j FROM A"))
 def j7(spark, sf_dir):
     a = t.flow(spark, sf_dir)
-    return a.select("i").union(a.select("j")).distinct()
+    return al.union_sets(a, al.transpose(a))
 
 
 @query("J8_lookup", with_base("SELECT r.i, A.v AS v FROM part_rows r JOIN A ON A.i = r.i AND A.j = r.i + 1"))
 def j8(spark, sf_dir):
     wanted = t.part_rows(spark, sf_dir).select("i", (F.col("i") + 1).alias("j"))
-    return wanted.join(t.flow(spark, sf_dir), ["i", "j"]).select("i", "v")
+    return al.lookup(t.flow(spark, sf_dir), wanted).select("i", "v")
 
 
 @query("J9_columns_needed", with_base("SELECT A.i, A.j, x FROM A JOIN x ON x.i = A.j"))
@@ -224,7 +224,7 @@ def j10(spark, sf_dir):
 
 @query("J11_anti_join", with_base("SELECT DISTINCT j AS i FROM A WHERE j NOT IN (SELECT i FROM coarse)"))
 def j11(spark, sf_dir):
-    return t.flow(spark, sf_dir).select(F.col("j").alias("i")).distinct().join(sets(spark, sf_dir)[1], "i", "left_anti")
+    return al.complement(al.transpose(t.flow(spark, sf_dir)).select("i").distinct(), sets(spark, sf_dir)[1])
 
 
 # --- A
@@ -296,9 +296,7 @@ def a12(spark, sf_dir):
 
 @query("W1_row_bound", with_base("SELECT i, j, v, max(abs(v)) OVER (PARTITION BY i) AS m FROM A"))
 def w1(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return t.flow(spark, sf_dir).withColumn("m", F.max(F.abs("v")).over(Window.partitionBy("i")))
+    return al.row_bound(t.flow(spark, sf_dir))
 
 
 _BOUND = "bound AS (SELECT max(bin) / 1000.0::DOUBLE AS bound FROM (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above FROM (SELECT least(floor(ratio * 1000), 999) AS bin, count(*) AS n FROM ratios GROUP BY 1)) WHERE above >= (SELECT floor(count(*) * 0.1) FROM ratios))"
@@ -310,18 +308,21 @@ def w2(spark, sf_dir):
     return rounded(ratios.join(F.broadcast(sp.swap_bound(ratios, 0.1)), F.col("ratio") >= F.col("bound")).where("ratio <> 0").select("i", "ratio"), 9)
 
 
-@query("W3_shuffle", "SELECT p_partkey AS i, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT AS place FROM part")
+@query("W3_shuffle", "SELECT p_partkey AS i, row_number() OVER (ORDER BY ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT, p_partkey) - 1 AS k FROM part")
 def w3(spark, sf_dir):
-    """A hash gives each id its place in a shuffled order; sorting by it is left to whoever needs the order."""
-    rows = t.part_rows(spark, sf_dir)
-    return rows.select("i", random_int(F.col("i")).alias("place"))
+    return al.shuffled(t.part_rows(spark, sf_dir))
 
 
-@query("W4_ordered_set", with_base("SELECT i, count(DISTINCT j) AS n, min(j) AS low, max(j) AS high FROM (SELECT i, j FROM A UNION ALL SELECT j, i FROM A) GROUP BY i"))
+@query("W4_ordered_set", with_base("SELECT i, row_number() OVER (ORDER BY i) - 1 AS k FROM (SELECT i FROM coarse UNION SELECT j FROM A WHERE i <= 20 EXCEPT SELECT i FROM x WHERE x = 30)"))
 def w4(spark, sf_dir):
-    a = t.flow(spark, sf_dir)
-    s = al.union_pattern(a, al.transpose(a))
-    return s.groupBy("i").agg(F.count("*").alias("n"), F.min("j").alias("low"), F.max("j").alias("high"))
+    """The coarse rows, with the neighbours of the first twenty rows put in and those of size 30 taken out."""
+    more = al.transpose(t.flow(spark, sf_dir).where("i <= 20"))
+    return al.OrderedSet(sets(spark, sf_dir)[1]).insert(more).remove(t.part_sizes(spark, sf_dir).where("x = 30")).vector()
+
+
+@query("W4_ordered_set_bounds", with_base("SELECT min(i) AS low, max(i) AS high, count(*) AS n FROM (SELECT i FROM coarse UNION SELECT i FROM A)"))
+def w4_bounds(spark, sf_dir):
+    return al.OrderedSet(sets(spark, sf_dir)[1]).insert(t.flow(spark, sf_dir)).bounds()
 
 
 @query("W5_leja_order", "SELECT * FROM (VALUES (0, 8.0::DOUBLE, 0.0::DOUBLE), (1, 1.0, 0.0), (2, 5.0, 2.0), (3, 5.0, -2.0), (4, 3.0, 0.0)) v(k, re, im)")

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
 from gossamer.catalog.algebra import rounded, sets
-from gossamer.catalog.chains import Chain
+from gossamer.catalog.chains import Chain, uniform
 from gossamer.operators import algebra as al
 from gossamer.operators import luby
 from gossamer.operators import splitting as sp
+from gossamer.operators.partition import partition_graph
 from gossamer.operators.strength import strength
 from gossamer.plans.model import InverseOptions, InverseType, SplittingType
 from gossamer.session import materialize, prepare
@@ -193,7 +194,28 @@ def g10(spark, sf_dir):
 @query("G11_agglomerate", with_base("SELECT i, j, v FROM A"))
 def g11(spark, sf_dir):
     """Rows of a small matrix are dealt to fewer partitions."""
-    return t.flow(spark, sf_dir).repartition(2, "i")
+    rows = t.part_rows(spark, sf_dir)
+    return al.agglomerate(t.flow(spark, sf_dir), rows.count(), 1000)
+
+
+def _partition_sql(parts, rounds):
+    c = Chain()
+    where = c.add(f"SELECT i, floor((row_number() OVER (ORDER BY i) - 1) * {parts} / (SELECT count(*) FROM part_rows))::INTEGER AS part FROM part_rows")
+    edges = c.add("SELECT i, j FROM A WHERE i <> j UNION SELECT j, i FROM A WHERE i <> j")
+    for k in range(rounds):
+        beside = c.add(f"SELECT e.i, w.part, count(*) AS n FROM {edges} e JOIN {where} w ON w.i = e.j GROUP BY 1, 2")
+        best = c.add(f"SELECT i, part AS goal, n AS most FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, part) AS r FROM {beside}) WHERE r = 1")
+        wants = c.add(f"SELECT w.i, w.part, b.goal FROM {where} w JOIN {best} b ON b.i = w.i LEFT JOIN {beside} o ON o.i = w.i AND o.part = w.part WHERE b.goal <> w.part AND b.most > coalesce(o.n, 0)")
+        flows = c.add(f"SELECT part, goal, count(*) AS n FROM {wants} GROUP BY 1, 2")
+        share = c.add(f"SELECT f.part, f.goal, least(f.n, g.n) / f.n::DOUBLE AS share FROM {flows} f JOIN {flows} g ON g.part = f.goal AND g.goal = f.part")
+        go = c.add(f"SELECT w.i, w.goal FROM {wants} w JOIN {share} s ON s.part = w.part AND s.goal = w.goal WHERE {uniform('w.i', f'go{k}')} < s.share")
+        where = c.add(f"SELECT w.i, coalesce(g.goal, w.part) AS part FROM {where} w LEFT JOIN {go} g ON g.i = w.i")
+    return c.sql(f"SELECT i, part::INTEGER AS part FROM {where}")
+
+
+@query("G11_graph_partition", _partition_sql(4, 2))
+def g11_graph(spark, sf_dir):
+    return partition_graph(t.flow(spark, sf_dir), t.part_rows(spark, sf_dir), 4, rounds=2)
 
 
 @query("F1_flagship", with_base("SELECT r.i, round(r.ratio, 9) AS ratio, coalesce(n, 0)::BIGINT AS strong FROM ratios r LEFT JOIN (SELECT i, count(*) AS n FROM SS GROUP BY i) d ON d.i = r.i"))

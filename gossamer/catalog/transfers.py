@@ -1,5 +1,7 @@
 """Grid transfer (R), multigrid (M), statistics (A10) and outer solvers (K)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
@@ -10,10 +12,12 @@ from gossamer.operators import algebra as al
 from gossamer.operators import inverse as inv
 from gossamer.operators import splitting as sp
 from gossamer.operators import transfer as tr
+from gossamer.operators.partition import active_parts
 from gossamer.plans import krylov
+from gossamer.plans.log import log_lines, parse_logs
 from gossamer.plans.model import InverseOptions, InverseType, Options, SplittingType, ZType
 from gossamer.plans.multigrid import Hierarchy, Level, smooth
-from gossamer.session import materialize, prepare
+from gossamer.session import materialize, prepare, shared_dir
 from gossamer.sources import generators as g
 from gossamer.sources import tables as t
 
@@ -237,6 +241,9 @@ def _complexity_sql(levels):
     return c.sql(" UNION ALL ".join(f"SELECT '{k}' AS name, round(({' + '.join(v)}) / {n(over)}::DOUBLE, 6) AS value" for k, (v, over) in every.items()))
 
 
+_TIMERS = "SELECT * FROM (VALUES ('setup', true), ('coarsen', true), ('extract', true), ('proc agglom', true), ('inverse', true), ('restrict', true), ('prolong', true), ('constrain', false), ('rap', true), ('identity', true), ('drop', true), ('truncate', false)) t(name, used)"
+
+
 def _build(name, measure, sql=None, **options):
     def run(spark, sf_dir):
         a, rows = dominant(spark, sf_dir)
@@ -253,8 +260,24 @@ _build("M5_single_level", lambda h, a, b: h.stats_df(), _stats_sql(1), max_level
 _build("M9_full_smoothing", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, full=True), full_smoothing_up_and_down=True, max_levels=2)
 _build("M10_cycle", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(3))
 _build("M12_apply_preconditioner", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, schedule="fc"), smooth_type="fc", max_levels=2)
-_build("M16_timers", lambda h, a, b: h.timers.df(a.sparkSession).select("name"), max_levels=2)
+_build("M16_timers", lambda h, a, b: h.timers.df(a.sparkSession).selectExpr("name", "seconds > 0 as used"), _TIMERS, max_levels=2)
 _build("A10_complexities", lambda h, a, b: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"), _complexity_sql(3))
+def _logged(h, a, b):
+    """What the setup prints, written as a log and read back; what belongs to no level has level -1."""
+    spark, path = a.sparkSession, f"{shared_dir(a.sparkSession)}/log-{uuid.uuid4().hex}"
+    spark.createDataFrame([("\n".join(log_lines(h)),)], "value string").write.text(path)
+    return rounded(parse_logs(spark, path).where("kind not like '% time'").select("kind", F.coalesce("level", F.lit(-1)).alias("level"), "value"))
+
+
+def _log_sql(levels):
+    stats = Chain()
+    body = Cycle(stats, levels).stats()
+    every = "SELECT 'rows' AS kind, level, n_rows::DOUBLE AS value FROM s UNION ALL SELECT 'fine', level, fine_rows::DOUBLE FROM s WHERE fine_rows > 0 UNION ALL SELECT 'coarse', level, (n_rows - fine_rows)::DOUBLE FROM s WHERE fine_rows > 0"
+    complexity = f"SELECT replace(name, '_', ' ') || ' complexity' AS kind, -1::INTEGER AS level, value FROM ({_complexity_sql(levels)})"
+    return f"WITH s AS ({stats.sql(body)}) {every} UNION ALL {complexity}"
+
+
+_build("S9_statistics", _logged, _log_sql(3))
 _build("R2_hierarchy_local", lambda h, a, b: h.stats_df(), _stats_sql(2, local=40), z_type=ZType.LAIR, max_levels=2)
 
 
@@ -285,11 +308,12 @@ def m13(spark, sf_dir):
     return spark.createDataFrame(found, "kind string, reused boolean")
 
 
-@query("M14_agglomeration", "SELECT 1 AS partitions")
+@query("M14_agglomeration", with_base("SELECT CASE WHEN n >= 400 THEN 4 WHEN n >= 100 THEN 2 ELSE 1 END::INTEGER AS parts, round(near / far, 9) AS ratio FROM (SELECT count(*) AS n FROM part_rows), (SELECT count(*) FILTER (i % 8 = j % 8) AS near, count(*) FILTER (i % 8 <> j % 8)::DOUBLE AS far FROM D)"))
 def m14(spark, sf_dir):
-    """A level below the row limit for each partition is kept in one partition."""
-    a, _ = _grid(spark, 6)
-    return al.agglomerate(a, 36, 50).select(F.spark_partition_id().alias("p")).distinct().agg(F.count("*").cast("int").alias("partitions"))
+    """Partitions that the matrix keeps of eight, by its rows and its share of local entries."""
+    a, rows = dominant(spark, sf_dir)
+    ratio = al.locality(a, 8).first().ratio
+    return spark.createDataFrame([(active_parts(8, rows.count(), ratio), round(ratio, 9))], "parts int, ratio double")
 
 
 # --- K
@@ -317,8 +341,11 @@ def _gmres_sql(levels, its):
     vectors = []
     for _ in range(its):
         vectors.append(c.spmv("D", h.apply(vectors[-1] if vectors else b), "part_rows"))
-    steps = c.eliminate(c.gram(vectors, b), its)
-    return c.sql(_history([f"(SELECT sqrt(bb) FROM {s})" for s in steps] + [f"(SELECT sqrt(bb - r_{its - 1} * r_{its - 1} / g_{its - 1}_{its - 1}) FROM {steps[-1]})"]))
+    left = [b]
+    for m in range(1, its + 1):
+        row = c.solve(vectors[:m], b)
+        left.append(c.combine(("1.0", b), *((f"(SELECT -c_{k} FROM {row})", v) for k, v in enumerate(vectors[:m]))))
+    return c.sql(_history([f"(SELECT sqrt(sum(x * x)) FROM {v})" for v in left]))
 
 
 def _solve(name, solver, sql, max_it, **options):

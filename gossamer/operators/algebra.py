@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gossamer.functions.randoms import random_int
+
 # --- index sets and special matrices
 
 
@@ -29,17 +31,27 @@ def masked_identity(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def renumber(rows: DataFrame) -> DataFrame:
-    """(i, k): k counts the ids from 0 in ascending order.
+    """(i, k): k counts the ids from 0 in ascending order."""
+    return ranked(rows, F.col("i"))
+
+
+def shuffled(rows: DataFrame, salt: str = "") -> DataFrame:
+    """(i, k): k counts the ids from 0 in a random order that depends on the ids alone."""
+    return ranked(rows, F.struct(random_int(F.col("i"), salt).alias("r"), "i"))
+
+
+def ranked(rows: DataFrame, key: Column) -> DataFrame:
+    """(i, k): k counts the ids from 0 by the key.
 
-    Two levels: ranks within ranges of ids, and a running total of the ranges' sizes, so no task holds all ids.
+    Two levels: ranks within ranges of keys, and a running total of the ranges' sizes, so no task holds all ids.
     """
-    ranged = rows.select("i").repartitionByRange("i").withColumn("part", F.spark_partition_id())
+    ranged = rows.select("i", key.alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
     from gossamer.session import materialize
 
     ranged = materialize(ranged, "ranged")  # the partition is data from here on
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
-    inner = F.row_number().over(Window.partitionBy("part").orderBy("i")) - 1
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
     return ranged.withColumn("at", inner).join(F.broadcast(starts), "part").select("i", (F.col("at") + F.coalesce("start", F.lit(0))).cast("long").alias("k"))
 
 
@@ -84,6 +96,11 @@ def remove_small(a: DataFrame, tol: float, relative: int = 0, lump: bool = False
     return marked.select("i", F.when(F.col("keep"), F.col("j")).otherwise(F.col("i")).alias("j"), "v").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def restrict_to(a: DataFrame, pattern: DataFrame) -> DataFrame:
+    """Entries of a on a pattern; absent ones stay absent."""
+    return a.join(pattern.select("i", "j"), ["i", "j"], "left_semi")
+
+
 def restrict(a: DataFrame, pattern: DataFrame, lump: bool = False) -> DataFrame:
     """Values of a on a pattern; absent ones are an explicit 0.  lump: the intersection and the diagonal, to which the rest is added."""
     marks = pattern.select("i", "j").withColumn("in", F.lit(True))
@@ -290,6 +307,42 @@ def agglomerate(a: DataFrame, n_rows: int, rows_per_part: int) -> DataFrame:
 # --- sets
 
 
+def union_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Members of either, once."""
+    return a.select("i").unionByName(b.select("i")).distinct()
+
+
+def lookup(a: DataFrame, places: DataFrame) -> DataFrame:
+    """Stored values at places (i, j)."""
+    return places.select("i", "j").join(a, ["i", "j"])
+
+
+def row_bound(a: DataFrame) -> DataFrame:
+    """a with the largest abs of each row, m."""
+    return a.withColumn("m", F.max(F.abs("v")).over(Window.partitionBy("i")))
+
+
+class OrderedSet:
+    """Ids with insert, remove, smallest, largest and a sorted vector; changes are set operations over whole tables."""
+
+    def __init__(self, members: DataFrame):
+        self.members = members.select("i").distinct()
+
+    def insert(self, more: DataFrame) -> OrderedSet:
+        return OrderedSet(union_sets(self.members, more))
+
+    def remove(self, some: DataFrame) -> OrderedSet:
+        return OrderedSet(complement(self.members, some))
+
+    def bounds(self) -> DataFrame:
+        """One row: low, high, n."""
+        return self.members.agg(F.min("i").alias("low"), F.max("i").alias("high"), F.count("*").alias("n"))
+
+    def vector(self) -> DataFrame:
+        """(i, k): the k-th member from 0."""
+        return renumber(self.members)
+
+
 def union_pattern(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", "j").unionByName(b.select("i", "j")).distinct()
 

@@ -192,11 +192,15 @@ class Options:
         return runs
 
 
+#: Names of the timed parts.
+TIMERS = ("setup", "inverse", "drop", "rap", "extract", "prolong", "restrict", "proc agglom", "coarsen", "constrain", "identity", "truncate")
+
+
 @dataclass
 class Timers:
     """Seconds spent in each named part."""
 
-    seconds: dict[str, float] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=lambda: dict.fromkeys(TIMERS, 0.0))
 
     def timed(self, name: str):
         from contextlib import contextmanager

@@ -11,6 +11,7 @@ from gossamer.operators import algebra as al
 from gossamer.operators import transfer as tr
 from gossamer.operators.inverse import ApproxInverse
 from gossamer.operators.krylov_basis import start_vector
+from gossamer.operators.partition import active_parts
 from gossamer.operators.splitting import coarse_set, compute_cf_splitting, fine_set
 from gossamer.plans.model import InverseType, Options, SplittingType, Timers, ZType
 from gossamer.session import materialize
@@ -62,7 +63,8 @@ class Hierarchy:
     def build(cls, a: DataFrame, rows: DataFrame, options: Options = Options(), left: DataFrame | None = None, right: DataFrame | None = None) -> Hierarchy:
         """left, right: near-nullspace vectors (i, xs) for the constraints; constants by default."""
         out = cls(options)
-        out._setup(a, rows, left, right, None)
+        with out.timers.timed("setup"):
+            out._setup(a, rows, left, right, None)
         return out
 
     def rebuild(self, a: DataFrame, rows: DataFrame, options: Options | None = None) -> Hierarchy:
@@ -76,7 +78,8 @@ class Hierarchy:
         options = options or self.options
         same = options == self.options and fingerprint(a) == self.print
         out = Hierarchy(options)
-        out._setup(a, rows, None, None, self if same and (options.reuse_sparsity or options.reuse_poly_coeffs) else None)
+        with out.timers.timed("setup"):
+            out._setup(a, rows, None, None, self if same and (options.reuse_sparsity or options.reuse_poly_coeffs) else None)
         return out
 
     def _setup(self, a: DataFrame, rows: DataFrame, left: DataFrame | None, right: DataFrame | None, old: Hierarchy | None) -> None:
@@ -93,7 +96,7 @@ class Hierarchy:
             coefficients = (old.coarse.coefficients if old and o.reuse_poly_coeffs and k == len(old.levels) - 1 else None) if old else None
             if k + 1 >= o.max_levels or self._truncates(level, k):
                 break
-            with self.timers.timed("splitting"):
+            with self.timers.timed("coarsen"):
                 keep = before is not None and before.cf is not None and o.reuse_sparsity and o.reuse_amount >= 1
                 level.cf = before.cf if keep else materialize(self._split(a, rows), "markers")
             fine, coarse = materialize(fine_set(level.cf), "fine"), materialize(coarse_set(level.cf), "coarse")
@@ -102,13 +105,15 @@ class Hierarchy:
                 level.cf = None
                 break
             self._blocks(level, fine, coarse, before)
-            with self.timers.timed("transfer"):
-                self._transfer(level, fine, coarse, left, right, before)
-            with self.timers.timed("coarse"):
+            self._transfer(level, fine, coarse, left, right, before)
+            with self.timers.timed("rap"):
                 pattern = before is not None and o.reuse_sparsity and o.reuse_amount >= 3 and k + 1 < len(old.levels)
-                a = tr.coarse_matrix(level.a, level.r, level.p, o.symmetric, o.a_drop, o.a_lump, old.levels[k + 1].a if pattern else None)
-                if o.processor_agglom and n_coarse < o.process_eq_limit * a.sparkSession.sparkContext.defaultParallelism:
-                    a = al.agglomerate(a, n_coarse, o.process_eq_limit)  # small levels in fewer partitions
+                a = materialize(tr.coarse_matrix(level.a, level.r, level.p, o.symmetric, 0.0, False, None), "full")
+            with self.timers.timed("drop"):
+                a = al.restrict(a, old.levels[k + 1].a, o.a_lump) if pattern else al.remove_small(a, o.a_drop, relative=1, lump=o.a_lump)
+                if o.processor_agglom:
+                    with self.timers.timed("proc agglom"):
+                        a = self._agglomerated(a, n_coarse)
                 a = materialize(a, "level")
             rows = coarse
             left, right = left.join(rows, "i", "left_semi"), right.join(rows, "i", "left_semi")
@@ -120,14 +125,21 @@ class Hierarchy:
         o = self.options
         return compute_cf_splitting(a, rows, o.symmetric, o.strong_threshold, o.max_luby_steps, SplittingType(o.cf_splitting_type), o.ddc_its, o.ddc_fraction, o.inverse() if o.cf_splitting_type == SplittingType.CR else None)
 
+    def _agglomerated(self, a: DataFrame, n_rows: int) -> DataFrame:
+        """Small levels in fewer partitions.  Entries are dealt by a hash of their row, so their locality is the same on every level and has no say."""
+        o, parts = self.options, a.sparkSession.sparkContext.defaultParallelism
+        active = active_parts(parts, n_rows, None, o.process_eq_limit, o.processor_agglom_ratio, o.processor_agglom_factor)
+        return a.coalesce(active) if active < parts else a
+
     def _truncates(self, level: Level, k: int) -> bool:
         """Whether the coarsest-grid solver is good enough here: norm(a q(a) b - b) < tolerance norm(b) for a random b."""
         o = self.options
         if o.auto_truncate_start_level < 0 or k < o.auto_truncate_start_level:
             return False
-        m = ApproxInverse.build(level.a, level.rows, o.coarsest_inverse())
-        b = materialize(start_vector(level.rows, "truncate"), "vector")
-        miss = al.norm2(al.combine(b, (-1.0, al.spmv(level.a, m.apply(b)))))
+        with self.timers.timed("truncate"):
+            m = ApproxInverse.build(level.a, level.rows, o.coarsest_inverse())
+            b = materialize(start_vector(level.rows, "truncate"), "vector")
+            miss = al.norm2(al.combine(b, (-1.0, al.spmv(level.a, m.apply(b)))))
         if miss < o.auto_truncate_tol * al.norm2(b):
             self.coarse = m
             return True
@@ -135,7 +147,8 @@ class Hierarchy:
 
     def _blocks(self, level: Level, fine: DataFrame, coarse: DataFrame, before: Level | None) -> None:
         o = self.options
-        marked = materialize(al.split_blocks(level.a, level.cf), "blocks")
+        with self.timers.timed("extract"):
+            marked = materialize(al.split_blocks(level.a, level.cf), "blocks")
         block = lambda r, c: marked.where((F.col("cf_i") == r) & (F.col("cf_j") == c)).select("i", "j", "v")
         level.aff, level.afc, level.acf, level.acc = block(-1, -1), block(-1, 1), block(1, -1), block(1, 1)
         level.groups = o.groups()
@@ -166,6 +179,17 @@ class Hierarchy:
             m = level.inv_ff.matrix if level.inv_ff.matrix is not None and not o.strong_r_threshold else ApproxInverse.build(aff, fine, replace(level.inv_ff.options, matrix_free=False), level.inv_ff.coefficients).matrix
         drop = lambda t, old: al.restrict(t, old) if keep and old is not None else al.remove_small(t, o.r_drop, relative=1, drop_diagonal=1)
         d = al.diagonal(m, fine) if (o.improve_w_its or o.improve_z_its) else None
+        with self.timers.timed("restrict"):
+            self._restriction(level, fine, coarse, left, before, acf, m, d, drop)
+        if o.symmetric:
+            with self.timers.timed("prolong"):
+                level.p = al.transpose(level.r)
+            return
+        with self.timers.timed("prolong"):
+            self._prolongation(level, fine, coarse, right, before, afc, m, d, drop)
+
+    def _restriction(self, level: Level, fine: DataFrame, coarse: DataFrame, left: DataFrame, before: Level | None, acf: DataFrame, m: DataFrame | None, d: DataFrame | None, drop) -> None:
+        o = self.options
         if o.z_type == ZType.PRODUCT:
             z = tr.ideal_z(acf, m)
         else:
@@ -174,14 +198,16 @@ class Hierarchy:
         for _ in range(o.improve_z_its):
             z = materialize(tr.improve_z(z, level.aff, level.acf, d), "z")
         if o.constrain_z:
-            smooth = self._smoothed(level, left, True)
-            # By way of the transpose: Z' takes the left vectors on C to those on F.
-            z = al.transpose(tr.constrain(al.transpose(z), smooth.join(coarse, "i", "left_semi"), smooth.join(fine, "i", "left_semi")))
-            z = materialize(z.select("i", "j", "v"), "z")
-        level.z, level.r = z, materialize(tr.restrictor(z, coarse), "r")
-        if o.symmetric:
-            level.p = al.transpose(level.r)
-            return
+            with self.timers.timed("constrain"):
+                smooth = self._smoothed(level, left, True)
+                # By way of the transpose: Z' takes the left vectors on C to those on F.
+                z = al.transpose(tr.constrain(al.transpose(z), smooth.join(coarse, "i", "left_semi"), smooth.join(fine, "i", "left_semi")))
+                z = materialize(z.select("i", "j", "v"), "z")
+        with self.timers.timed("identity"):
+            level.z, level.r = z, materialize(tr.restrictor(z, coarse), "r")
+
+    def _prolongation(self, level: Level, fine: DataFrame, coarse: DataFrame, right: DataFrame, before: Level | None, afc: DataFrame, m: DataFrame | None, d: DataFrame | None, drop) -> None:
+        o = self.options
         if o.one_point_classical_prolong:
             w = tr.one_point(afc)
         else:
@@ -190,9 +216,11 @@ class Hierarchy:
         for _ in range(o.improve_w_its):
             w = materialize(tr.improve_w(w, level.aff, level.afc, d), "w")
         if o.constrain_w:
-            smooth = self._smoothed(level, right, False)
-            w = materialize(tr.constrain(w, smooth.join(coarse, "i", "left_semi"), smooth.join(fine, "i", "left_semi")), "w")
-        level.w, level.p = w, materialize(tr.prolongator(w, coarse), "p")
+            with self.timers.timed("constrain"):
+                smooth = self._smoothed(level, right, False)
+                w = materialize(tr.constrain(w, smooth.join(coarse, "i", "left_semi"), smooth.join(fine, "i", "left_semi")), "w")
+        with self.timers.timed("identity"):
+            level.w, level.p = w, materialize(tr.prolongator(w, coarse), "p")
 
     def _smoothed(self, level: Level, vectors: DataFrame, transposed: bool) -> DataFrame:
         n = vectors.select(F.size("xs").alias("n")).first().n

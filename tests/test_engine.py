@@ -422,3 +422,75 @@ def test_one_exact_cycle_solves(spark):
     b = start_vector(rows)
     x = vector(Hierarchy.build(a, rows, o).apply(b), 12)
     assert np.allclose(dense(a, 12) @ x, vector(b, 12))
+
+
+def test_graph_partition_keeps_sizes_and_cuts_less(spark):
+    """Scattered ids on a grid: parts stay nearly as large, and fewer edges run between them."""
+    from gossamer.operators import partition as pt
+
+    n = 24
+    a = g.laplacian_2d(spark, n).selectExpr("(i * 253) % 576 as i", "(j * 253) % 576 as j", "v")
+    rows = al.index_set(spark, n * n)
+    before, after = pt.partition_graph(a, rows, 4, rounds=0), pt.partition_graph(a, rows, 4, rounds=5)
+    sizes = sorted(r["count"] for r in after.groupBy("part").count().collect())
+    assert len(sizes) == 4 and sizes[0] > 100 and sum(sizes) == n * n
+    assert pt.edge_cut(a, after) < 0.8 * pt.edge_cut(a, before)
+    spread = pt.repartition(a, after, 4).select("i", F.spark_partition_id().alias("p")).distinct().join(after, "i").groupBy("part").agg(F.count_distinct("p").alias("n")).collect()
+    assert all(r.n == 1 for r in spread)
+
+
+def test_active_parts():
+    from gossamer.operators.partition import active_parts
+
+    assert active_parts(8, 10_000, None) == 8 and active_parts(8, 10_000, 3.0) == 8 and active_parts(8, 10_000, 1.5) == 4
+    assert active_parts(8, 60, None) == 1 and active_parts(1, 5, None) == 1 and active_parts(8, 390, None) == 2
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_binary_files(spark, tmp_path, wide):
+    from gossamer.sources import binary
+
+    rng = np.random.default_rng(0)
+    cells = sorted({(int(i), int(j)) for i, j in rng.integers(0, 50, (300, 2)) if i % 7})  # some rows are empty
+    i, j, v = np.array([c[0] for c in cells]), np.array([c[1] for c in cells]), rng.normal(size=len(cells))
+    data = binary.matrix_bytes(i, j, v, 50, 50, wide)
+    (tmp_path / "m").write_bytes(data + binary.vector_bytes(np.arange(50) / 2, wide))
+    (tmp_path / "m.info").write_text("-matload_block_size 5\n")
+    df, n, m = binary.read_matrix(spark, str(tmp_path / "m"), wide, rows=7)
+    assert (n, m) == (50, 50) and sorted((r.i, r.j, r.v) for r in df.collect()) == sorted(zip(i.tolist(), j.tolist(), v.tolist()))
+    assert sorted((r.i, r.x) for r in binary.read_vector(spark, str(tmp_path / "m"), wide, rows=9, at=len(data)).collect()) == [(k, k / 2) for k in range(50)]
+    assert binary.block_size(str(tmp_path / "m")) == 5 and binary.block_size(str(tmp_path / "none")) == 1
+    with pytest.raises(ValueError):
+        binary.read_vector(spark, str(tmp_path / "m"), wide)
+
+
+def test_logs_are_read_back():
+    from gossamer.plans.log import facts
+
+    text = """
+~~~~~~~~~~~~ Level           1
+ Global rows         64 Global F-points         40 Global C-points         24
+ ~~~~~~~~~~~~ Coarse grid           2
+ Global rows         24
+ Grid complexity            :    1.375
+ Reuse storage complexity   :    0.0
+ proc agglom time :   0.25
+ Total cumulative setup time :   1.5
+   0 KSP Residual norm 8.000000000000e+00
+   1 KSP Residual norm 1.5e-11 """
+    assert facts(text) == [("rows", 1, 64.0), ("fine", 1, 40.0), ("coarse", 1, 24.0), ("rows", 2, 24.0), ("grid complexity", None, 1.375), ("reuse storage complexity", None, 0.0), ("proc agglom time", None, 0.25), ("setup time", None, 1.5), ("residual", 0, 8.0), ("residual", 1, 1.5e-11)]
+
+
+def test_restricted_products_go_before_the_shuffle(spark, monkeypatch):
+    """The filter on the pattern stands below the sum's exchange; rows with wide patterns take the other way to the same result."""
+    a = g.upwind_diffusion_2d(spark, 8)
+    pattern = a.select("i", "j").union(al.identity(al.index_set(spark, 64)).select("i", "j")).distinct()
+    whole = {(r.i, r.j): r.v for r in al.spgemm(a, a).collect()}
+    expected = {(r.i, r.j): whole.get((r.i, r.j), 0.0) for r in pattern.collect()}
+    for bound in (1024, 4, 0):
+        monkeypatch.setattr(al, "WIDE", bound)
+        got = {(r.i, r.j): r.v for r in al.spgemm_restricted(a, a, pattern).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    monkeypatch.undo()
+    plan = al.spgemm_restricted(a, a, pattern)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(within" in plan and plan.index("array_contains(within") > plan.index("Aggregate [i")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gossamer import catalog
+from gossamer.catalog import transfers
 from gossamer.operators import splitting as sp
 from gossamer.operators.krylov_basis import start_vector
 from gossamer.session import prepare
@@ -111,7 +112,7 @@ def test_coarse_solve_and_time_steps(spark, sf_dir, table):
     y = sum(c * np.linalg.matrix_power(s, k) @ x for k, c in enumerate(fitted(s, b, 4)))
     assert np.allclose(run(spark, sf_dir, "M11_coarse_solve").sort_values("i")["x"], y, rtol=1e-5, atol=1e-5)
     for _ in range(2):
-        x = np.linalg.solve(np.eye(len(ids)) + 0.2 * a, x)
+        x = np.linalg.solve(np.eye(len(ids)) + transfers._DT * a, x)
     assert np.allclose(run(spark, sf_dir, "K5_time_steps").sort_values("i")["x"], x, atol=1e-4)
 
 
