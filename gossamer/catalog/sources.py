@@ -1,12 +1,10 @@
 """Sources, sinks and generators (S)."""
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from gossamer.catalog import query
-from gossamer.session import shared_dir
+from gossamer.session import fresh
 from gossamer.sources import binary
 from gossamer.sources import generators as g
 from gossamer.sources import tables as t
@@ -120,7 +118,7 @@ def random_dominant(spark, sf_dir):
 
 @query("S8_store", "SELECT r AS i, r AS j, 1.0::DOUBLE AS v FROM range(1000) t(r) UNION ALL SELECT r, r - 1, -1.0::DOUBLE FROM range(1, 1000) t(r)")
 def store(spark, sf_dir):
-    path = f"{shared_dir(spark)}/stored-matrix-{uuid.uuid4().hex}"
+    path = fresh(spark, "stored-matrix")
     g.store(g.advection_1d(spark, 1000), path)
     return g.load_matrix(spark, path)
 
@@ -130,6 +128,6 @@ def binary_matrix(spark, sf_dir):
     """A binary file, made here, is read in ranges of rows."""
     n = 1000
     i, j = np.concatenate((np.arange(n), np.arange(1, n))), np.concatenate((np.arange(n), np.arange(n - 1)))
-    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}.dat"
+    path = fresh(spark, "matrix")
     binary.write_bytes(path, binary.matrix_bytes(i, j, np.where(i == j, 1.0, -1.0), n, n))
     return binary.read_matrix(spark, path, rows=300)[0]

@@ -1,7 +1,5 @@
 """Grid transfer (R), multigrid (M), statistics (A10) and outer solvers (K)."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gossamer.catalog import query, with_base
@@ -17,7 +15,7 @@ from gossamer.plans import krylov
 from gossamer.plans.log import log_lines, parse_logs
 from gossamer.plans.model import InverseOptions, InverseType, Options, SplittingType, ZType
 from gossamer.plans.multigrid import Hierarchy, Level, smooth
-from gossamer.session import materialize, prepare, shared_dir
+from gossamer.session import fresh, materialize, prepare
 from gossamer.sources import generators as g
 from gossamer.sources import tables as t
 
@@ -264,7 +262,7 @@ _build("M16_timers", lambda h, a, b: h.timers.df(a.sparkSession).selectExpr("nam
 _build("A10_complexities", lambda h, a, b: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"), _complexity_sql(3))
 def _logged(h, a, b):
     """What the setup prints, written as a log and read back; what belongs to no level has level -1."""
-    spark, path = a.sparkSession, f"{shared_dir(a.sparkSession)}/log-{uuid.uuid4().hex}"
+    spark, path = a.sparkSession, fresh(a.sparkSession, "log")
     spark.createDataFrame([("\n".join(log_lines(h)),)], "value string").write.text(path)
     return rounded(parse_logs(spark, path).where("kind not like '% time'").select("kind", F.coalesce("level", F.lit(-1)).alias("level"), "value"))
 

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from gossamer import session
 
 
@@ -16,3 +18,16 @@ def test_materialized_tables_are_read_back_and_cleaned(spark, monkeypatch):
 def test_workers_find_the_package(spark):
     session.prepare(session.prepare(spark))
     assert spark.sparkContext.environment["PYTHONPATH"].split(":").count(session.ROOT) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
