@@ -25,7 +25,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -37,7 +36,7 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.shared import filesystem, materialize, prepare, shared_dir, source, texts_of
+from gossamer.llm.shared import filesystem, fresh, materialize, prepare, source, texts_of
 
 #: Word characters stay, A-Z are lower-cased, all other ASCII characters become spaces.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -194,7 +193,7 @@ def write_windows(benchmark: DataFrame, size: int = 13, per_file: int = 200_000)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     # A copy of each (window, item) is enough; those of a window then meet.
     windows = materialize(items.mapInArrow(cut, "window binary, item string").distinct().groupBy("window").agg(F.array_sort(F.collect_list("item")).alias("items")), "windows")
-    uri = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"
+    uri = fresh(spark, "benchmark")
     windows.repartition(max(1, -(-windows.count() // per_file)), F.xxhash64("window")).write.parquet(uri)
     return uri
 

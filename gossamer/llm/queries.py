@@ -95,9 +95,33 @@ _URL_PARTS = """
     FROM pages"""
 
 
+def _words(table: str, key: str) -> str:
+    """(rid, key, w): the words of each row."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return rf"SELECT row_number() OVER () AS rid, {key}, regexp_extract_all(translate(coalesce(text, ''), {letters}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+
+
+#: Whole windows are compared as joined words: 13 consecutive ones, or a whole shorter item where its first word stands.
+_CONTAMINATION = f"""
+WITH d AS MATERIALIZED ({_words('documents', 'doc_id')}),
+b AS MATERIALIZED (SELECT *, least(len(w), 13) AS n FROM ({_words('benchmark', 'item_id')}) WHERE len(w) > 0),
+item_words AS (SELECT rid, item_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM b WHERE len(w) >= 13),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, s FROM (SELECT item_id, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM item_words WINDOW f AS (PARTITION BY rid ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) WHERE n = 13),
+words AS MATERIALIZED (SELECT rid, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+grams AS (SELECT rid, k, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM words WINDOW f AS (PARTITION BY rid ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+hits AS MATERIALIZED (
+    SELECT g.rid, g.k, 13 AS n, item_id FROM grams g JOIN windows ON windows.s = g.s WHERE g.n = 13
+    UNION ALL SELECT words.rid, words.k, b.n, b.item_id FROM b JOIN words ON words.word = b.w[1] JOIN d ON d.rid = words.rid WHERE len(b.w) < 13 AND d.w[words.k:words.k + b.n - 1] = b.w),
+hit_words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN found USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return {
+        "op10_decontaminate": _CONTAMINATION,
         "op2_url_filter": f"""
 WITH parts AS ({_URL_PARTS}), rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 fits AS (

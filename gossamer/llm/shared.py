@@ -13,14 +13,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.session import materialize, prepare, shared_dir
+from gossamer.session import fresh, materialize, prepare
 
-__all__ = ["Notes", "create", "fetch", "filesystem", "materialize", "notes", "prepare", "remove", "replayable", "row_number", "scratch", "source", "texts_of"]
+__all__ = ["Notes", "create", "fetch", "filesystem", "fresh", "materialize", "notes", "prepare", "replayable", "row_number", "scratch", "source", "texts_of"]
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared one."""
-    uri = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new folder under the shared one, which gossamer.session.clean deletes."""
+    uri = fresh(spark, tag)
     files, path = filesystem(uri)
     files.create_dir(path, recursive=True)
     return uri
@@ -57,12 +57,6 @@ def fetch(uri: str) -> bytes:
         return file.read()
 
 
-def remove(uri: str) -> None:
-    """Deletes a folder of this library's own files."""
-    files, path = filesystem(uri)
-    files.delete_dir(path)
-
-
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -101,7 +95,7 @@ def notes(rows: DataFrame) -> str:
 
     A task reads its own partition's notes alone, so its share is bounded by its rows and large columns need not be moved to them.
     """
-    uri = f"{shared_dir(rows.sparkSession)}/notes-{uuid.uuid4().hex}"
+    uri = fresh(rows.sparkSession, "notes")
     dealt = rows.withColumn("task", F.shiftright("row", 33)).repartition("task").sortWithinPartitions("task", "row")
     dealt.write.partitionBy("task").parquet(uri)
     return uri
