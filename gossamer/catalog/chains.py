@@ -228,12 +228,13 @@ class Chain:
         return z
 
     def local_least(self, a: str, pattern: str, rhs: str, steps: int) -> str:
-        """z on the pattern with the least norm of z a - rhs: z += ((rhs - z a) a')|pattern / diag(a a')."""
-        d = self.add(f"SELECT i, sum(v * v) AS d FROM {a} GROUP BY i")
-        z = self.add(f"SELECT i, j, 0.0::DOUBLE AS v FROM {pattern}")
+        """z on the pattern with the least norm of z a - rhs, from the normal equations: z += (rhs a' - z a a')|pattern / diag(a a')."""
+        gram = self.add(f"SELECT p.i, q.i AS j, sum(p.v * q.v) AS v FROM {a} p JOIN {a} q ON q.j = p.j GROUP BY 1, 2")
+        wanted = self.add(f"SELECT p.i, p.j, coalesce(sum(r.v * a.v), 0.0) AS f, any_value(g.v) AS d FROM {pattern} p JOIN {gram} g ON g.i = p.j AND g.j = p.j JOIN {a} a ON a.i = p.j LEFT JOIN {rhs} r ON r.i = p.i AND r.j = a.j GROUP BY p.i, p.j")
+        terms = self.add(f"SELECT p.i, p.j, q.j AS k, g.v FROM {pattern} p JOIN {pattern} q ON q.i = p.i JOIN {gram} g ON g.i = p.j AND g.j = q.j")
+        z = self.add(f"SELECT i, j, f / d AS v FROM {wanted}")
         for _ in range(steps):
-            r = self.add(f"SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM {rhs} UNION ALL SELECT z.i, a.j, -z.v * a.v FROM {z} z JOIN {a} a ON a.i = z.j) GROUP BY i, j")
-            z = self.add(f"SELECT z.i, z.j, z.v + coalesce(s.v, 0.0) / d.d AS v FROM {z} z JOIN {d} d ON d.i = z.j LEFT JOIN (SELECT r.i, a.i AS j, sum(r.v * a.v) AS v FROM {r} r JOIN {a} a ON a.j = r.j GROUP BY 1, 2) s ON s.i = z.i AND s.j = z.j")
+            z = self.add(f"SELECT z.i, z.j, z.v + (w.f - s.v) / w.d AS v FROM {z} z JOIN {wanted} w ON w.i = z.i AND w.j = z.j JOIN (SELECT t.i, t.j, sum(t.v * z.v) AS v FROM {terms} t JOIN {z} z ON z.i = t.i AND z.j = t.k GROUP BY 1, 2) s ON s.i = z.i AND s.j = z.j")
         return z
 
 

@@ -102,7 +102,7 @@ def _sai_sql(square):
     c = Chain()
     a, pattern = c.add("SELECT i, j, v FROM D"), c.add("SELECT i, j FROM D")
     one = c.add("SELECT i, i AS j, 1.0::DOUBLE AS v FROM part_rows")
-    z = c.local_exact(a, pattern, one, 40) if square else c.local_least(a, pattern, one, 60)
+    z = c.local_exact(a, pattern, one, 40) if square else c.local_least(a, pattern, one, 40)
     return c.sql(f"SELECT i, j, round(v, 9) AS v FROM {z}")
 
 

@@ -67,7 +67,7 @@ def r2(spark, sf_dir):
     return rounded(tr.local_z(*_split_blocks(spark, sf_dir), distance=2), 9)
 
 
-@query("R3_local_restriction_least_squares", _local_sql(False, 60))
+@query("R3_local_restriction_least_squares", _local_sql(False, 40))
 def r3(spark, sf_dir):
     return rounded(tr.local_z(*_split_blocks(spark, sf_dir), distance=2, square=False), 9)
 
