@@ -370,13 +370,13 @@ def k3(spark, sf_dir):
 
 def _factors_sql(sweeps):
     c = Chain()
-    low = c.add("SELECT D.i, D.j, v * d AS v FROM D JOIN Jinv ON Jinv.i = D.j WHERE D.i > D.j")
+    low = c.add("SELECT D.i, D.j, D.v / p.v AS v FROM D JOIN D p ON p.i = D.j AND p.j = D.j WHERE D.i > D.j")
     up = c.add("SELECT i, j, v FROM D WHERE i <= j")
     for _ in range(sweeps):
         rest = c.add(f"SELECT D.i, D.j, D.v - coalesce(s, 0.0) AS v FROM D LEFT JOIN (SELECT l.i, u.j, sum(l.v * u.v) AS s FROM {low} l JOIN {up} u ON u.i = l.j WHERE l.j < least(l.i, u.j) GROUP BY 1, 2) t ON t.i = D.i AND t.j = D.j")
         low = c.add(f"SELECT r.i, r.j, r.v / p.v AS v FROM {rest} r JOIN {up} p ON p.i = r.j AND p.j = r.j WHERE r.i > r.j")
         up = c.add(f"SELECT i, j, v FROM {rest} WHERE i <= j")
-    return c.sql(f"SELECT 'L' AS factor, i, j, round(v, 6) AS v FROM {low} UNION ALL SELECT 'L', i, i, 1.0 FROM part_rows UNION ALL SELECT 'U', i, j, round(v, 6) FROM {up}")
+    return c.sql(f"SELECT 'L' AS factor, i, j, round(v, 10) AS v FROM {low} UNION ALL SELECT 'L', i, i, 1.0 FROM part_rows UNION ALL SELECT 'U', i, j, round(v, 8) FROM {up}")
 
 
 def _euler_sql(dt, steps, sweeps):
@@ -396,7 +396,8 @@ def _euler_sql(dt, steps, sweeps):
 def k4(spark, sf_dir):
     a, rows = dominant(spark, sf_dir)
     lower, upper = krylov.incomplete_factors(a, rows, 3)
-    return rounded(lower.select(F.lit("L").alias("factor"), "i", "j", "v").unionByName(upper.select(F.lit("U").alias("factor"), "i", "j", "v")))
+    # Finer than the fractions of small powers of two that entries are, so that none lies half-way.
+    return rounded(lower.select(F.lit("L").alias("factor"), "i", "j", "v"), 10).unionByName(rounded(upper.select(F.lit("U").alias("factor"), "i", "j", "v"), 8))
 
 
 #: Short enough that a step is dominant by far, so that solves take a few iterations.
