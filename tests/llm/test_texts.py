@@ -421,3 +421,44 @@ def test_small_buckets_side_by_side(radius):
     both = np.concatenate((one, other))
     assert roots(both, simhash.linked(one, other, radius)) == roots(both, links(one, other))
     assert simhash.linked(one, other[:0], radius) == [] and len(simhash.linked_groups(one[:0], starts[:0], radius)[0]) == 0
+
+
+def votes_by_hand(text, gap=2):
+    """(labels, score) by plain loops: matches of word pairs, their diagonals, neighbouring ones merged, spans verified."""
+    words, labels, best = words_of(text), set(), 0.0
+    for label, phrase, share, base in [(x, p, 1.0, True) for x, p in licenses.BASE] + [(*s, False) for s in licenses.STATEMENTS]:
+        own = phrase.split()
+        pairs = len(own) - 1
+        matches = sorted((p - i, i) for p in range(len(words) - 1) for i in range(pairs) if words[p : p + 2] == own[i : i + 2])
+        spans = []
+        for diagonal, place in matches:
+            if not spans or diagonal - spans[-1][-1][0] > (0 if base else gap):
+                spans.append([])
+            spans[-1].append((diagonal, place))
+        for span in spans:
+            part = len({i for _, i in span}) / pairs
+            at = [d + i for d, i in span]
+            best = max(best, part)
+            if part >= share and max(at) - min(at) < pairs + 4 * gap:
+                labels.add(label)
+    return ",".join(sorted(labels)), round(best, 6)
+
+
+def test_diagonal_votes(spark, sf_dir):
+    """Labels and scores of documents, and of statements with words lost, added, doubled, cut short and run together."""
+    rng = np.random.default_rng(3)
+    made = []
+    for label, statement, _ in licenses.STATEMENTS:
+        words = statement.split()
+        made += [statement, statement.upper() + ". " + statement, " ".join(words[: max(2, len(words) * 6 // 10)]), " ".join(words[::-1])]
+        for _ in range(3):
+            bent = list(words)
+            for _ in range(rng.integers(1, 5)):
+                k = int(rng.integers(len(bent)))
+                bent[k : k + 1] = [[], ["other"], [bent[k], bent[k]], ["new", bent[k]]][rng.integers(4)] or bent[k + 1 : k + 2]
+            made.append("the " + " ".join(bent) + " end")
+    made += ["MIT License apache-license", "general public license general public", "", None]
+    rows = list(enumerate(made)) + [(1000 + d, t) for d, t in documents(spark, sf_dir)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: votes_by_hand(t) for d, t in rows}
+    assert len({x for x, _ in got.values()}) > 10
