@@ -22,6 +22,22 @@ def spark(tmp_path_factory):
     yield session
 
 
+@pytest.fixture(scope="session")
+def answer(spark, sf_dir):
+    """A registered query's rows; each query is run once for all tests."""
+    from gossamer import catalog
+
+    catalog.load()
+    known = {}
+
+    def rows(name):
+        if name not in known:
+            known[name] = catalog.QUERIES[name](spark, sf_dir).toPandas()
+        return known[name].copy()
+
+    return rows
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"

@@ -37,8 +37,8 @@ def rows_of(frame):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
-def test_query_matches_sql(spark, sf_dir, duck, name):
-    got, expected = rows_of(catalog.QUERIES[name](spark, sf_dir).toPandas()), rows_of(duck.execute(catalog.SQL[name]).df())
+def test_query_matches_sql(answer, duck, name):
+    got, expected = rows_of(answer(name)), rows_of(duck.execute(catalog.SQL[name]).df())
     assert got[0] == expected[0] and len(got[1]) == len(expected[1])
     for a, b in zip(got[1], expected[1]):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and np.isclose(x, y, rtol=1e-9, atol=1e-6)) for x, y in zip(a, b)), (a, b)
