@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import decontaminate, licenses, media, packing, quality, secrets, simhash, token_blocks, url_filter, warc
+from gossamer.llm import alignment, decontaminate, licenses, media, packing, quality, secrets, simhash, token_blocks, url_filter, warc
 from gossamer.session import prepare, read_table
 
 URL_RULES = (
@@ -83,8 +83,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    size = alignment.encoder(b).size
+    aligned = alignment.align(alignment.tokens(read_table(prepare(spark), sf_dir, "documents"), a, b), size)
+    hashed = aligned.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(""))
+    return alignment.scores(hashed, size, ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_blocks, op2_url_filter, op3_warc, op4_licenses, op5_packing, op6_media, op7_quality, op8_secrets, op9_simhash, op10_decontaminate)
+    named = (op1_token_blocks, op2_url_filter, op3_warc, op4_licenses, op5_packing, op6_media, op7_quality, op8_secrets, op9_simhash, op10_decontaminate, op13_alignment)
     return {f.__name__: f for f in named}
 
 
