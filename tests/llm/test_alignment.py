@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from functools import cache
 
 import public_tokenizers
 import pytest
@@ -13,12 +14,19 @@ from .conftest import CASES
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def byte_tokens(text):
-    """(id, bytes) by the tokenizers library; its decoder spells tokens as printable characters."""
+@cache
+def libraries():
+    import sentencepiece
     from tokenizers import Tokenizer
 
-    library = byte_tokens.__dict__.setdefault("library", Tokenizer.from_file(A))
+    library = Tokenizer.from_file(A)
     library.encode_special_tokens = True
+    return library, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def byte_tokens(text):
+    """(id, bytes) by the tokenizers library, which spells tokens as printable characters."""
+    library = libraries()[0]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
     found = library.encode(text, add_special_tokens=False)
@@ -26,10 +34,7 @@ def byte_tokens(text):
 
 
 def piece_tokens(text):
-    import sentencepiece
-
-    library = piece_tokens.__dict__.setdefault("library", sentencepiece.SentencePieceProcessor(model_file=B))
-    out = []
+    library, out = libraries()[1], []
     for k in library.encode(text):
         piece = library.id_to_piece(k)
         out.append((k, bytes([int(piece[1:-1], 16)]) if library.is_byte(k) else piece.replace("▁", " ").encode()))
