@@ -68,8 +68,11 @@ class ByteLevel:
         special = {x["content"] for x in told.get("added_tokens", [])}
         return {bytes(byte[c] for c in token): k for token, k in told["model"]["vocab"].items() if token not in special}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.library.encode_ordinary(" " + t) for t in texts]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.library.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return self.library.decode_bytes(ids)
 
 
 class Pieces:
@@ -89,6 +92,9 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.parts.__getitem__, ids))
+
 
 _OPEN: dict[str, ByteLevel | Pieces] = {}
 
@@ -110,10 +116,10 @@ def tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
     """doc_id and, for each side, ids, ends (byte offsets in a space and the text) and at (the number of the token at each byte, and at the end that of none)."""
     prepare(docs.sparkSession)
 
-    def side(coder: ByteLevel | Pieces, lengths: np.ndarray, ids: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        if b"".join([coder.parts[k] for k in ids]) != raw:
+    def side(coder: ByteLevel | Pieces, lengths: np.ndarray, ids: list[int] | np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if coder.joined(ids) != raw:
             return None
-        ids = np.array(ids, np.int32)
+        ids = np.asarray(ids).astype(np.int32)
         size = lengths[ids]
         return ids, np.cumsum(size, dtype=np.int32), np.repeat(np.arange(len(ids) + 1, dtype=np.int32), np.append(size, 1))
 
@@ -145,33 +151,27 @@ def tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, {lists}")
 
 
-#: Stands for a first id of 0, which has no sign.
-FIRST_ZERO = -(1 << 31)
-
-
-def _parts(side: str, other: str) -> Column:
-    """Texts of a side's parts of the groups.  A group's first id is negated; so numbers are joined once, and cut at the signs."""
-    at = F.col(f"{other}_at")
-    begins = F.concat(F.array(F.lit(0)), F.slice(f"{side}_ends", 1, F.greatest(F.size(f"{side}_ends") - 1, F.lit(0))))
-    first = lambda e: F.when(e == 0, True).otherwise(at[e - 1] != at[e])
-    signed = F.zip_with(f"{side}_ids", begins, lambda k, e: F.when(~first(e), k).when(k == 0, F.lit(FIRST_ZERO)).otherwise(-k))
-    joined = F.replace(F.array_join(signed.cast("array<string>"), ","), F.lit(str(FIRST_ZERO)), F.lit("-0"))
-    return F.split(F.substring(joined, 2, 1 << 30), ",-")
+def _group(start: Column, end: Column) -> Column:
+    """a1,a2|b1 of the bytes from start to end, where tokens of both sides begin and end; mostly one token of each."""
+    first, last = ([F.col(f"{side}_at")[at] for side in "ab"] for at in (start, end - 1))
+    many = lambda k, side: F.array_join(F.slice(f"{side}_ids", first[k] + 1, last[k] - first[k] + 1).cast("array<string>"), ",")
+    one = F.concat(F.col("a_ids")[first[0]].cast("string"), F.lit("|"), F.col("b_ids")[first[1]].cast("string"))
+    return F.when((first[0] == last[0]) & (first[1] == last[1]), one).otherwise(F.concat(many(0, "a"), F.lit("|"), many(1, "b")))
 
 
 def align(tokens: DataFrame, b_size: int) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (text: a1,a2|b1;a3|b2,b3) and links (a's id times b_size plus b's id, in byte order).
 
-    Lambdas use no column that is computed here, as that would be computed again at every element.
+    Lambdas use columns of `tokens` and their own variables alone: another column would be computed again at every element.
     """
     common = F.array_intersect("a_ends", "b_ends")
-    groups = F.array_join(F.zip_with(_parts("a", "b"), _parts("b", "a"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    text = lambda ends: F.array_join(F.transform(ends, lambda end, k: _group(F.when(k == 0, 0).otherwise(ends[k - 1]), end)), ";")
+    groups = F.transform(F.array(common), lambda ends: F.struct(F.size(ends).cast("long").alias("n"), text(ends).alias("text")))[0]
     ends = F.sort_array(F.array_union("a_ends", "b_ends"))
     number = lambda e: F.col("a_ids")[F.col("a_at")[e - 1]].cast("long") * F.lit(b_size) + F.col("b_ids")[F.col("b_at")[e - 1]]
     return tokens.select(
-        "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size(common).cast("long").alias("n_groups"),
-        F.when(F.size(common) > 0, groups).otherwise("").alias("groups"), F.transform(ends, number).alias("links"),
-    )
+        "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), groups.alias("groups"), F.transform(ends, number).alias("links"),
+    ).select("doc_id", "n_a", "n_b", F.col("groups.n").alias("n_groups"), F.col("groups.text").alias("groups"), "links")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
