@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import alignment, decontaminate, licenses, media, packing, quality, secrets, simhash, token_blocks, url_filter, warc
+from gossamer.llm import alignment, collocations, decontaminate, extraction, licenses, media, packing, quality, secrets, simhash, token_blocks, url_filter, warc
 from gossamer.session import prepare, read_table
 
 URL_RULES = (
@@ -83,6 +83,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read_table(prepare(spark), sf_dir, "pages"), extraction.learn())
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(prepare(spark), sf_dir, "documents")).withColumnRenamed("g", "lang")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     size = alignment.encoder(b).size
@@ -92,7 +100,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_blocks, op2_url_filter, op3_warc, op4_licenses, op5_packing, op6_media, op7_quality, op8_secrets, op9_simhash, op10_decontaminate, op13_alignment)
+    named = (op1_token_blocks, op2_url_filter, op3_warc, op4_licenses, op5_packing, op6_media, op7_quality, op8_secrets, op9_simhash, op10_decontaminate, op11_extraction, op12_collocations, op13_alignment)
     return {f.__name__: f for f in named}
 
 
@@ -126,10 +134,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN found USING (rid)"""
 
 
+#: Phrases as rows of consecutive words; hugeint arithmetic is exact.
+_COLLOCATIONS = r"""
+WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT pid, lang, unnest(w) AS word, unnest(range(len(w))) AS k FROM numbered),
+runs AS (SELECT lang, word AS w1, lead(word, 1) OVER f AS w2, lead(word, 2) OVER f AS w3, lead(word, 3) OVER f AS w4 FROM words WINDOW f AS (PARTITION BY pid ORDER BY k)),
+totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+f AS MATERIALIZED (
+    SELECT lang, [w1] AS w, count(*) AS c FROM runs GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2], count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, w, c AS a, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
+scored AS (SELECT cuts.*, x.c AS l, y.c AS r, 2000000::HUGEINT * a // (x.c + y.c) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.w = cuts.w[1:k] JOIN f y ON y.lang = cuts.lang AND y.w = cuts.w[k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+sizes AS (SELECT lang, w, c, unnest(range(2, len(w))) AS size FROM f WHERE len(w) > 2),
+places AS (SELECT *, unnest(range(1, len(w) - size + 2)) AS s FROM sizes),
+inner_phrases AS (SELECT lang, w[s:s + size - 1] AS part, max(c) AS more FROM places GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.w, ' ') AS phrase FROM best LEFT JOIN inner_phrases i ON i.lang = best.lang AND i.part = best.w WHERE more IS NULL OR 100::HUGEINT * more < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return {
         "op10_decontaminate": _CONTAMINATION,
+        "op12_collocations": _COLLOCATIONS,
         "op2_url_filter": f"""
 WITH parts AS ({_URL_PARTS}), rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 fits AS (
