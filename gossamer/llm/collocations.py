@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ from gossamer.llm.shared import materialize, prepare
 LONGEST = 4
 #: Bits of a bitmap, as a power of two: 1 << 24 bits are 2 MB.
 BITS = 24
-#: Bytes of bucket counts in one row; a task's counts are 1 << BITS bytes.
+#: Bytes of bucket counts in one row; a task holds 4 << BITS bytes of counts.
 BLOCK = 1 << 16
 #: Distinct phrases that a task adds up before it hands them on.
 HELD = 200_000
@@ -65,6 +65,11 @@ def words_of(texts: list[bytes], groups: np.ndarray) -> tuple[pa.StringArray, np
     return words, np.cumsum(cut)[start] if len(start) else start, groups[np.searchsorted(ends, start, "right")]
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """64-bit hashes that are the same in every task."""
+    return hash_array(np.array(words, object), categorize=False)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit hashes."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +82,7 @@ class Counts:
     def __init__(self, bits: int, least: int, buckets: bool):
         self.phrases: dict[tuple[str, str], int] = {}
         self.least = least
-        self.buckets = np.zeros(1 << bits, np.uint8) if buckets else None
+        self.buckets = np.zeros(1 << bits, np.uint32) if buckets else None
 
     def add_phrases(self, keys: list[tuple[str, str]], counts: np.ndarray) -> None:
         held = self.phrases
@@ -85,9 +90,11 @@ class Counts:
             held[key] = held.get(key, 0) + n
 
     def add_buckets(self, hashes: np.ndarray) -> None:
-        """Counts stop at `least`, which is all that the bitmap asks."""
-        at, n = np.unique((hashes & np.uint64(len(self.buckets) - 1)).astype(np.int64), return_counts=True)
-        self.buckets[at] = np.minimum(self.buckets[at].astype(np.int64) + n, self.least)
+        np.add.at(self.buckets, (hashes & np.uint64(len(self.buckets) - 1)).astype(np.int64), np.uint32(1))
+
+    def block(self, at: int) -> np.ndarray:
+        """Counts from place `at`, cut at the least frequency or at 255, which is then the bitmap's bound."""
+        return np.minimum(self.buckets[at : at + BLOCK], min(self.least, 255)).astype(np.uint8)
 
 
 def _set(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
@@ -108,8 +115,7 @@ def count_chunk(texts: list[bytes], groups: np.ndarray, names: list[str], length
         return
     coded = words.dictionary_encode()
     code, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    salt = np.array([xxhash.xxh64_intdigest(g.encode(), 1) for g in names], np.uint64)[group]
-    word_hash = np.array([xxhash.xxh64_intdigest(w.encode()) for w in known], np.uint64)[code]
+    salt, word_hash = ~hashes_of(names)[group], hashes_of(known)[code]
 
     def hashes(k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the k words from each place, whether they are in one piece)."""
@@ -127,19 +133,21 @@ def count_chunk(texts: list[bytes], groups: np.ndarray, names: list[str], length
         shorter = _set(frequent, hashes(length - 1)[0])
         passed &= shorter[:-1] & shorter[1:]
     at = np.flatnonzero(passed)
-    if len(at):
-        # Phrases are told apart by their words, not by hashes.
-        order = np.lexsort((*(code[at + s] for s in reversed(range(length))), group[at]))
-        at = at[order]
-        differs = np.zeros(len(at), bool)
-        differs[0] = True
-        for column in (group[at], *(code[at + s] for s in range(length))):
-            differs[1:] |= column[1:] != column[:-1]
+    if length == 1:
+        each = np.bincount(group * len(known) + code)
+        found = np.flatnonzero(each)
+        out.add_phrases([(names[k // len(known)], known[k % len(known)]) for k in found.tolist()], each[found])
+    elif len(at):
+        # Phrases are told apart by their words; sorted by hash, equal ones lie side by side, but for shared hashes.
+        at = at[np.argsort(own[at])]
+        differs = np.ones(len(at), bool)
+        differs[1:] = group[at[1:]] != group[at[:-1]]
+        for s in range(length):
+            differs[1:] |= code[at[1:] + s] != code[at[:-1] + s]
         first = np.flatnonzero(differs)
-        counts = np.diff(np.append(first, len(at)))
         columns = [code[at[first] + s].tolist() for s in range(length)]
         keys = [(names[g], " ".join([known[c] for c in row])) for g, row in zip(group[at[first]].tolist(), zip(*columns))]
-        out.add_phrases(keys, counts)
+        out.add_phrases(keys, np.diff(np.append(first, len(at))))
     if out.buckets is not None:
         longer, whole = hashes(length + 1)
         if len(longer):
@@ -183,7 +191,7 @@ def _pass(docs: DataFrame, length: int, least: int, bits: int, bucket_bits: np.n
         yield from phrases()
         if more and out.buckets.any():
             for k in range(0, len(out.buckets), BLOCK):
-                block = out.buckets[k : k + BLOCK]
+                block = out.block(k)
                 if block.any():
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([k // BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["g", "phrase", "n", "block", "counts"])
 
@@ -212,7 +220,7 @@ def _bucket_bitmap(blocks: DataFrame, least: int, bits: int) -> np.ndarray:
         now, total = None, None
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "set"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= min(least, 255), bitorder="little").tobytes()], pa.binary())], names=["block", "set"])
 
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -235,12 +243,12 @@ def _phrase_bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
-            for g, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.array([xxhash.xxh64_intdigest(g.encode(), 1)], np.uint64)
-                for w in phrase.split(" "):
-                    h = _mix(h ^ np.uint64(xxhash.xxh64_intdigest(w.encode())))
-                k = int(h[0]) & ((1 << bits) - 1)
-                bitmap[k >> 3] |= 1 << (k & 7)
+            rows = [p.split(" ") for p in batch.column(1).to_pylist()]
+            h = ~hashes_of(batch.column(0).to_pylist())
+            for words in zip(*rows):  # phrases are of one length
+                h = _mix(h ^ hashes_of(list(words)))
+            at = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
         step = max(1, min(BLOCK, 1 << bits) // 8)
         for k in range(0, len(bitmap), step):
             if bitmap[k : k + step].any():
