@@ -5,7 +5,8 @@ with T tokens is split among n = ceil(T / capacity) windows: every piece is a
 partial partition (its size and n - 1 zeros); the two partial partitions with
 the largest spread are merged again and again, the largest load of the one
 with the smallest of the other, until one is left, whose n loads are nearly
-equal.  If any exceeds the capacity, n rises.  Only loads that are not zero are
+equal.  If any exceeds the capacity, n rises; where it does, the block's pieces are also tried in smaller parts of varied
+lengths, and the way with the fewest windows is taken.  Only loads that are not zero are
 held, so a block takes memory in proportion to its pieces, not to pieces times
 windows.
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from gossamer.llm.shared import prepare
 from gossamer.llm.tokens import tokenizer
 
+#: Parts of a piece that are tried, one after the other, where windows would be added.
+WAYS = (2, 4, 8)
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
 
 
@@ -97,6 +100,33 @@ def cut(sizes: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return doc, start, whole * (k + 1) // n - start
 
 
+def recut(sizes: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, length) of the parts of pieces, each cut `ways` times at most in shares that differ from piece to piece."""
+    k = np.arange(len(sizes))[:, None]
+    shares = np.cumsum(1 + (k * 37 + np.arange(ways) ** 2 * 53 + k * np.arange(ways) * 11) % 97, axis=1)
+    ends = sizes[:, None] * shares // shares[:, -1:]
+    lengths = np.diff(ends, axis=1, prepend=0).ravel()
+    return np.repeat(k.ravel(), ways)[lengths > 0], lengths[lengths > 0]
+
+
+def fitted(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, length, window, load of each window) of pieces that are cut further only where that saves windows.
+
+    Pieces of equal lengths may miss a window's capacity by a few tokens each time, whatever their order.
+    """
+    piece, lengths = np.arange(len(sizes)), sizes
+    part, loads = windows(sizes, capacity)
+    least = max(1, -(-int(sizes.sum()) // capacity))
+    for ways in WAYS:
+        if len(loads) == least:
+            break
+        finer, short = recut(sizes, ways)
+        again, less = windows(short, capacity)
+        if len(less) < len(loads):
+            piece, lengths, part, loads = finer, short, again, less
+    return piece, lengths, part, loads
+
+
 def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 4096, piece: int = 1024, block: int = 128, block_pieces: int = 65_536) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, padded_length, ids (little-endian unsigned 32-bit).
 
@@ -124,19 +154,20 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 4096, p
                     if not last:
                         break
                     to = len(length)
-                part, loads = windows(length[at:to], capacity)
-                order = np.lexsort((np.arange(to - at), part))
-                part, some = part[order], at + order
-                size = length[some]
+                piece, size, part, loads = fitted(length[at:to], capacity)
+                stop = np.cumsum(size)
+                within = stop - size - (np.cumsum(length[at:to]) - length[at:to])[piece]  # where a piece's part begins in it
+                order = np.lexsort((np.arange(len(size)), part))
+                part, some, size, within, stop = part[order], at + piece[order], size[order], within[order], stop[order] + begin
                 ahead = np.cumsum(size) - size
                 first = np.concatenate(([True], part[1:] != part[:-1]))
-                flat = ids[np.repeat(ends[some] - size - ahead, size) + np.arange(int(size.sum()))].astype("<i4", copy=False)
+                flat = ids[np.repeat(stop - size - ahead, size) + np.arange(int(size.sum()))].astype("<i4", copy=False)
                 bounds = np.concatenate(([0], np.cumsum(size) * 4)).astype(np.int32)
                 number, filled = np.cumsum(first) - 1, loads[part]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_id[some], mask=null[some]),
-                        pa.array(start[some]),
+                        pa.array(start[some] + within),
                         pa.array(size),
                         pa.array(whole[some]),
                         pa.array((partition << 33) + made + number),

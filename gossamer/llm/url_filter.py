@@ -94,13 +94,12 @@ class DigestArray:
         self.lengths, self.keys, self.bounds, self.verdicts = parts
         self.strings = raw[at:]
 
-    def probe(self, wanted: np.ndarray, candidates: list[bytes], found: list[tuple[bytes, int] | None]) -> None:
-        """Puts (string, verdict) of the rule that each candidate is; wanted are the candidates' keys."""
-        if not len(self.keys):
-            return
-        at = np.searchsorted(self.keys, wanted)
-        for k in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == wanted).tolist():
-            place = int(at[k])
+    def probe(self, wanted: np.ndarray, some: np.ndarray, candidates: list[bytes], found: list[tuple[bytes, int] | None]) -> None:
+        """Puts (string, verdict) of the rule that each candidate is; wanted are the candidates' keys, `some` those to be looked up here."""
+        own = wanted[some]
+        at = np.searchsorted(self.keys, own)
+        hits = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == own)
+        for k, place in zip(some[hits].tolist(), at[hits].tolist()):
             while place < len(self.keys) and self.keys[place] == wanted[k]:  # equal keys: the string decides
                 if (string := self.strings[self.bounds[place] : self.bounds[place + 1]].tobytes()) == candidates[k]:
                     found[k] = string, int(self.verdicts[place])
@@ -109,20 +108,26 @@ class DigestArray:
 
 
 class DigestArrays:
-    """All files of a folder; a batch is probed in those whose range of keys it meets."""
+    """All files of a folder, in the order of their keys; a candidate is probed in the one whose range its key meets."""
 
     def __init__(self, uri: str):
         files, path = filesystem(uri)
         names = sorted(f.base_name for f in files.get_file_info(FileSelector(path)) if f.base_name.endswith(".digests"))
-        self.arrays = [DigestArray(f"{uri}/{n}") for n in names]
+        self.arrays = sorted((a for a in (DigestArray(f"{uri}/{n}") for n in names) if len(a.keys)), key=lambda a: int(a.keys[0]))
+        self.firsts = np.array([a.keys[0] for a in self.arrays], np.uint64)
+        self.lasts = np.array([a.keys[-1] for a in self.arrays], np.uint64)
         self.lengths = sorted({n for a in self.arrays for n in a.lengths.tolist()})
         self.labels = max((a.labels for a in self.arrays), default=0)
 
     def probe(self, candidates: list[bytes]) -> list[tuple[bytes, int] | None]:
         found: list[tuple[bytes, int] | None] = [None] * len(candidates)
         wanted = np.fromiter((xxhash.xxh64_intdigest(c, SEED) for c in candidates), np.uint64, len(candidates))
-        for array in self.arrays:
-            array.probe(wanted, candidates, found)
+        if not self.arrays:
+            return found
+        order = np.argsort(wanted, kind="stable")
+        begins, ends = np.searchsorted(wanted[order], self.firsts), np.searchsorted(wanted[order], self.lasts, "right")
+        for k in np.flatnonzero(ends > begins).tolist():
+            self.arrays[k].probe(wanted, order[begins[k] : ends[k]], candidates, found)
         return found
 
 
@@ -159,8 +164,8 @@ def judge(arrays: DigestArrays, urls: list[str | None]) -> list[tuple[str, str,
     return [(host, path, *((best[k][0].replace(BETWEEN, b"", 1).decode(), ("allow", "block")[best[k][1]]) if k in best else (None, None))) for k, (host, path) in enumerate(split)]
 
 
-def build(spark: SparkSession, rules: DataFrame) -> str:
-    """Writes the arrays of a table (host, path, verdict) to the shared folder; returns the folder's URI."""
+def build(spark: SparkSession, rules: DataFrame, files: int | None = None) -> str:
+    """Writes the arrays of a table (host, path, verdict) to the shared folder; returns the folder's URI.  files: ranges of keys, Spark's number by default."""
     uri = scratch(prepare(spark), "url-digests")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +177,11 @@ def build(spark: SparkSession, rules: DataFrame) -> str:
         yield pa.RecordBatch.from_pydict({"n": [len(rows)]})
 
     known = rules.where("host <> ''").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    # Equal rules have equal keys and so meet in one file.
-    dealt = known.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).repartitionByRange(F.xxhash64("host", "path"))
+    lower = known.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    # Spark's xxhash64 of one string is XXH64 with SEED: the stored key.  Its sign is turned, so signed order is the keys' order;
+    # equal rules have equal keys and so meet in one file.
+    key = F.xxhash64(F.concat("host", F.lit(BETWEEN.decode()), "path")).bitwiseXOR(F.lit(-(1 << 63)))
+    dealt = lower.repartitionByRange(files, key) if files else lower.repartitionByRange(key)
     dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return uri
 
