@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions.randoms import random_int
+from gossamer.operators.blocked import Blocked, Stored
+from gossamer.session import materialize, prepare
 
 # --- index sets and special matrices
 
@@ -46,8 +50,6 @@ def ranked(rows: DataFrame, key: Column) -> DataFrame:
     Two levels: ranks within ranges of keys, and a running total of the ranges' sizes, so no task holds all ids.
     """
     ranged = rows.select("i", key.alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    from gossamer.session import materialize
-
     ranged = materialize(ranged, "ranged")  # the partition is data from here on
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
@@ -180,8 +182,10 @@ def fill(x: DataFrame, rows: DataFrame) -> DataFrame:
 # --- joins
 
 
-def spmv(a: DataFrame, x: DataFrame) -> DataFrame:
-    """y = a x; rows of a without entries are absent."""
+def spmv(a: DataFrame | Blocked | Stored, x: DataFrame) -> DataFrame:
+    """y = a x; rows of a without entries are absent.  A stored matrix stays where it is."""
+    if isinstance(a, (Blocked, Stored)):
+        return a.times(x)
     return a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
@@ -196,25 +200,59 @@ def spgemm_pattern(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", "j").join(b.select(F.col("i").alias("j"), F.col("j").alias("c")), "j").select("i", F.col("c").alias("j")).distinct()
 
 
-#: Rows of a pattern with more columns than this are restricted after their products are added up.
-WIDE = 1024
+#: Entries of a that are multiplied by one group of a restricted product, and products that are held at a time.
+GROUP_ENTRIES, HELD_PRODUCTS = 200_000, 2_000_000
 
 
-def spgemm_restricted(a: DataFrame, b: DataFrame, pattern: DataFrame) -> DataFrame:
+def spgemm_restricted(a: DataFrame, b: DataFrame, pattern: DataFrame, group_entries: int = GROUP_ENTRIES) -> DataFrame:
     """a b on a pattern, with explicit zeros.
 
-    An entry of a takes its row's pattern along (an array of at most WIDE columns), so a product outside it goes as soon as it
-    is made, before any sum or shuffle.  Rows with a wider pattern are multiplied whole and restricted afterwards.
+    Entries of a are dealt in groups of whole rows, and of parts of a row that has more than `group_entries`; so is the pattern, and a group gets
+    each row of b that its columns name once.  The group's task looks its products up among its sorted places of the pattern, so
+    no product is shuffled, and only sums of places of divided rows meet again.
     """
-    columns = pattern.groupBy("i").agg(F.count("*").alias("n"))
-    narrow = pattern.select("i", "j").join(columns.where(F.col("n") <= WIDE), "i", "left_semi").groupBy("i").agg(F.collect_list("j").alias("within"))
-    right = b.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("w"))
-    inside = a.join(narrow, "i").join(right, "j").where(F.array_contains("within", F.col("c")))
-    products = inside.groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    many = columns.where(F.col("n") > WIDE).select("i")
-    if not many.isEmpty():
-        products = products.unionByName(spgemm(a.join(many, "i", "left_semi"), b))
-    return restrict(products, pattern)
+    prepare(a.sparkSession)
+    n = a.count()
+    groups = max(1, -(-n // group_entries))
+    sizes = a.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > group_entries)
+    heavy = sizes.select("i", F.ceil(F.col("n") / group_entries).cast("long").alias("parts"))
+    own = F.pmod(F.xxhash64("i"), F.lit(groups))
+    part = F.pmod(F.xxhash64("j"), F.coalesce("parts", F.lit(1)))
+    number = lambda piece: own + F.lit(groups) * F.coalesce(piece, F.lit(0))
+    left = a.join(heavy, "i", "left").select(number(part).alias("g"), "i", "j", "v")
+    places = pattern.select("i", "j").join(heavy, "i", "left").select("i", "j", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("piece")).select(number(F.col("piece")).alias("g"), "i", "j")
+    right = left.select("g", "j").distinct().join(b.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("w")), "j")
+    right = right.select(F.col("g").alias("to"), F.col("j").alias("k"), F.col("c").alias("c"), F.col("w").alias("w"))  # none of the left side's columns
+    mine = left.withColumn("place", F.lit(False)).unionByName(places.select("g", "i", "j", F.lit(0.0).alias("v"), F.lit(True).alias("place")))
+
+    def run(mine: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, v, place = (mine.column(c).to_numpy() for c in ("i", "j", "v", "place"))
+        k, c, w = (right.column(x).to_numpy() for x in ("k", "c", "w"))
+        order = np.argsort(k, kind="stable")
+        k, c, w = k[order], c[order], w[order]
+        rows, row = np.unique(i, return_inverse=True)
+        columns, at = np.unique(np.concatenate((j[place], c)), return_inverse=True)
+        n_columns, n_places = max(1, len(columns)), int(place.sum())
+        keys, c = np.unique(row[place] * np.int64(n_columns) + at[:n_places]), at[n_places:]
+        sums = np.zeros(len(keys))
+        row, j, v = row[~place], j[~place], v[~place]
+        first, counts = np.searchsorted(k, j), np.searchsorted(k, j, "right") - np.searchsorted(k, j)
+        ends = np.cumsum(counts)
+        begin = 0
+        while begin < len(j) and len(keys):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HELD_PRODUCTS, "right")))
+            n = counts[begin:end]
+            entry = np.repeat(np.arange(begin, end), n)
+            of = first[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+            key = row[entry] * np.int64(n_columns) + c[of]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            inside = keys[found] == key
+            sums += np.bincount(found[inside], v[entry[inside]] * w[of[inside]], len(keys))
+            begin = end
+        return pa.table({"i": rows[keys // n_columns], "j": columns[keys % n_columns], "v": sums})
+
+    made = mine.groupBy("g").cogroup(right.groupBy("to")).applyInArrow(run, "i long, j long, v double")
+    return made.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def triple_product(p: DataFrame, a: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.dense import least_squares, modified_leja
 from gossamer.operators import algebra as al
+from gossamer.operators.blocked import Blocked, Stored
 from gossamer.operators.krylov_basis import arnoldi, powers, start_vector, tsqr
 from gossamer.plans.model import InverseOptions, InverseType
 from gossamer.session import materialize, prepare
@@ -94,7 +95,7 @@ def factors(roots: np.ndarray) -> list[tuple[float, float]]:
 class Applier:
     """Products with a matrix that cut the lineage now and then, and are counted."""
 
-    def __init__(self, a: DataFrame):
+    def __init__(self, a: DataFrame | Blocked | Stored):
         self.a, self.count = a, 0
 
     def __call__(self, x: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ class Applier:
         return materialize(y, "product") if self.count % CUT == 0 else y
 
 
-def apply_monomial(a: DataFrame, coefficients: np.ndarray, x: DataFrame) -> DataFrame:
+def apply_monomial(a: DataFrame | Blocked | Stored, coefficients: np.ndarray, x: DataFrame) -> DataFrame:
     """q(a) x by Horner's rule; leading zero coefficients are skipped."""
     order = max((k for k, c in enumerate(coefficients) if c != 0), default=0)
     times, y = Applier(a), al.combine(x, alpha=float(coefficients[order]))
@@ -112,7 +113,7 @@ def apply_monomial(a: DataFrame, coefficients: np.ndarray, x: DataFrame) -> Data
     return y
 
 
-def apply_newton(a: DataFrame, roots: np.ndarray, x: DataFrame, residual: bool = False) -> DataFrame:
+def apply_newton(a: DataFrame | Blocked | Stored, roots: np.ndarray, x: DataFrame, residual: bool = False) -> DataFrame:
     """q(a) x for the residual polynomial with the given roots, or (residual) the residual polynomial of x itself."""
     times, rest, total = Applier(a), x, al.combine(x, alpha=0.0)
     todo = factors(roots)
@@ -244,6 +245,23 @@ def solve_rows(i: np.ndarray, r: np.ndarray, j: np.ndarray, v: np.ndarray, kind:
     return rows[pattern // len(names)], names[pattern % len(names)], z
 
 
+def whole_rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], entries: int = SOLVE_ENTRIES) -> Iterator[list[np.ndarray]]:
+    """The named columns of whole rows (the first name), some `entries` entries at a time, from batches sorted by row."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in names])
+        n += batch.num_rows
+        if n >= entries:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last row may go on
+            if end:
+                yield [c[:end] for c in columns]
+            held, n = [[c[end:] for c in columns]], len(columns[0]) - end
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def row_solve(a: DataFrame, pattern: DataFrame, rhs: DataFrame, square: bool) -> DataFrame:
     """Row by row: z on the pattern's columns J with the least norm of z a(J, I) - rhs(I).
 
@@ -257,25 +275,9 @@ def row_solve(a: DataFrame, pattern: DataFrame, rhs: DataFrame, square: bool) ->
     names = ("i", "r", "j", "v", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        n = 0
-
-        def emit(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            columns = [np.concatenate(c) for c in zip(*held)]
-            end = len(columns[0]) if last else int(np.searchsorted(columns[0], columns[0][-1]))  # the last row may go on
-            if end:
-                i, j, z = solve_rows(*(c[:end] for c in columns), square)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(z)], names=["i", "j", "v"])
-            held, n = [[c[end:] for c in columns]], len(columns[0]) - end
-
-        for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in names])
-            n += batch.num_rows
-            if n >= SOLVE_ENTRIES:
-                yield from emit(False)
-        if n:
-            yield from emit(True)
+        for columns in whole_rows(batches, names):
+            i, j, z = solve_rows(*columns, square)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(z)], names=["i", "j", "v"])
 
     entries = need.select(*names).unionByName(own).unionByName(right)
     return entries.repartition("i").sortWithinPartitions("i").mapInArrow(run, "i long, j long, v double")
@@ -318,6 +320,7 @@ class ApproxInverse:
     scale: DataFrame | None = None
     matrix: DataFrame | None = None
     nnz: int | None = None
+    stored: Stored | None = None
 
     @classmethod
     def build(cls, a: DataFrame, rows: DataFrame, options: InverseOptions = InverseOptions(), coefficients: np.ndarray | None = None) -> ApproxInverse:
@@ -363,11 +366,13 @@ class ApproxInverse:
         return self
 
     def apply(self, x: DataFrame) -> DataFrame:
+        """q(a) x; the matrix is stored in blocks from its second product on."""
+        self.stored = self.stored or Stored(self.matrix if self.matrix is not None else self.a)
         if self.matrix is not None:
-            return al.fill(al.spmv(self.matrix, x), x)
+            return al.fill(al.spmv(self.stored, x), x)
         if self.scale is not None:
             x = x.join(self.scale.withColumnRenamed("x", "s"), "i").select("i", (F.col("x") * F.col("s")).alias("x"))
-        return (apply_newton if self.options.type in NEWTON else apply_monomial)(self.a, self.coefficients, x)
+        return (apply_newton if self.options.type in NEWTON else apply_monomial)(self.stored, self.coefficients, x)
 
     def matvecs(self) -> int:
         """Products that one application takes; zero coefficients and roots are skipped."""

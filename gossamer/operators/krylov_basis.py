@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.functions.dense import triangle
+from gossamer.functions.dense import least_squares, triangle
 from gossamer.functions.randoms import gaussian
 from gossamer.operators.algebra import norm2, spmv
 from gossamer.session import materialize, prepare
 
 TINY = 1e-14
+#: Triangles that are stacked in one step.
+FAN = 32
 #: Below this share of its square the norm of what is left of a vector is measured, not taken from the sums.
 CANCELLED = 1e-10
 
@@ -28,7 +30,8 @@ def start_vector(rows: DataFrame, salt: str = "start") -> DataFrame:
 def tsqr(columns: DataFrame, names: list[str]) -> np.ndarray:
     """R, with a positive diagonal, of the QR factorisation of the named columns.
 
-    Each partition is reduced to a small triangle as its batches come; the triangles are stacked in the order of the partitions.
+    Each partition is reduced to a small triangle as its batches come; FAN neighbouring triangles are stacked and reduced at a time,
+    in the order of the partitions, until one is left.
     """
     prepare(columns.sparkSession)
     n = len(names)
@@ -42,8 +45,16 @@ def tsqr(columns: DataFrame, names: list[str]) -> np.ndarray:
         if len(r):
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [r.ravel().tolist()]})
 
-    blocks = columns.select(*names).mapInPandas(triangles, "part int, r array<double>").orderBy("part").collect()
-    return triangle(np.vstack([np.array(b.r).reshape(n, n) for b in blocks] or [np.zeros((n, n))]))
+    def stacked(group: pd.DataFrame) -> pd.DataFrame:
+        r = triangle(np.vstack([np.array(x).reshape(n, n) for x in group.sort_values("part")["r"]]))
+        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN], "r": [r.ravel().tolist()]})
+
+    kinds = "part int, r array<double>"
+    blocks, parts = columns.select(*names).mapInPandas(triangles, kinds), columns.rdd.getNumPartitions()
+    while parts > 1:
+        blocks, parts = blocks.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(stacked, kinds), -(-parts // FAN)
+    got = blocks.collect()  # one triangle at most
+    return triangle(np.array(got[0].r).reshape(n, n) if got else np.zeros((n, n)))
 
 
 def wide(vectors: list[DataFrame]) -> DataFrame:
@@ -86,7 +97,7 @@ class Basis:
         value = lambda k, c: float(got[k][c]) if k in got else 0.0
         self.gram[n - 1, :] = self.gram[:, n - 1] = [value(k, "g") for k in range(n)]
         d, square = np.array([value(k, "d") for k in range(n)]), value(n, "d")
-        parts = np.linalg.solve(self.gram, d)
+        parts = least_squares(self.gram, d)  # also of a singular one
         left = square - 2 * parts @ d + parts @ self.gram @ parts
         rest = total([w, *self.vectors], [1.0, *(-parts)])
         if left <= CANCELLED * square:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gossamer.functions.randoms import uniform
 from gossamer.operators import algebra as al
 from gossamer.operators.luby import pmisr, pmisr_on_sum
+from gossamer.operators.ordered import WIDTH, first_of_all
 from gossamer.operators.strength import strength
 from gossamer.plans.model import C_POINT, F_POINT, InverseOptions, InverseType, SplittingType
 from gossamer.session import materialize
@@ -68,31 +69,12 @@ def diag_dom(a: DataFrame, cf: DataFrame, threshold: float) -> DataFrame:
         cf = materialize(cf.join(chosen, "i", "left").select("i", F.when(F.col("swap"), F.lit(C_POINT)).otherwise(F.col("cf")).alias("cf")), "markers")
 
 
-def _first_of_all(reach: DataFrame) -> DataFrame:
-    """(i): the nodes that a pass in the order of ids would choose, if a chosen node shuts out all later ones that reach a place of its own.
-
-    reach: (i, k), the places k of each node i.  Each round chooses the nodes that come before all undecided nodes with a place
-    in common, and drops those that meet a chosen one; an edge goes with its node, so rounds shrink.  Their number is the
-    longest chain of ids that wait for each other: logarithmic for scattered ids, up to the number of nodes for a path in order.
-    """
-    chosen: list[DataFrame] = []
-    reach = materialize(reach, "reach")
-    while not reach.isEmpty():
-        least = reach.groupBy("k").agg(F.min("i").alias("least"))
-        won = materialize(reach.join(least, "k").groupBy("i").agg(F.min("least").alias("least")).where("i = least").select("i"), "chosen")
-        taken = reach.join(won, "i", "left_semi").select("k").distinct()
-        gone = reach.join(taken, "k", "left_semi").select("i").distinct()
-        chosen.append(won)
-        reach = materialize(reach.join(gone, "i", "left_anti"), "reach")
-    return reduce(DataFrame.unionByName, chosen) if chosen else reach.select("i")
-
-
-def aggregate(pattern: DataFrame, rows: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
+def aggregate(pattern: DataFrame, rows: DataFrame, boundary: DataFrame | None = None, width: int = WIDTH, counted: list[str] | None = None) -> DataFrame:
     """(i, cf, aggregate): the sequential three-step aggregation; an aggregate's id is its root, rows without neighbours are F and have none (null).
 
     pattern is symmetric.  The steps are those of a pass over the rows in order, run as rounds over all rows at once: a row is a
     root if it and its neighbours meet no earlier root or a root's neighbour; then rows beside covered ones follow the first of these; what is left
-    makes roots of its own, which take their later neighbours.  boundary: (i, cf) fixed beforehand.
+    makes roots of its own, which take their later neighbours.  boundary: (i, cf) fixed beforehand.  width, counted: as in `ordered`.
     """
     edges = materialize(pattern.select("i", "j"), "edges")
     nodes = materialize(rows.select("i"), "rows")
@@ -103,7 +85,7 @@ def aggregate(pattern: DataFrame, rows: DataFrame, boundary: DataFrame | None =
     beside_fixed = edges.join(fixed.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct()
     may = free.join(beside_fixed, "i", "left_anti")
     closed = edges.select("i", F.col("j").alias("k")).unionByName(nodes.select("i", F.col("i").alias("k")))
-    roots = materialize(_first_of_all(closed.join(may, "i", "left_semi")), "roots")
+    roots = materialize(first_of_all(closed.join(may, "i", "left_semi"), width, counted), "roots")
     covered = roots.select("i", F.lit(C_POINT).alias("cf"), F.col("i").alias("aggregate")).unionByName(edges.join(roots, "i", "left_semi").select(F.col("j").alias("i"), F.lit(F_POINT).alias("cf"), F.col("i").alias("aggregate")))
     covered = materialize(covered, "covered")
     rest = free.join(covered, "i", "left_anti")
@@ -112,8 +94,8 @@ def aggregate(pattern: DataFrame, rows: DataFrame, boundary: DataFrame | None =
     left = materialize(rest.join(follow, "i", "left_anti"), "left")
     between = materialize(edges.join(left, "i", "left_semi").join(left.select(F.col("i").alias("j")), "j", "left_semi"), "between")
     # A remnant root shuts out its neighbours alone: its places are its edges, each by its two ends.
-    ends = between.select("i", F.struct(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).alias("k")).unionByName(left.select("i", F.struct(F.col("i").alias("a"), F.col("i").alias("b")).alias("k")))
-    remnants = materialize(_first_of_all(ends), "remnants")
+    ends = between.select("i", F.concat_ws(",", F.least("i", "j"), F.greatest("i", "j")).alias("k")).unionByName(left.select("i", F.concat_ws(",", "i", "i").alias("k")))
+    remnants = materialize(first_of_all(ends, width, counted), "remnants")
     taken = between.join(remnants, "i", "left_semi").groupBy(F.col("j").alias("i")).agg(F.min("i").alias("aggregate"))
     parts = [
         alone, covered, follow, fixed.select("i", "cf", F.lit(None).cast("long").alias("aggregate")),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions.dense import pseudo_inverse
 from gossamer.operators import algebra as al
-from gossamer.operators.inverse import row_solve
+from gossamer.operators.inverse import row_solve, whole_rows
 from gossamer.session import materialize, prepare
 
 #: Fixed value: Richardson iterations that smooth a near-nullspace vector.
@@ -53,13 +55,13 @@ def restrictor(z: DataFrame, coarse: DataFrame) -> DataFrame:
 
 def improve_w(w: DataFrame, aff: DataFrame, afc: DataFrame, d: DataFrame) -> DataFrame:
     """W - D (aff W + afc) on W's pattern; D is the diagonal (i, x) of the approximate inverse."""
-    step = al.scale_rows(al.axpy(al.spgemm(aff, w), 1.0, afc), d)
+    step = al.scale_rows(al.axpy(al.spgemm_restricted(aff, w, w), 1.0, al.restrict_to(afc, w)), d)
     return al.restrict_add(w, step, -1.0)
 
 
 def improve_z(z: DataFrame, aff: DataFrame, acf: DataFrame, d: DataFrame) -> DataFrame:
     """Z - (Z aff + acf) D on Z's pattern."""
-    step = al.scale_cols(al.axpy(al.spgemm(z, aff), 1.0, acf), d)
+    step = al.scale_cols(al.axpy(al.spgemm_restricted(z, aff, z), 1.0, al.restrict_to(acf, z)), d)
     return al.restrict_add(z, step, -1.0)
 
 
@@ -77,11 +79,19 @@ def constrain(w: DataFrame, coarse_vectors: DataFrame, fine_vectors: DataFrame)
         step = F.when(F.col("s") > 0, (F.col("t") - F.col("g")) / F.col("s")).otherwise(0.0)
         return joined.select("i", "j", "v", "b").join(sums.select("i", step.alias("c")), "i").select("i", "j", (F.col("v") - F.col("c") * F.col("b")[0]).alias("v"))
 
-    def rows(group: pd.DataFrame) -> pd.DataFrame:
-        b, f, v = np.stack(group["b"].to_numpy()), np.asarray(group["f"].iloc[0]), group["v"].to_numpy()
-        return pd.DataFrame({"i": group["i"], "j": group["j"], "v": v - b @ (pseudo_inverse(b.T @ b).T @ (v @ b - f))})
+    names = ("i", "j", "v", "b", "f")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, j, v, b, f in whole_rows(batches, names):
+            starts = np.flatnonzero(np.diff(i, prepend=i[0] - 1))
+            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(i))))
+            b, f = np.stack(b), np.stack(f[starts])
+            gram = np.add.reduceat(b[:, :, None] * b[:, None, :], starts)
+            miss = np.add.reduceat(v[:, None] * b, starts) - f
+            step = np.stack([pseudo_inverse(g).T @ m for g, m in zip(gram, miss)])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v - (b * step[own]).sum(axis=1))], names=["i", "j", "v"])
 
-    return joined.select("i", "j", "v", "b", "f").groupBy("i").applyInPandas(rows, "i long, j long, v double")
+    return joined.select(*names).repartition("i").sortWithinPartitions("i").mapInArrow(run, "i long, j long, v double")
 
 
 def constant_vector(rows: DataFrame) -> DataFrame:

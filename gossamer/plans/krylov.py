@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.dense import least_squares
 from gossamer.operators import algebra as al
+from gossamer.operators.blocked import Stored
 from gossamer.operators.krylov_basis import Basis, total
 from gossamer.session import materialize
 
@@ -33,13 +34,13 @@ class Solve:
         return self.x.sparkSession.createDataFrame(list(enumerate(map(float, self.residuals))), "iteration int, residual double")
 
 
-def residual(a: DataFrame, b: DataFrame, x: DataFrame) -> DataFrame:
+def residual(a: DataFrame | Stored, b: DataFrame, x: DataFrame) -> DataFrame:
     return al.combine(b, (-1.0, al.spmv(a, x)))
 
 
 def richardson(a: DataFrame, b: DataFrame, apply: Apply, rtol: float = 1e-10, max_it: int = 100, x: DataFrame | None = None) -> Solve:
     """x += M r with the unpreconditioned norm."""
-    x = x if x is not None else b.select("i", F.lit(0.0).alias("x"))
+    a, x = Stored(a), x if x is not None else b.select("i", F.lit(0.0).alias("x"))
     r = materialize(residual(a, b, x), "residual")
     norms = [al.norm2(r)]
     while norms[-1] > rtol * norms[0] and len(norms) <= max_it:
@@ -51,7 +52,7 @@ def richardson(a: DataFrame, b: DataFrame, apply: Apply, rtol: float = 1e-10, ma
 
 def gmres(a: DataFrame, b: DataFrame, apply: Apply, rtol: float = 1e-10, max_it: int = 100, restart: int = 30, x: DataFrame | None = None) -> Solve:
     """Right-preconditioned: the least norm of b - a (x + M V y) over the basis V."""
-    x = x if x is not None else b.select("i", F.lit(0.0).alias("x"))
+    a, x = Stored(a), x if x is not None else b.select("i", F.lit(0.0).alias("x"))
     r = materialize(residual(a, b, x), "residual")
     norms = [al.norm2(r)]
     first = norms[0]

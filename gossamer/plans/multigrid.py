@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gossamer.operators import algebra as al
 from gossamer.operators import transfer as tr
+from gossamer.operators.blocked import Stored
 from gossamer.operators.inverse import ApproxInverse
 from gossamer.operators.krylov_basis import start_vector
 from gossamer.operators.partition import active_parts
@@ -40,6 +41,12 @@ class Level:
     groups: list[tuple[str, int]] = field(default_factory=list)
     n_fine: int = 0
     counts: dict[str, int] = field(default_factory=dict)
+    stored: dict[str, Stored] = field(default_factory=dict)
+
+    def times(self, name: str, x: DataFrame) -> DataFrame:
+        """The product of one of the level's matrices, which stays where it is from the second product on."""
+        self.stored[name] = self.stored.get(name) or Stored(getattr(self, name))
+        return al.spmv(self.stored[name], x)
 
 
 def fingerprint(a: DataFrame) -> tuple[int, int]:
@@ -241,18 +248,18 @@ class Hierarchy:
                 if level.inv_full is not None:
                     x = materialize(level.inv_full.apply(r), "smooth")
                     guesses.append(x)
-                    r = al.combine(r, (-1.0, al.spmv(level.a, x)))
+                    r = al.combine(r, (-1.0, level.times("a", x)))
                 else:
                     guesses.append(None)
-                right.append(materialize(al.fill(al.spmv(level.r, r), self.levels[len(right)].rows), "rhs"))
+                right.append(materialize(al.fill(level.times("r", r), self.levels[len(right)].rows), "rhs"))
             x = materialize(self.coarse.apply(right[-1]), "solution")
             for level, rhs, guess in zip(self.levels[-2::-1], right[-2::-1], guesses[::-1]):
-                x = al.fill(al.spmv(level.p, x), level.rows)
+                x = al.fill(level.times("p", x), level.rows)
                 if guess is not None:
                     x = al.combine(x, (1.0, guess))
                 x = materialize(x, "solution")
                 if level.inv_full is not None:
-                    x = materialize(al.combine(x, (1.0, level.inv_full.apply(al.combine(rhs, (-1.0, al.spmv(level.a, x)))))), "solution")
+                    x = materialize(al.combine(x, (1.0, level.inv_full.apply(al.combine(rhs, (-1.0, level.times("a", x)))))), "solution")
                     continue
                 for kind, times in level.groups:
                     x = smooth(level, rhs, x, kind, times)
@@ -297,9 +304,9 @@ class Hierarchy:
 def smooth(level: Level, b: DataFrame, x: DataFrame, kind: str, times: int) -> DataFrame:
     """times F (or C) smooths: x_f += inv(a_ff) (b_f - a_fc x_c - a_ff x_f); the part from the other points is computed once."""
     own = fine_set(level.cf) if kind == "f" else coarse_set(level.cf)
-    inner, outer, inverse = (level.aff, level.afc, level.inv_ff) if kind == "f" else (level.acc, level.acf, level.inv_cc)
-    rhs = materialize(al.combine(al.gather(b, own), (-1.0, al.spmv(outer, x))), "rhs")
+    inner, outer, inverse = ("aff", "afc", level.inv_ff) if kind == "f" else ("acc", "acf", level.inv_cc)
+    rhs = materialize(al.combine(al.gather(b, own), (-1.0, level.times(outer, x))), "rhs")
     part = al.gather(x, own)
     for _ in range(times):
-        part = materialize(al.combine(part, (1.0, inverse.apply(al.combine(rhs, (-1.0, al.spmv(inner, part)))))), "smooth")
+        part = materialize(al.combine(part, (1.0, inverse.apply(al.combine(rhs, (-1.0, level.times(inner, part)))))), "smooth")
     return al.scatter(x, part)

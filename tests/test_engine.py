@@ -12,6 +12,7 @@ from gossamer.operators import inverse as inv
 from gossamer.operators import luby
 from gossamer.operators import splitting as sp
 from gossamer.operators import transfer as tr
+from gossamer.operators.ordered import first_of_all
 from gossamer.operators.krylov_basis import arnoldi, powers, start_vector, tsqr, wide
 from gossamer.operators.strength import strength
 from gossamer.plans import krylov
@@ -481,16 +482,117 @@ def test_logs_are_read_back():
     assert facts(text) == [("rows", 1, 64.0), ("fine", 1, 40.0), ("coarse", 1, 24.0), ("rows", 2, 24.0), ("grid complexity", None, 1.375), ("reuse storage complexity", None, 0.0), ("proc agglom time", None, 0.25), ("setup time", None, 1.5), ("residual", 0, 8.0), ("residual", 1, 1.5e-11)]
 
 
-def test_restricted_products_go_before_the_shuffle(spark, monkeypatch):
-    """The filter on the pattern stands below the sum's exchange; rows with wide patterns take the other way to the same result."""
+def test_restricted_products_stay_in_their_tasks(spark):
+    """One way for rows of any width: products are looked up where they are made; rows of many entries are divided."""
     a = g.upwind_diffusion_2d(spark, 8)
-    pattern = a.select("i", "j").union(al.identity(al.index_set(spark, 64)).select("i", "j")).distinct()
+    hub = spark.range(64).selectExpr("0L as i", "id as j", "1.0D as v")
+    a = al.axpy(a, 1.0, hub)
+    pattern = a.select("i", "j").union(al.identity(al.index_set(spark, 70)).select("i", "j")).distinct()
     whole = {(r.i, r.j): r.v for r in al.spgemm(a, a).collect()}
     expected = {(r.i, r.j): whole.get((r.i, r.j), 0.0) for r in pattern.collect()}
-    for bound in (1024, 4, 0):
-        monkeypatch.setattr(al, "WIDE", bound)
-        got = {(r.i, r.j): r.v for r in al.spgemm_restricted(a, a, pattern).collect()}
-        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
-    monkeypatch.undo()
+    for entries in (200_000, 20, 1):
+        got = [(r.i, r.j, r.v) for r in al.spgemm_restricted(a, a, pattern, entries).collect()]
+        assert len(got) == len(expected) and all(abs(v - expected[i, j]) < 1e-9 for i, j, v in got)
     plan = al.spgemm_restricted(a, a, pattern)._jdf.queryExecution().optimizedPlan().toString()
-    assert "array_contains(within" in plan and plan.index("array_contains(within") > plan.index("Aggregate [i")
+    top = plan[: plan.index("FlatMapCoGroups")]
+    assert " Join " not in top and "collect_list" not in plan and "array_contains" not in plan  # what is summed up are places of the pattern
+    assert al.spgemm_restricted(a, a, pattern.limit(0)).collect() == [] and al.spgemm_restricted(a.limit(0), a, pattern.limit(3)).count() == 3
+
+
+def chosen_by_hand(reach):
+    taken, chosen = set(), []
+    for i in sorted(reach):
+        if not taken & set(reach[i]):
+            chosen.append(i)
+            taken |= set(reach[i])
+    return chosen
+
+
+@pytest.mark.parametrize("width, kind", [(3, "long"), (11, "string"), (1000, "long")])
+def test_ordered_pass(spark, width, kind):
+    """Random places, chains, and lines of a grid, which share too many places for tables."""
+    rng = np.random.default_rng(width)
+    chain = {i: [i, i + 1, i + 2] for i in range(150)}
+    far = {i: sorted({int(x) for x in rng.integers(0, 60, 3)}) for i in range(0, 40, 2)}
+    grid = {i: [i, *(i + d for d in (1, -1, 9, -9))] for i in range(54)}
+    jumps = {i: [i // 40, 100 + i % 3] if i % 7 == 0 else [1000 + i, 1001 + i] for i in range(120)}
+    for reach in (chain, far, grid, jumps):
+        df = spark.createDataFrame([(i, k) for i, places in reach.items() for k in places], "i long, k long").selectExpr("i", f"cast(k as {kind}) as k")
+        assert sorted(r.i for r in first_of_all(df, width).collect()) == chosen_by_hand(reach)
+    assert first_of_all(spark.createDataFrame([], f"i long, k {kind}"), width).collect() == []
+
+
+def test_aggregation_of_a_long_path_takes_few_rounds(spark):
+    n, counted = 100_000, []
+    pattern = spark.range(n - 1).selectExpr("explode(array(struct(id as i, id + 1 as j), struct(id + 1 as i, id as j))) as e").select("e.*")
+    got = {r.i: (r.cf, r.aggregate) for r in sp.aggregate(pattern, al.index_set(spark, n), width=256, counted=counted).collect()}
+    cf, root = aggregation_by_hand([[j for j in (i - 1, i + 1) if 0 <= j < n] for i in range(n)], n)
+    assert got == {i: (cf[i], root[i]) for i in range(n)}
+    assert len(counted) <= 2 * (2 + 2 * 2)  # a pass, two steps up and down over the tables of 391 blocks, and a pass; then the remnants
+
+
+def test_frontier_shrinks(spark, monkeypatch):
+    """Each round of an independent set reads fewer edges."""
+    a = g.laplacian_2d(spark, 20)
+    pattern, kept = a.where("i <> j").select("i", "j"), []
+    between = luby._between
+    monkeypatch.setattr(luby, "_between", lambda edges, active: kept.append(between(edges, active)) or kept[-1])
+    luby.pmisr(pattern, al.index_set(spark, 400)).count()
+    sizes = [e.count() for e in kept]
+    assert sizes[0] == pattern.count() and sizes[-1] == 0 and all(x > y or not x for x, y in zip(sizes, sizes[1:]))
+
+
+def test_independent_set_on_sum(spark):
+    """Directed edges, in both directions or one, give what their union gives."""
+    rng = np.random.default_rng(3)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 50, (90, 2)) if a != b} | {(1, 2), (2, 1)}
+    a = spark.createDataFrame([(i, j, 1.0) for i, j in edges], "i long, j long, v double")
+    both = spark.createDataFrame(sorted(edges | {(j, i) for i, j in edges}), "i long, j long")
+    measures = spark.range(50).selectExpr("id as i", "case when id % 9 = 0 then null else cast((id * 37) % 11 as double) end as m")
+    state = measures.selectExpr("i", "coalesce(m, double('infinity')) as m", "m is null as assigned", "case when m is null then 1 else 0 end as cf")
+    expected = {(r.i, 1 if r.cf == 0 else r.cf) for r in luby.rounds(both, state).collect()}
+    assert {(r.i, r.cf) for r in luby.pmisr_on_sum(a, measures).collect()} == expected
+
+
+@pytest.mark.parametrize("parts", [1, 5, 70])
+def test_tsqr_as_a_tree(spark, parts):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(parts)
+    assert np.allclose(tsqr(df, ["a", "b", "c"]), triangle(x))
+    assert np.allclose(tsqr(df.limit(0), ["a", "b", "c"]), 0)
+
+
+def test_constraints_of_several_vectors(spark):
+    """Every row meets all its vectors, changed least: batches of whole rows against one row at a time."""
+    rng = np.random.default_rng(5)
+    w = {(i, j): float(rng.normal()) for i in range(25) for j in rng.choice(12, 1 + i % 5, replace=False).tolist()}
+    bc, bf = rng.normal(size=(12, 2)), rng.normal(size=(25, 2))
+    vectors = lambda b: spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(b)], "i long, xs array<double>")
+    got = {(r.i, r.j): r.v for r in tr.constrain(spark.createDataFrame([(i, j, v) for (i, j), v in w.items()], "i long, j long, v double"), vectors(bc), vectors(bf)).collect()}
+    for i in range(25):
+        columns = [j for r, j in w if r == i]
+        b, v = bc[columns], np.array([w[i, j] for j in columns])
+        expected = v - b @ (np.linalg.pinv(b.T @ b) @ (v @ b - bf[i]))
+        assert np.allclose([got[i, j] for j in columns], expected)
+
+
+def test_blocked_products_do_not_move_the_matrix(spark):
+    """Only the vector and the values that blocks need are exchanged; a grid in order needs few from outside."""
+    from gossamer.operators.blocked import Blocked, Stored
+
+    a, rng = g.upwind_diffusion_2d(spark, 20), np.random.default_rng(6)
+    x = spark.createDataFrame([(i, float(rng.normal())) for i in range(400) if i % 5], "i long, x double")  # values are missing
+    expected = {r.i: r.x for r in al.spmv(a, x).collect()}
+    blocked = Blocked(a, 10)
+    got = {r.i: r.x for r in al.spmv(blocked, x).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-12 for i in got)
+    assert blocked.halo().count() == 2 * 9 * 20  # a line before and one after each block of two lines
+    plan = al.spmv(blocked, x)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "blocks_" in line)
+    assert "Bucketed: true" in lines[scan] and "Exchange" not in "".join(lines[scan - 3 : scan])
+    stored = Stored(a)
+    for _ in range(3):
+        assert {r.i for r in al.spmv(stored, x).collect()} == expected.keys()
+    assert stored.blocked is not None and al.spmv(Blocked(a.limit(0)), x).collect() == []
