@@ -60,6 +60,18 @@ class Chain:
             terms.append(f"SELECT i, j, v FROM {last}")
         return self.add(f"SELECT m.i, m.j, sum(m.v) * any_value(d.d) AS v FROM ({' UNION ALL '.join(terms)}) m JOIN {d} d ON d.i = m.j GROUP BY m.i, m.j"), pattern, d
 
+    def arnoldi(self, a: str, rows: str, order: int) -> tuple[str, str, str]:
+        """(the polynomial of the diagonally scaled matrix with the least residual, on a's pattern; that pattern; the inverse diagonal)."""
+        d = self.add(f"SELECT i, 1.0 / v AS d FROM {a} WHERE i = j")
+        s = self.add(f"SELECT a.i, a.j, a.v * d AS v FROM {a} a JOIN {d} d ON d.i = a.i")
+        pattern = self.add(f"SELECT i, j FROM {s} UNION SELECT i, i FROM {rows}")
+        plain, _, _ = self.fitted(s, self.start_vector(rows), rows, order)
+        terms, last = [f"SELECT i, i AS j, (SELECT c_0 FROM {plain}) AS v FROM {rows}"], s
+        for k in range(1, order + 1):
+            last = self.spgemm(last, s, pattern) if k > 1 else s
+            terms.append(f"SELECT i, j, (SELECT c_{k} FROM {plain}) * v AS v FROM {last}")
+        return self.add(f"SELECT m.i, m.j, sum(m.v) * any_value(d.d) AS v FROM ({' UNION ALL '.join(terms)}) m JOIN {d} d ON d.i = m.j GROUP BY m.i, m.j"), pattern, d
+
     # --- least squares over a few vectors
 
     def gram(self, vectors: list[str], b: str) -> str:
@@ -241,7 +253,7 @@ class Chain:
 class Level:
     """One level of a hierarchy in SQL: names of its relations."""
 
-    def __init__(self, c: Chain, a: str, rows: str, rounds: int, order: int = 2, strong: float = 0.5, local: int = 0, coarse_limit: int = 6):
+    def __init__(self, c: Chain, a: str, rows: str, rounds: int, order: int = 2, strong: float = 0.5, local: int = 0, coarse_limit: int = 6, krylov: bool = False):
         self.c, self.a, self.rows = c, a, rows
         self.cf = c.ddc(a, c.pmisr(c.strong(a, strong), rows, rounds), 0.1)
         self.fine, self.coarse = c.add(f"SELECT i FROM {self.cf} WHERE cf = -1"), c.add(f"SELECT i FROM {self.cf} WHERE cf = 1")
@@ -249,7 +261,7 @@ class Level:
         self.goes_on = f"(SELECT count(*) FROM {self.coarse}) > {coarse_limit} AND (SELECT count(*) FROM {self.fine}) > 0"
         f, g = self.fine, self.coarse
         self.aff, self.afc, self.acf, self.acc = c.block(a, f, f), c.block(a, f, g), c.block(a, g, f), c.block(a, g, g)
-        self.inv, self.pattern, _ = c.neumann(self.aff, f, order)
+        self.inv, self.pattern, _ = (c.arnoldi if krylov else c.neumann)(self.aff, f, order)
         if local:
             z = c.local_exact(self.aff, local_pattern(c, self.aff, self.acf), c.add(f"SELECT i, j, -v AS v FROM {self.acf}"), local)
         else:

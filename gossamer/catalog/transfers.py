@@ -12,10 +12,10 @@ from gossamer.operators import splitting as sp
 from gossamer.operators import transfer as tr
 from gossamer.operators.partition import active_parts
 from gossamer.plans import krylov
-from gossamer.plans.log import log_lines, parse_logs
+from gossamer.plans.log import log_lines, parse_logs, parse_stages
 from gossamer.plans.model import InverseOptions, InverseType, Options, SplittingType, ZType
 from gossamer.plans.multigrid import Hierarchy, Level, smooth
-from gossamer.session import fresh, materialize, prepare
+from gossamer.session import fresh, materialize, prepare, read_table
 from gossamer.sources import generators as g
 from gossamer.sources import tables as t
 
@@ -257,6 +257,7 @@ _build("M3_auto_truncation", lambda h, a, b: h.stats_df(), _truncated_sql(), aut
 _build("M5_single_level", lambda h, a, b: h.stats_df(), _stats_sql(1), max_levels=1)
 _build("M9_full_smoothing", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, full=True), full_smoothing_up_and_down=True, max_levels=2)
 _build("M10_cycle", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(3))
+_build("M10_krylov_cycle", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, krylov=True), inverse_type=InverseType.ARNOLDI, diag_scale_polys=True, max_levels=2)
 _build("M12_apply_preconditioner", lambda h, a, b: rounded(h.apply(b)), _cycle_sql(2, schedule="fc"), smooth_type="fc", max_levels=2)
 _build("M16_timers", lambda h, a, b: h.timers.df(a.sparkSession).selectExpr("name", "seconds > 0 as used"), _TIMERS, max_levels=2)
 _build("A10_complexities", lambda h, a, b: a.sparkSession.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(h.complexities().items())], "name string, value double"), _complexity_sql(3))
@@ -275,6 +276,16 @@ def _log_sql(levels):
     return f"WITH s AS ({stats.sql(body)}) {every} UNION ALL {complexity}"
 
 
+@query("S9_stages", "SELECT o_orderpriority AS stage, count(*) AS solves, round(sum(o_totalprice), 2) AS seconds FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def s9_stages(spark, sf_dir):
+    """Orders as solves, priorities as the stages of a log view, written as a log and read back."""
+    path = fresh(spark, "log")
+    stages = read_table(spark, sf_dir, "orders").where("o_orderpriority is not null").groupBy(F.col("o_orderpriority").alias("stage")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s"))
+    text = F.concat(F.lit("--- Event Stage 7: "), "stage", F.lit("\n\nMatMult 5 1.0 1.0e+00 1.0\nKSPSolve "), F.col("n").cast("string"), F.lit(" 1.0 "), F.col("s").cast("decimal(20,2)").cast("string"), F.lit(" 1.0 0.00e+00\n"))
+    stages.select(text.alias("value")).write.text(path)
+    return parse_stages(spark, path).select("stage", "solves", "seconds")
+
+
 _build("S9_statistics", _logged, _log_sql(3))
 _build("R2_hierarchy_local", lambda h, a, b: h.stats_df(), _stats_sql(2, local=40), z_type=ZType.LAIR, max_levels=2)
 
@@ -361,6 +372,32 @@ _solve("K1_richardson", krylov.richardson, _richardson_sql(2, 3), 3, max_levels=
 _solve("K2_gmres", krylov.gmres, _gmres_sql(2, 3), 3, max_levels=2)
 
 
+def _restarted_sql(restart, its):
+    """Jacobi-preconditioned: each cycle's residuals from the least-squares problems over its own products."""
+    c = Chain()
+    d, r = c.add("SELECT i, 1.0 / v AS d FROM D WHERE i = j"), c.add("SELECT i, x FROM x")
+    left = [r]
+    while len(left) <= its:
+        vectors = []
+        for m in range(1, min(restart, its + 1 - len(left)) + 1):
+            scaled_last = c.add(f"SELECT x.i, x.x * d.d AS x FROM {vectors[-1] if vectors else r} x JOIN {d} d ON d.i = x.i")
+            vectors.append(c.spmv("D", scaled_last, "part_rows"))
+            row = c.solve(vectors, r)
+            left.append(c.combine(("1.0", r), *((f"(SELECT -c_{k} FROM {row})", v) for k, v in enumerate(vectors))))
+            if m == restart:
+                break
+        r = left[-1]
+    return c.sql(_history([f"(SELECT sqrt(sum(x * x)) FROM {v})" for v in left]))
+
+
+@query("K2_gmres_restarted", _restarted_sql(3, 7))
+def k2_restarted(spark, sf_dir):
+    """Three cycles of at most three steps."""
+    a, rows = dominant(spark, sf_dir)
+    m = inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.JACOBI))
+    return rounded(krylov.gmres(materialize(a, "system"), t.part_sizes(spark, sf_dir), m.apply, max_it=7, restart=3).history())
+
+
 @query("K3_residual_history", with_base("SELECT 0 AS iteration, round(sqrt(sum(x * x)), 6) AS residual FROM x UNION ALL SELECT 1, round(sqrt(sum((x - coalesce(s, 0.0)) ** 2)), 6) FROM x LEFT JOIN (SELECT D.i, sum(v * d * x) AS s FROM D JOIN Jinv ON Jinv.i = D.j JOIN x ON x.i = D.j GROUP BY D.i) t ON t.i = x.i"))
 def k3(spark, sf_dir):
     a, rows = dominant(spark, sf_dir)
@@ -368,14 +405,19 @@ def k3(spark, sf_dir):
     return rounded(krylov.richardson(a, t.part_sizes(spark, sf_dir), m.apply, max_it=1).history())
 
 
-def _factors_sql(sweeps):
-    c = Chain()
+def _factors(c, sweeps):
     low = c.add("SELECT D.i, D.j, D.v / p.v AS v FROM D JOIN D p ON p.i = D.j AND p.j = D.j WHERE D.i > D.j")
     up = c.add("SELECT i, j, v FROM D WHERE i <= j")
     for _ in range(sweeps):
         rest = c.add(f"SELECT D.i, D.j, D.v - coalesce(s, 0.0) AS v FROM D LEFT JOIN (SELECT l.i, u.j, sum(l.v * u.v) AS s FROM {low} l JOIN {up} u ON u.i = l.j WHERE l.j < least(l.i, u.j) GROUP BY 1, 2) t ON t.i = D.i AND t.j = D.j")
         low = c.add(f"SELECT r.i, r.j, r.v / p.v AS v FROM {rest} r JOIN {up} p ON p.i = r.j AND p.j = r.j WHERE r.i > r.j")
         up = c.add(f"SELECT i, j, v FROM {rest} WHERE i <= j")
+    return low, up
+
+
+def _factors_sql(sweeps):
+    c = Chain()
+    low, up = _factors(c, sweeps)
     return c.sql(f"SELECT 'L' AS factor, i, j, round(v, 10) AS v FROM {low} UNION ALL SELECT 'L', i, i, 1.0 FROM part_rows UNION ALL SELECT 'U', i, j, round(v, 8) FROM {up}")
 
 
@@ -400,6 +442,29 @@ def k4(spark, sf_dir):
     return rounded(lower.select(F.lit("L").alias("factor"), "i", "j", "v"), 10).unionByName(rounded(upper.select(F.lit("U").alias("factor"), "i", "j", "v"), 8))
 
 
+def _factor_solve_sql(sweeps, order):
+    c = Chain()
+    low, up = _factors(c, sweeps)
+    b = x = c.add("SELECT i, x FROM x")
+    for _ in range(order):
+        x = c.combine(("1.0", b), ("-1.0", c.spmv(low, x, "part_rows")))
+    d, off = c.add(f"SELECT i, 1.0 / v AS d FROM {up} WHERE i = j"), c.add(f"SELECT i, j, v FROM {up} WHERE i <> j")
+    scaled_by = lambda v: c.add(f"SELECT v.i, v.x * d.d AS x FROM {v} v JOIN {d} d ON d.i = v.i")
+    b = x = scaled_by(x)
+    for _ in range(order):
+        x = c.combine(("1.0", b), ("-1.0", scaled_by(c.spmv(off, x, "part_rows"))))
+    return c.sql(f"SELECT i, round(x, 9) AS x FROM {x}")
+
+
+@query("K4_factor_solve", _factor_solve_sql(2, 4))
+def k4_solve(spark, sf_dir):
+    """Both incomplete factors solved by Neumann polynomials of order 4."""
+    a, rows = dominant(spark, sf_dir)
+    lower, upper = krylov.incomplete_factors(a, rows, 2)
+    apply = krylov.factor_solver(materialize(lower, "lower"), upper, rows, InverseOptions(InverseType.NEUMANN, 4, matrix_free=True))
+    return rounded(apply(t.part_sizes(spark, sf_dir)), 9)
+
+
 #: Short enough that a step is dominant by far, so that solves take a few iterations.
 _DT = 0.001
 

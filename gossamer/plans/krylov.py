@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from gossamer.functions.dense import least_squares
 from gossamer.operators import algebra as al
 from gossamer.operators.blocked import Stored
+from gossamer.operators.inverse import ApproxInverse
 from gossamer.operators.krylov_basis import Basis, total
+from gossamer.plans.model import InverseOptions
 from gossamer.session import materialize
 
 Apply = Callable[[DataFrame], DataFrame]
@@ -98,6 +100,27 @@ def incomplete_factors(a: DataFrame, rows: DataFrame, sweeps: int = 5) -> tuple[
     return l.unionByName(al.identity(rows)), u
 
 
+def triangular_solve(t: DataFrame, rows: DataFrame, b: DataFrame) -> DataFrame:
+    """The exact solution of t x = b for a triangular t: the Neumann series of its scaled strict part, which ends.
+
+    Each term loses the rows that depend on none of the last one's, so there are as many products as level sets, less one.
+    """
+    d = al.diagonal(t, rows).select("i", (1 / F.col("x")).alias("x"))
+    strict = Stored(materialize(al.scale_rows(t.where("i <> j"), d).select("i", "j", (-F.col("v")).alias("v")), "strict"))
+    terms = [materialize(b.join(d.withColumnRenamed("x", "d"), "i").select("i", (F.col("x") * F.col("d")).alias("x")), "term")]
+    while not (following := materialize(al.spmv(strict, terms[-1]), "term")).isEmpty():
+        terms.append(following)
+    return materialize(al.fill(total(terms, [1.0] * len(terms)), rows), "solution")
+
+
+def factor_solver(lower: DataFrame, upper: DataFrame, rows: DataFrame, inverse: InverseOptions | None = None) -> Apply:
+    """r -> u^-1 l^-1 r as a preconditioner, by each factor's approximate inverse, or exactly."""
+    if inverse is None:
+        return lambda r: triangular_solve(upper, rows, triangular_solve(lower, rows, r))
+    l, u = (ApproxInverse.build(t, rows, inverse) for t in (lower, upper))
+    return lambda r: u.apply(materialize(l.apply(r), "lower"))
+
+
 def backward_euler(a: DataFrame, rows: DataFrame, x: DataFrame, dt: float, steps: int, solve: Callable[[DataFrame, DataFrame], Solve]) -> DataFrame:
     """x after steps of (I + dt a) x_new = x."""
     system = materialize(al.axpy(al.identity(rows), dt, a), "system")

@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from gossamer.plans.multigrid import Hierarchy
 from gossamer.session import prepare
@@ -63,3 +64,20 @@ def parse_logs(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"run": run, "kind": [k for k, _, _ in found], "level": pd.array([x for _, x, _ in found], "Int32"), "value": [v for _, _, v in found]})
 
     return prepare(spark).read.text(path, wholetext=True).selectExpr("_metadata.file_name as run", "value").mapInPandas(read, SCHEMA)
+
+
+#: Heads of stages and rows of solves in a log view.
+_STAGE = r"---\s+Event Stage\s+\d+:\s+(.+)"
+_SOLVE = r"^KSPSolve\s+(\d+)\s+\S+\s+(\S+)"
+
+
+def parse_stages(spark: SparkSession, path: str) -> DataFrame:
+    """(run, stage, solves, seconds) of the rows of solves in each log file's stages; a row before any head has no stage.
+
+    A row belongs to the nearest head above it: a window over the numbered lines of each file.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("run"), F.posexplode(F.split("value", "\\r?\n")).alias("at", "line"))
+    head = F.trim(F.regexp_extract("line", _STAGE, 1))
+    above = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scoped = lines.withColumn("stage", F.last(F.when(head != "", head), ignorenulls=True).over(above)).where(F.col("line").rlike(_SOLVE))
+    return scoped.select("run", "stage", F.regexp_extract("line", _SOLVE, 1).cast("long").alias("solves"), F.regexp_extract("line", _SOLVE, 2).try_cast("double").alias("seconds"))

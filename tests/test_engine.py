@@ -596,3 +596,27 @@ def test_blocked_products_do_not_move_the_matrix(spark):
     for _ in range(3):
         assert {r.i for r in al.spmv(stored, x).collect()} == expected.keys()
     assert stored.blocked is not None and al.spmv(Blocked(a.limit(0)), x).collect() == []
+
+
+def test_solves_with_incomplete_factors(spark):
+    """Exact triangular solves against NumPy, and as a preconditioner of a grid's matrix."""
+    a, rows = g.upwind_diffusion_2d(spark, 6), al.index_set(spark, 36)
+    lower, upper = krylov.incomplete_factors(a, rows, 8)
+    lo, up = dense(lower, 36), dense(upper, 36)
+    b = spark.createDataFrame([(i, float(1 + i % 5)) for i in range(36)], "i long, x double")
+    rhs = np.array([1.0 + i % 5 for i in range(36)])
+    assert np.allclose(vector(krylov.triangular_solve(lower, rows, b), 36), np.linalg.solve(lo, rhs))
+    assert np.allclose(vector(krylov.factor_solver(lower, upper, rows)(b), 36), np.linalg.solve(up, np.linalg.solve(lo, rhs)))
+    near = krylov.factor_solver(lower, upper, rows, InverseOptions(InverseType.JACOBI))(b)
+    assert np.allclose(vector(near, 36), rhs / np.diag(up))
+    solved = krylov.gmres(a, b, krylov.factor_solver(lower, upper, rows, InverseOptions(InverseType.NEUMANN, 10, matrix_free=True)), rtol=1e-8, max_it=20, restart=4)
+    assert solved.converged and np.allclose(dense(a, 36) @ vector(solved.x, 36), rhs, atol=1e-6)
+
+
+def test_stages_of_a_log(spark, tmp_path):
+    from gossamer.plans.log import parse_stages
+
+    (tmp_path / "a.log").write_text("KSPSolve 1 1.0 0.5 1.0\n--- Event Stage 0: Main Stage\n\nMatMult 3 1.0 9.9 1.0\r\nKSPSolve              12 1.0 1.25e-01 1.0 2.0\n--- Event Stage 1: Second solve \nPCSetUp 1 1.0 2.0 1.0\nKSPSolve 3 1.0 n/a 1.0\n")
+    (tmp_path / "b.log").write_text("nothing\n--- Event Stage 4: alone")
+    got = sorted(map(tuple, parse_stages(spark, str(tmp_path)).collect()), key=str)
+    assert got == [("a.log", "Main Stage", 12, 0.125), ("a.log", "Second solve", 3, None), ("a.log", None, 1, 0.5)]
