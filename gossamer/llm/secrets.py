@@ -7,16 +7,19 @@ ids; `hex`, long runs of lower-case hexadecimal digits.
 Battery: each maximal token of 20 or more base64-like characters is given the
 encoding of the smallest alphabet that holds it (ENCODINGS), but for one
 separator in twelve characters; none is left out beforehand.  Its null hypothesis is an ordinary token: words run together, with
-capitals, numbers, separators or slashes between them.  Three statistics are
-compared with what such tokens of that length and encoding give: the surprise
-of the letters under language's shares, the number of runs of character class
+capitals, numbers, separators or slashes between them.  Four statistics are
+compared with what such tokens of that length and encoding give: chi-squared
+over the alphabet, the surprise of the letters under language's shares, the number of runs of character class
 (in letters of one case: of vowels and others), and the serial correlation of
 neighbouring symbols.  Their z scores are added up with the encoding's weights
-(Stouffer), and a token that isn't even over its alphabet (chi-squared, 1 %) or
+(Stouffer), and a token that isn't even over its alphabet at all (chi-squared, 1 %) or
 runs on in order has p = 1.  So have digits alone, which ordinary numbers may
 be.  The nulls were calibrated on words of the test documents and of English
 joined in fifteen ways; tests/llm/test_battery.py holds recall and false
-discoveries of each encoding.
+discoveries of each encoding.  A token with separators is one hypothesis as a
+whole, and each of its parts of 20 letters and digits or more another, so a key
+behind a path is found by itself; hexadecimal digits in groups, as in UUIDs,
+are tested without their hyphens.
 The different tokens of a document (a repeated one counts once) are judged
 together by a weighted Benjamini-Hochberg step: weights grow with the length,
 as short tokens tell less, and are 1 on average; the expected share of false
@@ -57,32 +60,34 @@ class Encoding(NamedTuple):
 
     alike: their mean serial correlation.  change: their share of neighbours of different class; classes are digits, upper-case,
     lower-case and other characters, or (of one case alone) vowels and others, where random tokens change less often, not more.
-    weights of the z scores of letters, runs and serial correlation; spread: the standard deviation of their sum under the null.
+    uneven: what chi-squared over the alphabet exceeds its degrees of freedom by, for each character of an ordinary token.
+    weights of the z scores of letters, runs, serial correlation and chi-squared; spread: the standard deviation of their sum under the null.
     """
 
     name: str
     alphabet: str
     change: float
     alike: float
-    weights: tuple[float, float, float]
+    weights: tuple[float, float, float, float]
     spread: float
+    uneven: float
     vowels: bool = False
 
 
 #: Encodings from the smallest alphabet up.
 ENCODINGS = (
-    Encoding("digits", _DIGITS, 0.0, 0.0, (0.0, 0.0, 0.0), 1.0),
-    Encoding("hex", _DIGITS + "abcdef", 0.25, 0.30, (0.5, 1.0, 0.8), 1.0),
-    Encoding("hex", _DIGITS + "ABCDEF", 0.25, 0.30, (0.5, 1.0, 0.8), 1.0),
-    Encoding("lower", _LOWER, 0.62, 0.0, (1.0, 1.0, 0.0), 1.0, True),
-    Encoding("upper", _UPPER, 0.62, 0.0, (1.0, 1.0, 0.0), 1.0, True),
-    Encoding("base32", _UPPER + "234567", 0.17, 0.25, (1.5, 0.6, 0.5), 1.0),
-    Encoding("lower36", _DIGITS + _LOWER, 0.20, 0.40, (1.0, 1.0, 0.5), 1.0),
-    Encoding("upper36", _DIGITS + _UPPER, 0.20, 0.40, (1.0, 1.0, 0.5), 1.0),
-    Encoding("alphanumeric", _UPPER + _LOWER + _DIGITS, 0.30, 0.25, (1.0, 1.0, 0.5), 1.1),
-    Encoding("base64", _UPPER + _LOWER + _DIGITS + "+/", 0.30, 0.25, (1.0, 1.0, 0.5), 1.0),
-    Encoding("base64url", _UPPER + _LOWER + _DIGITS + "-_", 0.30, 0.25, (1.0, 1.0, 0.5), 1.0),
-    Encoding("mixed", _UPPER + _LOWER + _DIGITS + "+/-_", 0.35, 0.25, (1.0, 1.0, 0.5), 1.0),
+    Encoding("digits", _DIGITS, 0.0, 0.0, (0.0, 0.0, 0.0, 0.0), 1.0, 0.0),
+    Encoding("hex", _DIGITS + "abcdef", 0.25, 0.30, (0.5, 1.0, 0.8, 1.0), 1.0, 0.9),
+    Encoding("hex", _DIGITS + "ABCDEF", 0.25, 0.30, (0.5, 1.0, 0.8, 1.0), 1.0, 0.9),
+    Encoding("lower", _LOWER, 0.62, 0.0, (1.0, 1.0, 0.0, 0.3), 1.0, 0.7, True),
+    Encoding("upper", _UPPER, 0.62, 0.0, (1.0, 1.0, 0.0, 0.3), 1.0, 0.7, True),
+    Encoding("base32", _UPPER + "234567", 0.17, 0.25, (1.5, 0.6, 0.5, 0.3), 1.0, 1.1),
+    Encoding("lower36", _DIGITS + _LOWER, 0.20, 0.40, (1.0, 1.0, 0.5, 0.3), 1.0, 1.2),
+    Encoding("upper36", _DIGITS + _UPPER, 0.20, 0.40, (1.0, 1.0, 0.5, 0.3), 1.0, 1.2),
+    Encoding("alphanumeric", _UPPER + _LOWER + _DIGITS, 0.30, 0.25, (1.0, 1.0, 0.5, 0.3), 1.1, 2.4),
+    Encoding("base64", _UPPER + _LOWER + _DIGITS + "+/", 0.30, 0.25, (1.0, 1.0, 0.5, 0.3), 1.0, 2.4),
+    Encoding("base64url", _UPPER + _LOWER + _DIGITS + "-_", 0.30, 0.25, (1.0, 1.0, 0.5, 0.3), 1.0, 2.4),
+    Encoding("mixed", _UPPER + _LOWER + _DIGITS + "+/-_", 0.35, 0.25, (1.0, 1.0, 0.5, 0.3), 1.0, 2.4),
 )
 #: Per cent of the letters A to Z in written language; rare ones count as 0.8, as names and abbreviations have them.
 _LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.8, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.8, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.8, 2.0, 0.8)
@@ -94,6 +99,19 @@ _VOWEL[[ord(c) for c in "aeiouyAEIOUY"]] = 1
 
 
 _WITHOUT = str.maketrans("", "", "+/-_")
+_HEX_SETS = [frozenset(e.alphabet) for e in ENCODINGS if e.name == "hex"]
+#: A token's parts between separators, if they are tokens themselves.
+_PART = re.compile(r"[A-Za-z0-9]{20,}")
+
+
+def hypotheses(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, string) of what is tested: the tokens, and the parts between separators of a token that has any."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        out.append((m.start(), m.end(), m[0]))
+        body = m[0].rstrip("=")
+        out += [(m.start() + p.start(), m.start() + p.end(), p[0]) for p in _PART.finditer(body) if len(p[0]) < len(body)]
+    return out
 
 
 def encoding_of(token: str) -> int | None:
@@ -120,7 +138,8 @@ def randomness(token: str) -> tuple[float, float, float, float]:
     """(z of the letters' shares, z of runs, z of serial correlation, p value under the null of ordinary tokens); high z and low p mean randomness."""
     body = token.rstrip("=")
     plain = body.translate(_WITHOUT)
-    if len(body) - len(plain) <= len(body) // 12:  # a few separators don't widen the alphabet
+    # A few separators don't widen the alphabet, nor do those of hexadecimal digits in groups.
+    if len(body) - len(plain) <= len(body) // (8 if any(set(plain) <= h for h in _HEX_SETS) else 12):
         body = plain
     kind = encoding_of(body)
     if kind is None or len(body) < 2 or not any(ENCODINGS[kind].weights):
@@ -143,7 +162,9 @@ def randomness(token: str) -> tuple[float, float, float, float]:
     # A token must be even (the 99th percentile of chi-squared, by Wilson and Hilferty) and not go on as it began (alphabets in order).
     free = k - 1
     even = chi <= free * (1 - 2 / (9 * free) + 2.326 * math.sqrt(2 / (9 * free))) ** 3 and serial * math.sqrt(n) < 3.09
-    z = sum(w * x for w, x in zip(known.weights, (z_letters, z_runs, z_serial))) / math.sqrt(sum(w * w for w in known.weights)) / known.spread
+    # Under the null chi-squared is the larger, by `uneven` for each character.
+    z_even = (free + n * known.uneven - chi) / math.sqrt(2 * free + 4 * n * known.uneven)
+    z = sum(w * x for w, x in zip(known.weights, (z_letters, z_runs, z_serial, z_even))) / math.sqrt(sum(w * w for w in known.weights)) / known.spread
     return z_letters, z_runs, z_serial, 0.5 * math.erfc(z / math.sqrt(2)) if even else 1.0
 
 
@@ -169,9 +190,9 @@ def spans_of(text: str, rate: float = 0.01) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         spans.update((m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18)
     spans.update((m.start(), 2, m.end()) for m in _HEX.finditer(text))
-    tokens = list(_TOKEN.finditer(text))
-    if tokens:
-        spans.update((m.start(), 3, m.end()) for m, found in zip(tokens, discoveries([m[0] for m in tokens], rate)) if found)
+    tested = hypotheses(text)
+    if tested:
+        spans.update((start, 3, end) for (start, end, _), found in zip(tested, discoveries([t for _, _, t in tested], rate)) if found)
     return sorted(spans)
 
 
