@@ -499,6 +499,27 @@ def test_restricted_products_stay_in_their_tasks(spark):
     assert al.spgemm_restricted(a, a, pattern.limit(0)).collect() == [] and al.spgemm_restricted(a.limit(0), a, pattern.limit(3)).count() == 3
 
 
+def test_groups_of_products_hold_neighbours(spark):
+    """A group's rows are neighbours, so copies of a matrix are multiplied apart, and each row of the other factor goes to few groups."""
+    one = [(r.i, r.j, r.v) for r in g.upwind_diffusion_2d(spark, 10).collect()]
+    a = spark.createDataFrame([(i + 100 * c, j + 100 * c, v) for c in range(12) for i, j, v in one], "i long, j long, v double").repartition(4)
+    numbered, groups, divided = al.row_groups(a, 400)
+    moved = numbered(a).select("g", "j").distinct().count()
+    assert groups > 10 and not divided and moved < 2 * 1200
+    whole = {(r.i, r.j): r.v for r in al.product(a, a, scale=2.0, plus=al.identity(al.index_set(spark, 1201)), group_entries=400).collect()}
+    by_hand = {(k, k): 1.0 for k in range(1201)}
+    for i, k, v in one:
+        for k2, j, w in one:
+            if k2 == k:
+                for c in range(12):
+                    by_hand[i + 100 * c, j + 100 * c] = by_hand.get((i + 100 * c, j + 100 * c), 0.0) + 2 * v * w
+    assert whole.keys() == by_hand.keys() and all(abs(whole[k] - v) < 1e-9 for k, v in by_hand.items())
+    expected = {(i, j) for (i, j), v in whole.items() if i < 100 and (i == j or abs(v) >= 0.2 * max(abs(w) for (r, _), w in whole.items() if r == i))}
+    for entries in (200, 3):  # also of divided rows
+        block, unit = a.where("i < 100"), al.identity(al.index_set(spark, 100))
+        assert {(r.i, r.j) for r in al.product(block, block, scale=2.0, plus=unit, least=0.2, group_entries=entries).collect()} == expected
+
+
 def chosen_by_hand(reach):
     taken, chosen = set(), []
     for i in sorted(reach):
