@@ -520,6 +520,22 @@ def test_groups_of_products_hold_neighbours(spark):
         assert {(r.i, r.j) for r in al.product(block, block, scale=2.0, plus=unit, least=0.2, group_entries=entries).collect()} == expected
 
 
+def test_rows_of_many_shapes_are_solved_in_a_few_stacks(monkeypatch):
+    """Least squares of rows with equal numbers of unknowns share a stack, whatever their numbers of equations; also a deficient one."""
+    rng, stacks, rows, expected = np.random.default_rng(3), [], [], {}
+    monkeypatch.setattr(inv, "solve_stack", lambda *a, f=inv.solve_stack: stacks.append(len(a[0])) or f(*a))
+    for i in range(50):
+        a = rng.normal(size=(4, 6 + i))
+        if i == 7:
+            a[1] = 2 * a[0]
+        columns = np.arange(6 + i)
+        expected[i] = np.linalg.lstsq(a.T, (columns == 1) * 1.0, rcond=None)[0]
+        rows += [(i, r, j, a[r, j], 0) for r in range(4) for j in columns] + [(i, r, r, 0.0, 1) for r in range(4)] + [(i, 1, 1, 1.0, 2)]
+    i, j, z = inv.solve_rows(*(np.array(c) for c in zip(*rows)), False)
+    assert stacks == [50] and np.allclose(z, np.concatenate([expected[k] for k in range(50)]), atol=1e-10)
+    assert i.tolist() == np.repeat(range(50), 4).tolist() and j.tolist() == [0, 1, 2, 3] * 50
+
+
 def chosen_by_hand(reach):
     taken, chosen = set(), []
     for i in sorted(reach):
