@@ -657,3 +657,38 @@ def test_stages_of_a_log(spark, tmp_path):
     (tmp_path / "b.log").write_text("nothing\n--- Event Stage 4: alone")
     got = sorted(map(tuple, parse_stages(spark, str(tmp_path)).collect()), key=str)
     assert got == [("a.log", "Main Stage", 12, 0.125), ("a.log", "Second solve", 3, None), ("a.log", None, 1, 0.5)]
+
+
+def test_neumann_polynomials_write_no_matrix(spark, grid, monkeypatch):
+    """Applied by products with the matrix itself: setup writes the diagonal alone, and the polynomial is that of the scaled matrix."""
+    a, rows, d = grid
+    written, save = [], inv.materialize
+    monkeypatch.setattr(inv, "materialize", lambda df, tag: written.append(df.columns) or save(df, tag))
+    m = inv.ApproxInverse.build(a, rows, InverseOptions(InverseType.NEUMANN, 4, matrix_free=True))
+    assert written == [["i", "x"]]
+    x = spark.createDataFrame([(i, float(1 + i % 5)) for i in range(36)], "i long, x double")
+    n, rhs = np.eye(36) - d / np.diag(d)[:, None], np.array([1.0 + i % 5 for i in range(36)])
+    expected = sum(np.linalg.matrix_power(n, k) @ (rhs / np.diag(d)) for k in range(5))
+    assert np.allclose(vector(m.apply(x), 36), expected) and m.matvecs() == 4
+    assert m.stored.blocked is not None and all("j" not in columns for columns in written)
+
+
+def test_blocks_are_large_where_there_are_enough(spark, monkeypatch):
+    """A block of few entries needs nearly all values; blocks are as many as cores, or of the given size beyond that."""
+    from gossamer.operators import blocked
+
+    a, cores = g.upwind_diffusion_2d(spark, 20), spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(blocked, "SMALL_ENTRIES", 10)
+    assert blocked.Blocked(a).blocks == cores
+    monkeypatch.setattr(blocked, "BLOCK_ENTRIES", 100)
+    assert blocked.Blocked(a).blocks == -(-a.count() // 100)
+
+
+def test_iterations_from_zero_start_without_a_product(spark, grid, monkeypatch):
+    a, rows, d = grid
+    b = spark.createDataFrame([(i, float(1 + i % 5)) for i in range(36)], "i long, x double")
+    rhs, m, products = np.array([1.0 + i % 5 for i in range(36)]), inv.jacobi(a, rows, weighted=False), []
+    plain = al.spmv
+    monkeypatch.setattr(krylov.al, "spmv", lambda a, x: products.append(type(a).__name__) or plain(a, x))
+    got = krylov.richardson(a, b, lambda r: plain(m, r), max_it=1)
+    assert products.count("Stored") == 1 and np.isclose(got.residuals[1], np.linalg.norm(rhs - d @ (rhs / np.diag(d))))
