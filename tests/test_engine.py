@@ -692,3 +692,20 @@ def test_iterations_from_zero_start_without_a_product(spark, grid, monkeypatch):
     monkeypatch.setattr(krylov.al, "spmv", lambda a, x: products.append(type(a).__name__) or plain(a, x))
     got = krylov.richardson(a, b, lambda r: plain(m, r), max_it=1)
     assert products.count("Stored") == 1 and np.isclose(got.residuals[1], np.linalg.norm(rhs - d @ (rhs / np.diag(d))))
+
+
+def test_time_steps_share_one_stored_system(spark, grid, monkeypatch):
+    """Steps and their preconditioner take products with the same blocks."""
+    from gossamer.operators import blocked
+
+    a, rows, d = grid
+    made, build = [], blocked.Blocked
+    monkeypatch.setattr(blocked, "Blocked", lambda m: made.append(1) or build(m))
+
+    def solver(system):
+        m = inv.ApproxInverse.build(system.a, rows, InverseOptions(InverseType.NEUMANN, 2, matrix_free=True), stored=system)
+        return lambda b: krylov.richardson(system, b, m.apply, max_it=2)
+
+    got = krylov.backward_euler(a, rows, rows.select("i", F.lit(1.0).alias("x")), 1e-4, 2, solver)
+    expected = np.linalg.solve(np.linalg.matrix_power(np.eye(36) + 1e-4 * d, 2), np.ones(36))
+    assert np.allclose(vector(got, 36), expected, atol=1e-6) and len(made) == 1
