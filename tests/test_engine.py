@@ -709,3 +709,18 @@ def test_time_steps_share_one_stored_system(spark, grid, monkeypatch):
     got = krylov.backward_euler(a, rows, rows.select("i", F.lit(1.0).alias("x")), 1e-4, 2, solver)
     expected = np.linalg.solve(np.linalg.matrix_power(np.eye(36) + 1e-4 * d, 2), np.ones(36))
     assert np.allclose(vector(got, 36), expected, atol=1e-6) and len(made) == 1
+
+
+def test_distance_two_is_made_once(spark, grid, monkeypatch):
+    """Repeated places go in one exchange, and the degrees and rounds read a written pattern."""
+    a, rows, d = grid
+    s = strength(a, 0.25, symmetrize=False, square=True)
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+    off = np.abs(d) * (1 - np.eye(36))
+    one = ((off >= 0.25 * off.max(axis=1, keepdims=True)) & (d != 0) & ~np.eye(36, dtype=bool)).astype(int)
+    assert {(r.i, r.j) for r in s.collect()} == {(i, j) for i, j in zip(*np.nonzero(one + one.T @ one)) if i != j}
+    written, save = [], sp.materialize
+    monkeypatch.setattr(sp, "materialize", lambda df, tag: written.append(tag) or save(df, tag))
+    sp.compute_cf_splitting(a, rows, strong_threshold=0.25, splitting=SplittingType.PMIS_DIST2)
+    assert "strong" in written
