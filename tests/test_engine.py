@@ -724,3 +724,18 @@ def test_distance_two_is_made_once(spark, grid, monkeypatch):
     monkeypatch.setattr(sp, "materialize", lambda df, tag: written.append(tag) or save(df, tag))
     sp.compute_cf_splitting(a, rows, strong_threshold=0.25, splitting=SplittingType.PMIS_DIST2)
     assert "strong" in written
+
+
+def test_exact_solves_decide_ties_as_their_equations_do():
+    """z_2 is exactly a hundredth of z_1; whether it reaches 0.01 z_1 follows the equations' quotients, whatever the order of the unknowns."""
+    rng = np.random.default_rng(0)
+    n = 2000
+    q, off, d = rng.integers(1, 51, n) * 1.0, rng.integers(3, 13, n) * 1.0, rng.integers(300, 1200, n) * 1.0
+    wanted = q / d * off / (100 * off) >= 0.01 * (q / d)
+    for one, two in ((0, 1), (1, 0)):
+        dense, rhs = np.zeros((n, 2, 2)), np.zeros((n, 2))
+        dense[:, one, one], dense[:, two, two], dense[:, two, one], rhs[:, one] = d, 100 * off, -off, q
+        z = inv.solve_stack(dense, rhs, True)
+        assert np.array_equal(z[:, two] >= 0.01 * z[:, one], wanted)
+    dense = np.array([[[1.0, 2.0], [3.0, 1.0]]])  # not dominant: left as solved
+    assert np.allclose(inv.solve_stack(dense, np.array([[5.0, 5.0]]), True), [[1.0, 2.0]])
