@@ -739,3 +739,26 @@ def test_exact_solves_decide_ties_as_their_equations_do():
         assert np.array_equal(z[:, two] >= 0.01 * z[:, one], wanted)
     dense = np.array([[[1.0, 2.0], [3.0, 1.0]]])  # not dominant: left as solved
     assert np.allclose(inv.solve_stack(dense, np.array([[5.0, 5.0]]), True), [[1.0, 2.0]])
+
+
+def test_assembled_polynomials_need_no_pattern_of_their_own(spark, grid, monkeypatch):
+    """The last truncated product takes its places from the terms before it, for rows in pieces too; I - a moves the diagonal alone."""
+    a, rows, full = grid
+    n, c = len(full), np.array([0.5, -2.0, 3.0])
+    mask = (full != 0) | np.eye(n, dtype=bool)
+    wanted = np.where(mask, 0.5 * np.eye(n) - 2 * full + 3 * full @ full, 0)
+    written = []
+    monkeypatch.setattr(inv, "materialize", lambda df, tag: written.append(tag) or df)
+    got = inv.assemble_monomial(a, rows, c, 1)
+    assert "pattern" not in written
+    assert np.allclose(dense(got, n), wanted) and got.count() == mask.sum()
+    plus = a.select("i", "j", (-2.0 * F.col("v")).alias("v")).unionByName(al.identity(rows, 0.5))
+    pieces = al.product(a, a, scale=3.0, plus=plus, on_plus=True, group_entries=2)
+    assert np.allclose(dense(pieces, n), wanted) and pieces.count() == mask.sum()
+    lacking = a.where("not (i = j and i < 3)")
+    bare = full.copy()
+    bare[range(3), range(3)] = 0
+    minus = al.identity_minus(lacking, rows)
+    assert np.allclose(dense(minus, n), np.eye(n) - bare)
+    assert minus.where("i <> j")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    assert al.pattern_with_diagonal(lacking, rows).count() == mask.sum()
