@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes.
 
 Python only tokenises: it gives, for each text, the ids of both tokenizers,
-the byte offsets at which their tokens end, and the number of the token that
-covers each byte.  All else is Spark's higher-order functions.  The
+the byte offsets at which their tokens end, and for each offset the number of
+tokens that begin before it and the token that covers the byte before it.  All else is Spark's higher-order functions.  The
 `array_intersect` of the two end arrays are the offsets where both tokenizers
 end a token; they cut the tokens into groups.  The union of the end arrays
 cuts the bytes into the ranges that one token of each side covers: each range
@@ -17,7 +17,7 @@ Edges: null and empty texts, and texts that a tokenizer does not give back
 byte for byte, have no tokens and zeros everywhere; each row is a document of
 its own, whatever its doc_id (null, repeated or equal texts); an empty table
 gives no rows; other columns are ignored.  A text's tokens, links and groups
-are held by one task at a time, some 100 bytes for each byte of the text.
+are held by one task at a time, some 110 bytes for each byte of the text.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from gossamer.llm.shared import materialize, prepare
 #: Bytes of texts whose tokens leave a worker together; a longer text leaves alone.
 BATCH_BYTES = 1_000_000
 SPACE = "▁"
+#: Lists of a text, and what stands at offset 0, before which there is no byte.
+LISTS, NONE = ("a_ids", "a_ends", "a_of", "a_at", "b_ids", "b_ends", "b_of", "at"), np.zeros(1, np.int32)
 
 
 class ByteLevel:
@@ -113,20 +115,24 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """doc_id and, for each side, ids, ends (byte offsets in a space and the text) and at (the number of the token at each byte, and at the end that of none)."""
+    """doc_id and, for each side, ids, ends (byte offsets in a space and the text) and of (at each offset the id of the token that covers the byte before it; none at 0).
+
+    a_at is the number of A's token that begins at or covers each offset (at the end that of none), at that of both sides' together.
+    """
     prepare(docs.sparkSession)
 
-    def side(coder: ByteLevel | Pieces, lengths: np.ndarray, ids: list[int] | np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def side(coder: ByteLevel | Pieces, lengths: np.ndarray, ids: list[int] | np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         if coder.joined(ids) != raw:
             return None
         ids = np.asarray(ids).astype(np.int32)
         size = lengths[ids]
-        return ids, np.cumsum(size, dtype=np.int32), np.repeat(np.arange(len(ids) + 1, dtype=np.int32), np.append(size, 1))
+        at = np.repeat(np.arange(len(ids) + 1, dtype=np.int32), np.append(size, 1))
+        return ids, np.cumsum(size, dtype=np.int32), np.concatenate((NONE, ids[at[:-1]])), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [encoder(a), encoder(b)]
         lengths = [np.array([len(p) for p in c.parts], np.int32) for c in coders]
-        nothing = [np.zeros(0, np.int32)] * 6
+        nothing = [np.zeros(0, np.int32)] * len(LISTS)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             begin = 0
@@ -141,34 +147,36 @@ def tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
                 for k, text in enumerate(some):
                     raw = b" " + text.encode()
                     found = [side(c, n, ids[k], raw) for c, n, ids in zip(coders, lengths, both)] if text else [None]
-                    rows.append(nothing if None in found else [*found[0], *found[1]])
+                    rows.append(nothing if None in found else [*found[0], *found[1][:3], found[0][3] + found[1][3]])
                 columns = [_lists(list(c)) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), *columns], names=["doc_id", "a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), *columns], names=["doc_id", *LISTS])
                 begin = end
 
-    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"))
+    lists = ", ".join(f"{c} array<int>" for c in LISTS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {lists}")
 
 
 def _group(start: Column, end: Column) -> Column:
-    """a1,a2|b1 of the bytes from start to end, where tokens of both sides begin and end; mostly one token of each."""
-    first, last = ([F.col(f"{side}_at")[at] for side in "ab"] for at in (start, end - 1))
-    many = lambda k, side: F.array_join(F.slice(f"{side}_ids", first[k] + 1, last[k] - first[k] + 1).cast("array<string>"), ",")
-    one = F.concat(F.col("a_ids")[first[0]].cast("string"), F.lit("|"), F.col("b_ids")[first[1]].cast("string"))
-    return F.when((first[0] == last[0]) & (first[1] == last[1]), one).otherwise(F.concat(many(0, "a"), F.lit("|"), many(1, "b")))
+    """a1,a2|b1 of the bytes from start to end, where tokens of both sides begin and end; mostly one token of each, so two in all."""
+    at, a_at = ([F.col(c)[k] for k in (start, end)] for c in ("at", "a_at"))
+    b_at = [x - y for x, y in zip(at, a_at)]
+    many = lambda ids, x: F.array_join(F.slice(ids, x[0] + 1, x[1] - x[0]).cast("array<string>"), ",")
+    one = F.concat(F.col("a_of")[end].cast("string"), F.lit("|"), F.col("b_of")[end].cast("string"))
+    return F.when(at[1] - at[0] == 2, one).otherwise(F.concat(many("a_ids", a_at), F.lit("|"), many("b_ids", b_at)))
 
 
 def align(tokens: DataFrame, b_size: int) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (text: a1,a2|b1;a3|b2,b3) and links (a's id times b_size plus b's id, in byte order).
 
-    Lambdas use columns of `tokens` and their own variables alone: another column would be computed again at every element.
+    Lambdas use columns of `tokens` and their own variables alone: another column would be computed again at every element.  They
+    are interpreted, so what they look up is laid out for few steps.
     """
-    common = F.array_intersect("a_ends", "b_ends")
-    text = lambda ends: F.array_join(F.transform(ends, lambda end, k: _group(F.when(k == 0, 0).otherwise(ends[k - 1]), end)), ";")
-    groups = F.transform(F.array(common), lambda ends: F.struct(F.size(ends).cast("long").alias("n"), text(ends).alias("text")))[0]
+    bounds = F.concat(F.array(F.lit(0)), F.array_intersect("a_ends", "b_ends"))
+    text = lambda c: F.array_join(F.transform(F.slice(c, 2, F.size(c) - 1), lambda end, k: _group(c[k], end)), ";")
+    groups = F.transform(F.array(bounds), lambda c: F.struct((F.size(c) - 1).cast("long").alias("n"), text(c).alias("text")))[0]
     ends = F.sort_array(F.array_union("a_ends", "b_ends"))
-    number = lambda e: F.col("a_ids")[F.col("a_at")[e - 1]].cast("long") * F.lit(b_size) + F.col("b_ids")[F.col("b_at")[e - 1]]
+    number = lambda e: F.col("a_of")[e].cast("long") * F.lit(b_size).cast("long") + F.col("b_of")[e]
     return tokens.select(
         "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), groups.alias("groups"), F.transform(ends, number).alias("links"),
     ).select("doc_id", "n_a", "n_b", F.col("groups.n").alias("n_groups"), F.col("groups.text").alias("groups"), "links")

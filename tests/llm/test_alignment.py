@@ -109,3 +109,13 @@ def test_nothing(nothing):
 def test_vocabulary_files_agree():
     """The same vocabulary as ranks and as spelled entries."""
     assert alignment.encoder(A).parts == alignment.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).parts
+
+
+def test_lists_by_offset(spark):
+    """At each offset the token that covers the byte before it, and how many tokens begin before it: groups of one token a side are told by one difference."""
+    row = alignment.tokens(spark.createDataFrame([(1, "Hello worlds, xyzzy")], "doc_id long, text string"), A, B).first()
+    for ids, ends, of in ((row.a_ids, row.a_ends, row.a_of), (row.b_ids, row.b_ends, row.b_of)):
+        starts = [0, *ends[:-1]]
+        assert of[1:] == [k for k, a, b in zip(ids, starts, ends) for _ in range(a, b)]
+    begun = lambda ends, at: sum(e <= at for e in ends)
+    assert row.at == [begun(row.a_ends, k) + begun(row.b_ends, k) for k in range(row.a_ends[-1] + 1)]
