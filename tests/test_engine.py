@@ -762,3 +762,19 @@ def test_assembled_polynomials_need_no_pattern_of_their_own(spark, grid, monkeyp
     assert np.allclose(dense(minus, n), np.eye(n) - bare)
     assert minus.where("i <> j")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
     assert al.pattern_with_diagonal(lacking, rows).count() == mask.sum()
+
+
+def test_relaxation_sweeps_move_vectors_alone(spark, grid, monkeypatch):
+    """Every product of a pass is with the stored matrix, and gives the rate of the plain sweeps."""
+    from gossamer.operators.blocked import Stored
+
+    a, rows, full = grid
+    n, used, times = len(full), [], al.spmv
+    monkeypatch.setattr(al, "spmv", lambda m, x: used.append(isinstance(m, Stored)) or times(m, x))
+    monkeypatch.setattr(sp, "CR_SWEEPS", 2)
+    _, rate, _ = sp.cr_pass(a, rows.selectExpr("i", "-1 as cf"), 5.0, InverseOptions(InverseType.JACOBI))
+    assert used == [True, True]
+    e = start = np.array([r.x for r in rows.select("i", sp.uniform(F.col("i"), "cr").alias("x")).orderBy("i").collect()])
+    for _ in range(2):
+        e = e - full @ e / np.diagonal(full)
+    assert np.isclose(rate, np.sqrt(np.linalg.norm(e) / np.linalg.norm(start)))
