@@ -778,3 +778,13 @@ def test_relaxation_sweeps_move_vectors_alone(spark, grid, monkeypatch):
     for _ in range(2):
         e = e - full @ e / np.diagonal(full)
     assert np.isclose(rate, np.sqrt(np.linalg.norm(e) / np.linalg.norm(start)))
+
+
+def test_markers_of_a_boundary_are_taken_in_one_join(spark, grid, monkeypatch):
+    """However many rounds the independent set takes, the boundary is joined and sorted once, and the strong pattern is made once."""
+    a, rows, _ = grid
+    plans, save = {}, sp.materialize
+    monkeypatch.setattr(sp, "materialize", lambda df, tag: plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()) and save(df, tag))
+    found = sp.compute_cf_splitting(a, rows, strong_threshold=0.25, splitting=SplittingType.PMIS_AGG, block_rows=6)
+    assert found.count() == rows.count() and "strong" in plans
+    assert plans["boundary"].count("LeftSemi") == 1
