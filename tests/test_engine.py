@@ -788,3 +788,27 @@ def test_markers_of_a_boundary_are_taken_in_one_join(spark, grid, monkeypatch):
     found = sp.compute_cf_splitting(a, rows, strong_threshold=0.25, splitting=SplittingType.PMIS_AGG, block_rows=6)
     assert found.count() == rows.count() and "strong" in plans
     assert plans["boundary"].count("LeftSemi") == 1
+
+
+def test_restricted_products_of_scattered_rows_move_the_entries_that_count(spark):
+    """Where rows of b go to many groups, a group gets their entries in columns of its places alone; the product is the same, for rows in pieces too."""
+    rng = np.random.default_rng(5)
+    n = 240
+    for heavy in (False, True):
+        full = np.zeros((n, n))
+        for i in range(n):
+            full[i, rng.choice(n, 12, replace=False)] = rng.integers(1, 9, 12)
+        if heavy:  # a row in pieces
+            full[7, :100] = 3.0
+        a, pattern = spark.createDataFrame([(int(i), int(j), float(full[i, j])) for i, j in zip(*np.nonzero(full))], "i long, j long, v double"), full != 0
+        numbered, groups, divided = al.row_groups(a, 60)
+        assert divided == heavy
+        left, places = numbered(a), numbered(a.select("i", "j"), True).select("g", "j")
+        rows = a.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
+        some = [(r.g, r.k, r.c) for r in al._rows_for_groups(left, rows, [places], groups).collect()]
+        of, held = {(r.g, r.j) for r in left.collect()}, {(r.g, r.j) for r in places.collect()}
+        wanted = {(g, int(k), int(c)) for g, k in of for c in np.flatnonzero(full[k]) if (g, c) in held}
+        assert len(some) == len(wanted) and set(some) == wanted
+        assert len(some) < 0.6 * al._rows_for_groups(left, rows, [], groups).count()
+        summed = al.product(a, a, scale=2.0, plus=a, on_plus=True, group_entries=60)
+        assert np.allclose(dense(summed, n), np.where(pattern, 2 * full @ full + full, 0)) and summed.count() == pattern.sum()
