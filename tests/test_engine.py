@@ -812,3 +812,41 @@ def test_restricted_products_of_scattered_rows_move_the_entries_that_count(spark
         assert len(some) < 0.6 * al._rows_for_groups(left, rows, [], groups).count()
         summed = al.product(a, a, scale=2.0, plus=a, on_plus=True, group_entries=60)
         assert np.allclose(dense(summed, n), np.where(pattern, 2 * full @ full + full, 0)) and summed.count() == pattern.sum()
+
+
+def test_products_move_rows_as_lists(spark, monkeypatch):
+    """What goes to a group is a list for each row that it names (and range of columns), not an entry at a time; the product is the same."""
+    rng = np.random.default_rng(6)
+    n = 60
+    full = np.where(rng.random((n, n)) < 0.3, rng.integers(1, 9, (n, n)), 0).astype(float)
+    a = spark.createDataFrame([(int(i), int(j), float(full[i, j])) for i, j in zip(*np.nonzero(full))], "i long, j long, v double")
+    numbered, _, _ = al.row_groups(a, 100)
+    left, rows = numbered(a), a.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
+    named = {(r.g, r.j) for r in left.collect()}
+    moved = al.packed_rows(left, rows).collect()
+    assert len(moved) == len(named) == len({(r.g, r.i) for r in moved}) and all(len(r.js) == len(r.vs) == np.count_nonzero(full[r.i]) for r in moved)
+    monkeypatch.setattr(al, "PACKED", 4)  # lists of 16 columns
+    assert max(len(r.js) for r in al.packed_rows(left, rows).collect()) <= 16
+    got = al.product(a, a, scale=2.0, plus=al.identity(al.index_set(spark, n + 1)), group_entries=100)
+    assert np.allclose(dense(got, n + 1)[:n, :n], 2 * full @ full + np.eye(n)) and got.groupBy("i", "j").count().where("count > 1").isEmpty()
+
+
+def test_coarse_matrices_write_no_product_with_one_entry_a_row(grid, monkeypatch):
+    """A prolongator of one entry a row moves columns, whose repeated places are added up; another is multiplied."""
+    a, rows, full = grid
+    spark, written, save = rows.sparkSession, [], tr.materialize
+    monkeypatch.setattr(tr, "materialize", lambda df, tag: written.append(tag) or save(df, tag))
+    one = spark.createDataFrame([(i, i // 3 * 3, 1.0 + i % 2) for i in range(36)], "i long, j long, v double")
+    two = one.unionByName(spark.createDataFrame([(5, 30, 2.0)], "i long, j long, v double"))
+    for p, tags in ((one, []), (two, ["ap"])):
+        written.clear()
+        got, wanted = tr.coarse_matrix(a, al.transpose(p), p, a_drop=0.0), dense(p, 36).T @ full @ dense(p, 36)
+        assert written == tags and np.allclose(dense(got, 36), wanted) and got.groupBy("i", "j").count().where("count > 1").isEmpty()
+
+
+def test_strong_pattern_is_made_once(grid, monkeypatch):
+    """The degrees and the rounds read a written pattern."""
+    a, rows, _ = grid
+    written, save = [], sp.materialize
+    monkeypatch.setattr(sp, "materialize", lambda df, tag: written.append(tag) or save(df, tag))
+    assert sp.compute_cf_splitting(a, rows).count() == 36 and written.count("strong") == 1
